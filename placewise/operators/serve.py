@@ -68,7 +68,7 @@ def _as_candidates(spec_cards: DataFrame) -> DataFrame:
     return spec_cards.select(
         "specialty", rank_web(F.col("status")).alias("rank"), F.col("provider_id").alias("c_id"),
         F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"), F.col("city_slug").alias("c_town"),
-        F.col("english").alias("c_english"),
+        *([F.col("english").alias("c_english")] if "english" in spec_cards.columns else []),
     )
 
 
@@ -110,7 +110,7 @@ def _town_queries(counts: DataFrame, km: Column, need: Column) -> DataFrame:
 
 def practices_around(spec_cards: DataFrame, k: int = 6) -> DataFrame:
     """Per town: practices just outside it. Its own ones may fill the circle, so they are allowed for."""
-    counts = town_counts(spec_cards)
+    counts = town_middles(spec_cards)
     km = F.when(is_prague(F.col("city_slug")), 2.0).otherwise(5.0)
     hits = nearest(
         _town_queries(counts, km, F.col("n") + k), _as_candidates(spec_cards), k, ["specialty"],
@@ -124,7 +124,7 @@ def open_fallback(spec_cards: DataFrame, km: float = 30, k: int = 4) -> DataFram
 
     Open practices rank first, so the four best of the first twelve are the four best open ones.
     """
-    closed = town_counts(spec_cards).filter(F.col("open") == 0)
+    closed = town_middles(spec_cards).filter(F.col("open") == 0)
     hits = nearest(
         _town_queries(closed, F.lit(float(km)), F.lit(k)), _as_candidates(spec_cards), k, ["specialty"],
         ["specialty", "city_slug"], [0, 1], pile=k,
@@ -198,6 +198,18 @@ def towns_ranked(town_rows: DataFrame, specialty: str, limit: int = 10000) -> Da
     return rows.orderBy(F.col("n").desc(), "city", "city_slug").limit(limit)
 
 
+def town_middles(rows: DataFrame) -> DataFrame:
+    """Per town and specialty: size, open practices and the middle of the located ones."""
+    return (
+        rows.filter(F.col("city_slug").isNotNull())
+        .groupBy("specialty", "city_slug")
+        .agg(
+            F.count("*").alias("n"), count_if(F.col("status").isin(OPEN)).alias("open"),
+            F.avg("lat").alias("lat"), F.avg("lng").alias("lng"),
+        )
+    )
+
+
 def town_counts(spec_cards: DataFrame) -> DataFrame:
     """Per town and specialty: the numbers above the list."""
     status = F.col("status")

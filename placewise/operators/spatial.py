@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..values import EARTH_KM
 from ..functions.geo import distance_km, half_box
+from ..session import cut_lineage
 
 TOP_HEIGHT = 0.64  # degrees of latitude, about 71 km
 N_LEVELS = 7  # down to about 17 m
@@ -113,8 +114,10 @@ def near_pairs(
     pruned, graded = "need" in queries.columns, "grade" in candidates.columns
     levels = list(range(N_LEVELS)) if levels is None else list(levels)
     cell = on + ["_level", "_cy", "_cx"]
-    candidates = candidates.filter(F.col("c_lat").isNotNull() & F.col("c_lng").isNotNull())
+    # Both sides are read several times below (counts, pruning, the join itself): compute them once.
+    candidates = cut_lineage(candidates.filter(F.col("c_lat").isNotNull() & F.col("c_lng").isNotNull()))
     q = queries.filter(F.col("q_lat").isNotNull() & F.col("q_lng").isNotNull())
+    q = cut_lineage(q) if pruned else q
     filed = _filed(candidates, levels)
     counts = filed.groupBy(*cell, *(["grade"] if graded else [])).agg(F.count("*").alias("n"))
 

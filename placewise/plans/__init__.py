@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import serving  # noqa: F401
+from . import alerts, register, serving  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -241,14 +241,14 @@ PAIR_SQL = f"""
     SELECT specialty, provider_id, other_id, rank, km, CAST(rn AS INT) AS rn FROM (
         SELECT *, row_number() OVER (PARTITION BY specialty, provider_id ORDER BY rank, km, other_id) AS rn FROM ({PAIR_SQL} 5)) WHERE rn <= 5""")
 def alternatives(d):
-    return serve.alternatives(d.spec_cards)
+    return serve.alternatives(d.listing)
 
 
 @query("C11_accepting_nearby", f"""
     SELECT specialty, provider_id, other_id, rank, km, CAST(rn AS INT) AS rn FROM (
         SELECT *, row_number() OVER (PARTITION BY specialty, provider_id ORDER BY km, other_id) AS rn FROM ({PAIR_SQL} 10 AND c.rank = 0)) WHERE rn <= 3""")
 def accepting_nearby(d):
-    return serve.accepting_nearby(d.spec_cards)
+    return serve.accepting_nearby(d.listing)
 
 
 TOWN_PAIR = f"""
@@ -262,7 +262,7 @@ TOWN_PAIR = f"""
         SELECT *, row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, km, other_id) AS rn FROM ({TOWN_PAIR})
          WHERE exact <= CASE WHEN city_slug LIKE 'praha%' THEN 2 ELSE 5 END AND c_town IS DISTINCT FROM city_slug) WHERE rn <= 6""")
 def practices_around(d):
-    return serve.practices_around(d.spec_cards)
+    return serve.practices_around(d.listing)
 
 
 @query("C16_open_fallback", f"""
@@ -270,7 +270,7 @@ def practices_around(d):
         SELECT *, row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, km, other_id) AS pool FROM ({TOWN_PAIR})
          WHERE exact <= 30 AND open = 0) WHERE pool <= 12 AND rank <= 1 QUALIFY rn <= 4""")
 def open_fallback(d):
-    return serve.open_fallback(d.spec_cards)
+    return serve.open_fallback(d.listing)
 
 
 @query("M13_english_search", f"""

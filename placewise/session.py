@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -31,12 +33,23 @@ def build(app: str = "placewise", master: str | None = None, **conf: str) -> Spa
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a fresh temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
+    """Compute once, keep the rows in the shared folder: survives lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -22,8 +22,9 @@ AS_OF_DATE = "2024-01-31"
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 
-LAT = "48.6e0 + (({k} * 7919) % 2400) / 1000.0e0"
-LNG = "12.2e0 + (({k} * 104729) % 6500) / 1000.0e0"
+# A third of all practices crowd into one city, the others spread over the country.
+LAT = "CASE WHEN {k} % 3 = 0 THEN 50.0e0 + (({k} * 7919) % 1501) / 10000.0e0 ELSE 48.6e0 + (({k} * 7919) % 2400) / 1000.0e0 END"
+LNG = "CASE WHEN {k} % 3 = 0 THEN 14.3e0 + (({k} * 104729) % 2503) / 10000.0e0 ELSE 12.2e0 + (({k} * 104729) % 6500) / 1000.0e0 END"
 SLUG_OF = {
     "AUTOMOBILE": "zubar", "BUILDING": "praktik", "FURNITURE": "pediatr", "HOUSEHOLD": "gynekolog", "MACHINERY": "ocni",
 }
@@ -39,8 +40,8 @@ PROVIDERS = {
     "facility_type": "CASE c_custkey % 7 WHEN 0 THEN 'Nemocnice' WHEN 1 THEN 'Ordinace všeob. prakt. lékaře' ELSE 'Samostatná ordinace' END",
     "street": "CASE WHEN c_custkey % 9 <> 4 THEN 'Ulice ' || CAST(c_nationkey AS STRING) END",
     "house_no": "CAST(c_custkey % 100 AS STRING)",
-    "city": "CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 60 < 22 THEN 'Praha ' || CAST(c_custkey % 60 + 1 AS STRING) WHEN c_custkey % 60 = 59 THEN 'Praha' ELSE 'Město ' || CAST(c_custkey % 60 AS STRING) END",
-    "city_slug": "CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 60 < 22 THEN 'praha-' || CAST(c_custkey % 60 + 1 AS STRING) WHEN c_custkey % 60 = 59 THEN 'praha' WHEN c_custkey % 60 = 22 AND c_nationkey % 2 = 1 THEN 'mesto-22-nation' ELSE 'mesto-' || CAST(c_custkey % 60 AS STRING) END",
+    "city": "CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Praha ' || CAST(CAST((c_custkey % 66) / 3 + 1 AS INT) AS STRING) WHEN c_custkey % 60 = 59 THEN 'Praha' ELSE 'Město ' || CAST(c_custkey % 60 AS STRING) END",
+    "city_slug": "CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 3 = 0 THEN 'praha-' || CAST(CAST((c_custkey % 66) / 3 + 1 AS INT) AS STRING) WHEN c_custkey % 60 = 59 THEN 'praha' WHEN c_custkey % 60 = 22 AND c_nationkey % 2 = 1 THEN 'mesto-22-nation' ELSE 'mesto-' || CAST(c_custkey % 60 AS STRING) END",
     "postcode": "CAST(10000 + (c_custkey % 300) * 7 AS STRING)",
     "district": "CASE WHEN c_custkey % 53 <> 5 THEN n_name END",
     "region": "CASE WHEN c_custkey % 97 <> 6 THEN r_name END",
