@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import values as V
-from .text import strip, tokens
+from .text import let, strip, tokens
 
 
 def emails_of(c: Column) -> Column:
@@ -66,30 +66,24 @@ def effective_web(web: Column, web_found: Column) -> Column:
 
 def normalize_site(web: Column) -> Column:
     """Comparable form of the first address in a field, NULL when it is nobody's own site."""
+    with_scheme = lambda w: F.when(w.rlike("(?i)^https?://"), w).otherwise(F.concat(F.lit("http://"), w))
+
+    def compared(u: Column) -> Column:
+        origin = F.lower(F.regexp_extract(u, r"^([^/?#]*://[^/?#]*)", 1))
+        rest = F.regexp_replace(F.regexp_replace(u, r"^[^/?#]*://[^/?#]*", ""), r"#.*$|\?(?:#.*)?$", "")
+        rest = F.regexp_replace(rest, r"^(?!/)", "/")
+        ok = let(host_of(u), lambda h: h.contains(".") & ~not_own_site(h)) & ~F.split_part(u, F.lit("/"), F.lit(3)).contains("@")
+        return F.when(ok, F.concat(origin, rest))
+
     first = F.get(F.filter(tokens(web), lambda t: t != ""), 0)
-    lead = F.when(first.contains("://"), F.split_part(first, F.lit("/"), F.lit(3))).otherwise(
-        F.split_part(first, F.lit("/"), F.lit(1))
-    )
-    full = F.when(first.rlike("(?i)^https?://"), first).otherwise(F.concat(F.lit("http://"), first))
-    origin = F.lower(F.regexp_extract(full, r"^([^/?#]*://[^/?#]*)", 1))
-    path, query = url_path(full), url_query(full)
-    host = host_of(full)
-    ok = first.isNotNull() & ~lead.contains("@") & host.contains(".") & ~not_own_site(host)
-    return F.when(
-        ok,
-        F.concat(
-            origin,
-            F.when(path == "", F.lit("/")).otherwise(path),
-            F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
-        ),
-    )
+    return let(let(first, with_scheme), compared)
 
 
 def own_domain(email: Column) -> Column:
     """Domain of a practice's own mailbox, NULL for mailbox providers."""
     found = F.btrim(F.regexp_extract(F.lower(F.coalesce(email, F.lit(""))), r"@([a-z0-9.-]+\.[a-z]{2,})\b", 1), F.lit("."))
-    host = F.regexp_replace(found, r"^www\.", "")
-    return F.when((host != "") & ~freemail(host) & normalize_site(host).isNotNull(), host)
+    own = lambda h: F.when((h != "") & ~freemail(h) & normalize_site(h).isNotNull(), h)
+    return let(F.regexp_replace(found, r"^www\.", ""), own)
 
 
 def site_address(raw: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..values import BOX_REGISTER, EARTH_KM
-from .text import parse_number, strip
+from .text import let, parse_number, strip
 
 
 def distance_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -52,18 +52,20 @@ def in_box(lat: Column, lng: Column, box: tuple) -> Column:
 
 def parse_coords(lat: Column, lng: Column, gps: Column, box: tuple = BOX_REGISTER) -> Column:
     """struct<lat,lng>: own columns, else the combined field; swapped pairs are turned round."""
-    la, ln = parse_number(lat), parse_number(lng)
-    parts = F.split(strip(gps), r"[\s;]+|,\s+")
-    use_gps = (la.isNull() | ln.isNull()) & gps.isNotNull() & (F.size(parts) == 2)
-    a = F.when(use_gps, parse_number(F.get(parts, 0))).otherwise(la)
-    b = F.when(use_gps, parse_number(F.get(parts, 1))).otherwise(ln)
-    pair = lambda x, y: F.struct(x.alias("lat"), y.alias("lng"))
     none = F.lit(None).cast("double")
-    return (
-        F.when(in_box(a, b, box), pair(a, b))
-        .when(in_box(b, a, box), pair(b, a))
-        .otherwise(pair(none, none))
-    )
+    pair = lambda x, y: F.struct(x.alias("lat"), y.alias("lng"))
+    own = pair(parse_number(lat), parse_number(lng))
+
+    def from_gps(p: Column) -> Column:
+        parts = F.split(strip(gps), r"[\s;]+|,\s+")
+        both = let(parts, lambda g: F.when(F.size(g) == 2, pair(parse_number(F.get(g, 0)), parse_number(F.get(g, 1)))))
+        return F.when((p["lat"].isNull() | p["lng"].isNull()) & gps.isNotNull(), F.coalesce(both, p)).otherwise(p)
+
+    def placed(p: Column) -> Column:
+        a, b = p["lat"], p["lng"]
+        return F.when(in_box(a, b, box), p).when(in_box(b, a, box), pair(b, a)).otherwise(pair(none, none))
+
+    return let(let(own, from_gps), placed)
 
 
 def to_map(lat: Column, lng: Column, proj: dict, frame: dict) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, body) -> Column:
+    """Name a value for use inside ``body``: it is written and computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 @functools.cache
 def _fold_table() -> tuple[str, str, dict[str, str]]:
     """Compatibility folding of the Basic Multilingual Plane, derived from the Unicode database.
@@ -30,12 +35,19 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join(src), "".join(dst), longer
 
 
+@functools.cache
+def _sign_list() -> str:
+    return "\n".join(f"{sign}\t{plain}" for sign, plain in _fold_table()[2].items())
+
+
 def expand_signs(c: Column) -> Column:
-    """Replace signs that fold to several letters; text without any costs one regex test."""
-    _, _, longer = _fold_table()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    return F.when(c.rlike("[" + "".join(longer) + "]"), spelled).otherwise(c)
+    """Spell out signs that fold to several letters; text without any costs one regex test."""
+    table = F.str_to_map(F.lit(_sign_list()), F.lit("\n"), F.lit("\t"))
+    signs = "[" + "".join(_fold_table()[2]) + "]"
+    spell = lambda t: F.array_join(
+        F.transform(F.split(t, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+    )
+    return let(c, lambda t: F.when(t.rlike(signs), spell(t)).otherwise(t))
 
 
 def unaccent(c: Column) -> Column:
@@ -74,7 +86,13 @@ def quotable(c: Column) -> Column:
     src, _, _ = _fold_table()
     blanks = "".join(ch for ch in src if unicodedata.normalize("NFKD", ch) == " ")
     text = F.translate(expand_signs(c), blanks, " " * len(blanks))
-    safe = "".join(f"\\x{{{ord(ch):x}}}" for ch in src if ch not in blanks)
+    runs: list[list[int]] = []  # consecutive code points as ranges keep the character class short
+    for code in sorted(ord(ch) for ch in src if ch not in blanks):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    safe = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
     return F.regexp_replace(F.regexp_replace(text, f"[^\\x00-\\x7F{safe}]", ""), r"[ \t\r\f\x0B]+", " ")
 
 
@@ -95,8 +113,10 @@ def norm_header(name: str) -> str:
 
 def parse_number(c: Column) -> Column:
     """Decimal comma or point; NULL for anything that is not a plain number."""
-    t = F.replace(strip(c), F.lit(","), F.lit("."))
-    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    return let(
+        F.replace(strip(c), F.lit(","), F.lit(".")), lambda t: F.when(t.rlike(plain), t.try_cast("double"))
+    )
 
 
 def postcode(c: Column) -> Column:
@@ -108,5 +128,73 @@ def tokens(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), r"[\s,;]+")
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """Where a pattern matches: array of (start from 1, word). Meant for text known to match."""
+    words = F.regexp_extract_all(text, F.lit(pattern), 0)
+    gaps = F.split(text, pattern)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(words)).alias("gap"), words.alias("word"))
+    empty = F.struct(F.lit(1).alias("pos"), F.array().cast("array<struct<start:int,word:string>>").alias("out"))
+    return F.aggregate(
+        pairs,
+        empty,
+        lambda acc, x: F.struct(
+            (acc["pos"] + F.length(x["gap"]) + F.length(x["word"])).alias("pos"),
+            F.concat(acc["out"], F.array(F.struct((acc["pos"] + F.length(x["gap"])).alias("start"), x["word"].alias("word")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def blank_out(text: Column, pattern: str) -> Column:
+    """Matches become blanks of the same length, so nothing moves."""
+
+    def masked(t: Column) -> Column:
+        words = F.concat(F.regexp_extract_all(t, F.lit(pattern), 0), F.array(F.lit("")))
+        kept = F.zip_with(F.split(t, pattern), words, lambda g, w: F.concat(g, F.repeat(F.lit(" "), F.length(w))))
+        return F.when(t.rlike(pattern), F.array_join(kept, "")).otherwise(t)
+
+    return let(text, masked)
+
+
+def around(text: Column, start: Column, length: Column, before: int, after: int) -> Column:
+    """The match with so many characters on either side."""
+    first = F.greatest(start - F.lit(before), F.lit(1))
+    return F.substring(text, first, start + length + F.lit(after) - first)
+
+
+def sentence_at(text: Column, start: Column, length: Column, stops: str = r"[.!?\n]") -> Column:
+    """The sentence a match lies in."""
+    head = F.element_at(F.split(F.substring(text, F.lit(1), start - 1), stops), -1)
+    tail = F.get(F.split(F.substring(text, start + length, F.length(text)), stops, 2), 0)
+    return F.concat(head, F.substring(text, start, length), tail)
+
+
+def quote(folded: Column, source: Column, start: Column, length: Column, pad: int) -> Column:
+    """Text around a match, whole words only, with dots where it was cut.
+
+    Positions refer to ``folded``; the characters come from ``source``, which lines up with it.
+    """
+    dots = lambda cond: F.when(cond, F.lit("…")).otherwise(F.lit(""))
+    alnum = lambda at: F.substring(folded, at, F.lit(1)).rlike("^[a-z0-9]$")
+    edges = F.struct(
+        start.alias("s"), (start + length).alias("e"), F.greatest(start - F.lit(pad), F.lit(1)).alias("a"),
+        F.least(start + length + F.lit(pad), F.length(folded) + 1).alias("b"),
+    )
+
+    def trimmed(x: Column) -> Column:
+        left, right = F.substring(folded, x["a"], x["s"] - x["a"]), F.substring(folded, x["e"], x["b"] - x["e"])
+        head, tail = F.length(F.regexp_extract(left, "^[a-z0-9]*", 0)), F.length(F.regexp_extract(right, "[a-z0-9]*$", 0))
+        return F.struct(
+            (x["a"] + F.when((x["a"] > 1) & alnum(x["a"] - 1), head).otherwise(F.lit(0))).alias("a"),
+            (x["b"] - F.when(alnum(x["b"]), tail).otherwise(F.lit(0))).alias("b"),
+        )
+
+    def shown(x: Column) -> Column:
+        piece = F.trim(F.regexp_replace(F.substring(source, x["a"], x["b"] - x["a"]), r"\s+", " "))
+        return F.concat(dots(x["a"] > 1), piece, dots(x["b"] <= F.length(folded)))
+
+    return let(let(edges, trimmed), shown)
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("[a-z0-9]+"), 0)
