@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions import text as T
 from ..functions.contact import host_of, url_path, url_query
+from ..session import cut_lineage
 
 STOPS = r"[.!?\n]"
 SPAN = "array<struct<start:int,word:string>>"
@@ -210,7 +211,9 @@ def _scope(window: Column, rules: Rules) -> Column:
 def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) -> DataFrame:
     """Adds ``status``, ``scope``, ``snippet`` and ``conflicting`` to pages with a ``text``.
 
-    ``status`` is NULL when the page says nothing, or both things at once.
+    ``status`` is NULL when the page says nothing, or both things at once. The short results are
+    kept in the shared folder: sites, facts and signals all build on them, and whatever they
+    filter by must not make Spark scan the page texts again.
     """
     norm = F.col("norm")
     sentence = lambda t, h: T.sentence_at(t, h["start"], F.length(h["word"]))
@@ -237,12 +240,13 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
     df = df.withColumns({"conflicting": conflict, "status": status, "hit": F.coalesce("neg", "wait", "pos")})
     at_, length = F.col("hit.start"), F.length("hit.word")
     said = has("hit")
-    return df.withColumns(
+    out = df.withColumns(
         {
             "scope": F.when(F.col("status").isNotNull(), _scope(T.quote(norm, norm, at_, length, 80), rules)),
             "snippet": F.when(said, T.quote(norm, T.quotable(F.col("text")), at_, length, 50)),
         }
-    ).drop("norm", "hinted", "neg", "wait", "pos", "masked", "hit")
+    ).drop("norm", "hinted", "neg", "wait", "pos", "masked", "hit", "text", "html")
+    return cut_lineage(out)
 
 
 # ------------------------------------------------------------------------------- facts
@@ -299,21 +303,23 @@ def page_flags(pages: DataFrame) -> DataFrame:
         {"pay": self_pay_hit(norm), "eng": english_hit(norm)}
     )
     df = df.withColumn("ins", F.when(F.col("pay").isNull(), insurer_windows(norm)))
-    df = df.filter(F.col("pay").isNotNull() | F.col("eng").isNotNull() | (F.size("ins") > 0))
     source = T.quotable(F.col("text"))
-    said = lambda h, pad: T.quote(norm, source, h["start"], F.length(h["word"]), pad)
+    said = lambda h, pad: F.when(h.isNotNull(), T.quote(norm, source, h["start"], F.length(h["word"]), pad))
+    keys = [c for c in pages.columns if c not in ("text", "html")]
+    # Short results first, kept; only then rows without any fact are dropped.
+    short = cut_lineage(df.select(
+        *keys, said(F.col("pay"), 50).alias("pay"), said(F.col("eng"), 50).alias("eng"), said(F.get("ins", F.lit(0)), 90).alias("ins"),
+        F.array_distinct(F.flatten(F.transform("ins", lambda w: w["codes"]))).alias("codes"),
+    ))
     fact = lambda flag, snippet: F.struct(flag.alias("flag"), snippet.alias("snippet"))
-    codes = F.array_distinct(F.flatten(F.transform("ins", lambda w: w["codes"])))
-    first = said(F.get("ins", F.lit(0)), 90)
     facts = F.concat(
         F.array_compact(F.array(
-            F.when(F.col("pay").isNotNull(), fact(F.lit("self_pay"), said(F.col("pay"), 50))),
-            F.when(F.col("eng").isNotNull(), fact(F.lit("english"), said(F.col("eng"), 50))),
+            F.when(F.col("pay").isNotNull(), fact(F.lit("self_pay"), F.col("pay"))),
+            F.when(F.col("eng").isNotNull(), fact(F.lit("english"), F.col("eng"))),
         )),
-        F.coalesce(F.transform(codes, lambda c: fact(F.concat(F.lit("ins"), c), first)), F.array().cast("array<struct<flag:string,snippet:string>>")),
+        F.coalesce(F.transform("codes", lambda c: fact(F.concat(F.lit("ins"), c), F.col("ins"))), F.array().cast("array<struct<flag:string,snippet:string>>")),
     )
-    keys = [c for c in pages.columns if c not in ("text", "html")]
-    return df.select(*keys, F.explode(facts).alias("f")).select(*keys, "f.flag", "f.snippet")
+    return short.select(*keys, F.explode(facts).alias("f")).select(*keys, "f.flag", "f.snippet")
 
 
 # ------------------------------------------------------------------------------- per site

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import alerts, register, serving  # noqa: F401
+from . import alerts, evidence, intake, register, serving, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

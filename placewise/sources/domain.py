@@ -84,6 +84,42 @@ REPORTS = {
     "created_us": "ts_us",
 }
 
+# Report and sign-up forms as sent; one of each per event.
+EVENT_DATE = "CAST(DATE '1970-01-01' + CAST((ts_us - ts_us % 86400000000) / 86400000000 AS INT) AS STRING)"
+REPORT_FORMS = {
+    "form_id": "event_id",
+    "provider": "CASE k % 10 WHEN 3 THEN '' WHEN 4 THEN '12a' WHEN 5 THEN '-4' ELSE ' ' || CAST(event_id % 2000 + 1 AS STRING) END",
+    "status": "CASE k % 7 WHEN 0 THEN 'accepting' WHEN 1 THEN 'waitlist' WHEN 2 THEN 'maybe' ELSE 'not_accepting' END",
+    "scope": "CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'adults' WHEN 2 THEN 'pets' ELSE 'children' END",
+    "visit_date": "CASE k % 11 WHEN 0 THEN '2024-13-45' WHEN 1 THEN '1. 1. 2024' ELSE " + EVENT_DATE + " END",
+    "note": "CASE k % 5 WHEN 0 THEN '   ' ELSE ' Zpráva   číslo ' || CAST(event_id AS STRING) || ' ' || repeat('abc ', CAST(k AS INT) * 2) END",
+    "insurers": "CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '111,999,111' ELSE '213,201' END",
+    "site": "CASE k % 8 WHEN 0 THEN 'www.Zubar-Novak.cz' WHEN 1 THEN 'https://A.cz/x?y=1' WHEN 2 THEN 'info@a.cz' WHEN 3 THEN 'a b.cz' WHEN 4 THEN 'http://a.cz:8080/' WHEN 5 THEN 'nonsense' ELSE '' END",
+    "trap": "CASE WHEN user_id % 13 = 0 THEN 'x' ELSE '' END",
+    "rendered_us": "ts_us - k * k * 4000000",
+    "sent_us": "ts_us",
+}
+SIGNUP_FORMS = {
+    "form_id": "event_id",
+    "email": "CASE k % 9 WHEN 0 THEN 'neplatný' WHEN 1 THEN 'a@b' ELSE ' Osoba' || CAST(user_id AS STRING) || '@Example.cz ' END",
+    "specialty": "CASE k % 5 WHEN 0 THEN 'zubar' WHEN 1 THEN 'praktik' WHEN 2 THEN 'kominik' ELSE 'ocni' END",
+    "lat": "CASE k % 6 WHEN 0 THEN '48.3' WHEN 1 THEN 'x' ELSE '50.' || CAST(k AS STRING) END",
+    "lng": "'14.' || CAST(k AS STRING)",
+    "radius_km": "CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN '7' ELSE '20' END",
+    "place": "CASE k % 10 WHEN 9 THEN '  ' ELSE 'Praha   ' || CAST(k AS STRING) END",
+    "lang": "CASE k % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE '' END",
+}
+SIGNUP_REQUESTS = {
+    "request_id": "event_id",
+    "email": "'osoba' || CAST(user_id % 700 AS STRING) || '@example.cz'",
+    "requester": "'h' || CAST(user_id % 50 AS STRING)",
+    "specialty": "CASE k % 3 WHEN 0 THEN 'zubar' WHEN 1 THEN 'praktik' ELSE 'ocni' END",
+    "radius_km": "CASE k % 2 WHEN 0 THEN 5 ELSE 20 END",
+    "lat": "49.0e0 + (k % 4) / 10.0e0",
+    "lng": "15.0e0",
+    "created_us": "ts_us",
+}
+
 # What people type into the search box; one search per event.
 TYPED = [
     "praha", "Praha 6", "pra", "mes", "Město 3", "mesto-22", "město 40", "Dejvice", "Praha-Žižkov", "Brno-sever",
@@ -259,6 +295,19 @@ class Domain:
     def reports(self) -> DataFrame:
         return self._pick(self._event, REPORTS)
 
+    @cached_property
+    def report_forms(self) -> DataFrame:
+        df = self._pick(self._event, REPORT_FORMS)
+        return df.withColumn("insurers", F.filter(F.split("insurers", ","), lambda c: c != ""))
+
+    @cached_property
+    def signup_forms(self) -> DataFrame:
+        return self._pick(self._event, SIGNUP_FORMS)
+
+    @cached_property
+    def signup_requests(self) -> DataFrame:
+        return self._pick(self._event, SIGNUP_REQUESTS)
+
     @cached_property
     def searches(self) -> DataFrame:
         return self._pick(self._event, SEARCHES)
