@@ -13,11 +13,9 @@ from .. import values as V
 from ..functions import text as T
 from ..functions.contact import site_address
 from ..functions.geo import in_box
-from ..session import ship_package
+from .limits import DAY_US, report_step, requester_step, signup_step
 from .status import at
 
-DAY_US = 86_400_000_000
-
 
 # ------------------------------------------------------------------------------- validation
 def is_bot(trap: Column, rendered_at: Column, submitted_at: Column) -> Column:
@@ -98,22 +96,10 @@ def in_order(df: DataFrame, key: list[str], order: list[str], step: Callable, st
                 out.append(step(state, row))
             yield batch.assign(result=pd.Series(out, index=batch.index, dtype="object"))
 
-    ship_package(df.sparkSession)
     rows = df.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, *order)
     return rows.mapInPandas(run, schema)
 
 
-def report_step(accepted: list, row) -> str:
-    """Decide one report against the reports accepted in the last 24 hours."""
-    accepted[:] = [a for a in accepted if a[1] > row.ts_us - DAY_US]
-    if any(a[0] == row.provider_id for a in accepted):
-        return "duplicate"
-    if len(accepted) >= V.REPORTS_PER_DAY:
-        return "too_many"
-    accepted.append((row.provider_id, row.ts_us))
-    return "ok"
-
-
 def limit_reports(reports: DataFrame, providers: DataFrame) -> DataFrame:
     """(report_id, result): ok, duplicate, too_many or no_provider.
 
@@ -138,39 +124,6 @@ def limit_reports(reports: DataFrame, providers: DataFrame) -> DataFrame:
     return decided.select("report_id", "result").unionByName(nobody)
 
 
-def signup_step(state: dict, row) -> str:
-    """Decide one sign-up against the subscriptions of the same address."""
-    subs = state.setdefault("subs", {})
-    where = (row.specialty, row.radius_km, row.lat3, row.lng3)
-    if row.existing:
-        subs.setdefault(where, {"at": row.ts_us, "sends": row.sends, "verified": row.verified})
-        return "existing"
-    same = subs.get(where)
-    if same and same["verified"]:
-        return "already"
-    today = sum(s["at"] > row.ts_us - DAY_US for s in subs.values())
-    if today >= V.SIGNUPS_PER_EMAIL or len(subs) >= V.MAX_ACTIVE_PER_EMAIL or not row.mail_left:
-        return "too_many"
-    if same:
-        if same["at"] > row.ts_us - V.SIGNUP_RECENT_MINUTES * 60_000_000 or same["sends"] >= V.MAX_RESENDS:
-            return "already"
-        same.update(at=row.ts_us, sends=same["sends"] + 1)
-        return "send"
-    subs[where] = {"at": row.ts_us, "sends": 1, "verified": False}
-    return "send"
-
-
-def requester_step(sent: list, row) -> str:
-    """Keep an address's "send" only within the visitor's own daily limit."""
-    sent[:] = [t for t in sent if t > row.ts_us - DAY_US]
-    if row.verdict != "send":
-        return row.verdict
-    if len(sent) >= V.SIGNUPS_PER_REQUESTER:
-        return "too_many"
-    sent.append(row.ts_us)
-    return "send"
-
-
 def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, as_of) -> DataFrame:
     """(request_id, result): send, already or too_many.
 

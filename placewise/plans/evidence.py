@@ -33,7 +33,9 @@ TEXT_SQL = replace_all("html", [
     "(?s)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>",
 ], "''")
 TEXT_SQL = replace_all(TEXT_SQL, ["(?i)</?(?:p|div|li|br|h[1-6]|tr|section|article|header|footer)\\b[^>]*>"], "chr(10)")
-TEXT_SQL = f"replace({replace_all(TEXT_SQL, ['<[A-Za-z/!?][^>]*>'], chr(39) * 2)}, '&amp;', '&')"
+TEXT_SQL = replace_all(TEXT_SQL, ["<[A-Za-z/!?][^>]*>"], "''")
+for entity, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    TEXT_SQL = f"replace({TEXT_SQL}, '&{entity};', '{sign}')"
 NORM_SQL = "regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[ \\t\\r\\f\\v]+', ' ', 'g')"
 QUIET = "|".join(f".{{0,{80 - len(w)}}}{w}.{{0,80}}" for w in V.UI_WORDS)
 RECENT = "|".join(str(y) for y in range(YEAR - 1, 2050))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,20 +47,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent
-        folder = tempfile.mkdtemp(prefix="spark-")  # driver-local; Spark copies the archive to every executor
-        archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(app)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute once, keep the rows in the shared folder: survives lost executors."""
     spark = df.sparkSession

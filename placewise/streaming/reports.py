@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import values as V
-from ..operators.intake import DAY_US, report_step
+from ..operators.limits import DAY_US, report_step
 from ..operators.status import at, hours, provider_status
-from ..session import ship_package
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the limiter below runs in Python workers
 
 DECISION = "report_id long, reporter string, provider_id long, ts_us long, result string"
 
@@ -51,7 +54,6 @@ def limit_reports_stream(reports: DataFrame, late: str = "10 minutes") -> DataFr
     The same decisions as the batch form for reports that arrive in order; needs the RocksDB state
     store provider. Reports on unknown practices are filtered out before by a join with the snapshot.
     """
-    ship_package(reports.sparkSession)
     rows = reports.withWatermark("created_at", late).select(
         "report_id", "reporter", "provider_id", F.unix_micros("created_at").alias("ts_us"), "created_at"
     )
