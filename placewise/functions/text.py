@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body) -> Column:
@@ -43,7 +43,7 @@ def _sign_list() -> str:
 def expand_signs(c: Column) -> Column:
     """Spell out signs that fold to several letters; text without any costs one regex test."""
     table = F.str_to_map(F.lit(_sign_list()), F.lit("\n"), F.lit("\t"))
-    signs = "[" + "".join(_fold_table()[2]) + "]"
+    signs = "[\\x{80}-\\x{FFFF}&&[" + "".join(_fold_table()[2]) + "]]"  # plain letters fail at the first half
     spell = lambda t: F.array_join(
         F.transform(F.split(t, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
@@ -53,7 +53,8 @@ def expand_signs(c: Column) -> Column:
 def unaccent(c: Column) -> Column:
     """Compatibility decomposition, then everything outside ASCII is dropped."""
     src, dst, _ = _fold_table()
-    return F.regexp_replace(F.translate(expand_signs(c), src, dst), r"[^\x00-\x7F]", "")
+    fold = lambda t: F.regexp_replace(F.translate(expand_signs(t), src, dst), r"[^\x00-\x7F]", "")
+    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), fold(t)).otherwise(t))
 
 
 def slugify(c: Column) -> Column:
@@ -97,7 +98,7 @@ def quotable(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean(c: Column) -> Column:
@@ -145,13 +146,17 @@ def spans(text: Column, pattern: str) -> Column:
     )
 
 
-def blank_out(text: Column, pattern: str) -> Column:
-    """Matches become blanks of the same length, so nothing moves."""
+def blank_out(text: Column, pattern: str, focus: Column | None = None) -> Column:
+    """Matches become blanks of the same length, so nothing moves.
+
+    ``focus``, when given, is the only part of the text that can match.
+    """
 
     def masked(t: Column) -> Column:
         words = F.concat(F.regexp_extract_all(t, F.lit(pattern), 0), F.array(F.lit("")))
         kept = F.zip_with(F.split(t, pattern), words, lambda g, w: F.concat(g, F.repeat(F.lit(" "), F.length(w))))
-        return F.when(t.rlike(pattern), F.array_join(kept, "")).otherwise(t)
+        there = (t if focus is None else focus).rlike(pattern)
+        return F.when(there, F.array_join(kept, "")).otherwise(t)
 
     return let(text, masked)
 

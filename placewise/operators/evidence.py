@@ -194,15 +194,25 @@ def _ui(text: Column, hit: Column, rules: Rules) -> Column:
     return near.rlike("|".join(rules.ui_words))
 
 
-def _first_hit(text: Column, patterns: list[str], bad) -> Column:
-    """First match of the first pattern that has one which is not ``bad``."""
+def _first_hit(text: Column, focus: Column, patterns: list[str], bad) -> Column:
+    """First match of the first pattern that has one which is not ``bad``.
+
+    ``focus`` is the part of the text worth trying; the whole text is searched only for patterns
+    that match there.
+    """
     out = []
     for p in patterns:
         hits = F.filter(T.spans(text, p), lambda h: ~bad(h))
-        out.append(F.when(text.rlike(p), F.get(hits, 0)))
+        out.append(F.when(focus.rlike(p), F.get(hits, 0)))
     return F.coalesce(*out)
 
 
+def _focus(norm: Column, stems: str) -> Column:
+    """The sentences that hold one of the stems, NULL when there are none."""
+    kept = F.filter(F.split(norm, "[.!?]"), lambda s: s.rlike(stems))
+    return F.when(norm.rlike(stems), F.array_join(kept, "."))
+
+
 def _scope(window: Column, rules: Rules) -> Column:
     only = lambda x: F.when(x["kids"] & ~x["adults"], "children").when(x["adults"] & ~x["kids"], "adults").otherwise("all")
     return T.let(window, lambda w: T.let(F.struct(w.rlike(rules.kids).alias("kids"), w.rlike(rules.adults).alias("adults")), only))
@@ -217,20 +227,21 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
     """
     norm = F.col("norm")
     sentence = lambda t, h: T.sentence_at(t, h["start"], F.length(h["word"]))
-    neg = _first_hit(norm, rules.negative, lambda h: _ui(norm, h, rules))
-    wait = _first_hit(norm, rules.waitlist, lambda h: stale(sentence(norm, h), as_of_year) | _ui(norm, h, rules))
+    focus = F.col("focus")
+    neg = _first_hit(norm, focus, rules.negative, lambda h: _ui(norm, h, rules))
+    wait = _first_hit(norm, focus, rules.waitlist, lambda h: stale(sentence(norm, h), as_of_year) | _ui(norm, h, rules))
     masked = norm
     for p in rules.negative:
-        masked = T.blank_out(masked, p)
+        masked = T.blank_out(masked, p, focus)
     m = F.col("masked")
     pos = _first_hit(
-        m, rules.positive,
+        m, focus, rules.positive,
         lambda h: T.let(sentence(m, h), lambda s: s.rlike(rules.extra) | stale(s, as_of_year)) | _ui(m, h, rules),
     )
-    hinted = F.col("hinted")
+    hinted = focus.isNotNull()
     df = (
         pages.withColumn("norm", T.normalize_text(F.col("text")))
-        .withColumn("hinted", norm.rlike(rules.hint))
+        .withColumn("focus", _focus(norm, rules.hint))
         .withColumns({"neg": F.when(hinted, neg), "wait": F.when(hinted, wait), "masked": F.when(hinted, masked)})
         .withColumn("pos", F.when(hinted, pos))
     )
@@ -245,7 +256,7 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
             "scope": F.when(F.col("status").isNotNull(), _scope(T.quote(norm, norm, at_, length, 80), rules)),
             "snippet": F.when(said, T.quote(norm, T.quotable(F.col("text")), at_, length, 50)),
         }
-    ).drop("norm", "hinted", "neg", "wait", "pos", "masked", "hit", "text", "html")
+    ).drop("norm", "focus", "neg", "wait", "pos", "masked", "hit", "text", "html")
     return cut_lineage(out)
 
 
@@ -253,8 +264,8 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
 def self_pay_hit(norm: Column) -> Column:
     """Care not covered by any insurer, unless the sentence is about one paid extra."""
     about_extra = lambda h: T.sentence_at(norm, h["start"], F.length(h["word"])).rlike(V.SELF_PAY_EXTRA)
-    hit = _first_hit(norm, V.SELF_PAY, about_extra)
-    return F.when(norm.rlike("nemame|bez smlouv|nesmluvn|samoplatc"), hit)
+    focus = _focus(norm, "nemame|bez smlouv|nesmluvn|samoplatc")
+    return T.let(focus, lambda f: F.when(f.isNotNull(), _first_hit(norm, f, V.SELF_PAY, about_extra)))
 
 
 def english_hit(norm: Column) -> Column:
@@ -262,7 +273,7 @@ def english_hit(norm: Column) -> Column:
     denied = lambda h: F.substring(
         norm, F.greatest(h["start"] - 25, F.lit(1)), h["start"] - F.greatest(h["start"] - 25, F.lit(1))
     ).rlike(V.ENGLISH_NEGATION)
-    return F.when(norm.rlike("anglick|english"), _first_hit(norm, V.ENGLISH, denied))
+    return F.when(norm.rlike("anglick|english"), _first_hit(norm, norm, V.ENGLISH, denied))
 
 
 def _window_codes(window: Column) -> Column:

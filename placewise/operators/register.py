@@ -11,6 +11,7 @@ from .. import values as V
 from ..functions import text as T
 from ..functions.geo import parse_coords
 from ..functions.status import lookup
+from ..session import cut_lineage
 from .status import at
 
 ATTRIBUTES = [
@@ -50,15 +51,20 @@ def specialties_col(raw: Column, care_form: Column, facility_type: Column) -> Co
     """Tracked specialties of one register row as a sorted array."""
     rules = {label: slug for slug, _, labels in V.SPECIALTIES for label in labels}
     labels = F.split(F.coalesce(raw, F.lit("")), "[,;|]")
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(labels, lambda x: lookup(F.lower(T.strip(x)), rules)))))
+    tracked = F.array_sort(F.array_distinct(F.array_compact(F.transform(labels, lambda x: lookup(F.lower(T.strip(x)), rules)))))
     inpatient = (F.coalesce(care_form, F.lit("")) != "") & ~F.lower(care_form).contains(V.OUTPATIENT_WORD)
-    found = F.when(inpatient, F.array_except(found, _slugs(V.SPECIALISTS))).otherwise(found)
+    seen = lambda found: F.when(inpatient, F.array_except(found, _slugs(V.SPECIALISTS))).otherwise(found)
+
+    def open_to_public(x: Column) -> Column:
+        kind, found = x["kind"], x["found"]
+        out = F.when(_mentions(kind, V.CLOSED_FACILITIES), F.array().cast("array<string>"))
+        for own_practice, keep in V.SINGLE_KIND:
+            out = out.when(kind.contains(own_practice), F.array_intersect(found, _slugs(keep)))
+        return out.when(_mentions(kind, V.PSYCHIATRY_ONLY), F.array_intersect(found, _slugs(["psychiatr"]))).otherwise(found)
+
     kind = F.lower(F.coalesce(facility_type, F.lit("")))
-    out = F.when(_mentions(kind, V.CLOSED_FACILITIES), F.array().cast("array<string>"))
-    for own_practice, keep in V.SINGLE_KIND:
-        out = out.when(kind.contains(own_practice), F.array_intersect(found, _slugs(keep)))
-    out = out.when(_mentions(kind, V.PSYCHIATRY_ONLY), F.array_intersect(found, _slugs(["psychiatr"])))
-    return out.otherwise(found)
+    given = T.let(tracked, lambda found: F.struct(kind.alias("kind"), seen(found).alias("found")))
+    return T.let(given, lambda x: F.when(F.size(x["found"]) > 0, open_to_public(x)).otherwise(x["found"]))
 
 
 def place_key(place_id: Column, facility_id: Column, ico: Column, name: Column, city: Column, street: Column, house_no: Column) -> Column:
@@ -136,7 +142,9 @@ def disambiguate_slugs(places: DataFrame) -> DataFrame:
 
 
 def places_from_rows(rows: DataFrame, order: Column, only_tracked: bool = True) -> DataFrame:
-    return disambiguate_slugs(merge_places(parse_rows(rows, order), only_tracked))
+    """Register rows to places. The merged places, one short row each, are kept: the slugs and the
+    next snapshot read them several times, and the raw rows should be parsed once."""
+    return disambiguate_slugs(cut_lineage(merge_places(parse_rows(rows, order), only_tracked)))
 
 
 def bridge_of(places: DataFrame) -> DataFrame:

@@ -53,10 +53,13 @@ def _height(level: Column) -> Column:
 
 
 def _cell_span_km(level: Column, lat: Column) -> Column:
-    """Upper bound of the distance between two points of one cell: once along, once across."""
+    """Upper bound of the distance between two points of one cell: its diagonal at its widest row.
+
+    The hair on top covers the bend of the sphere over the largest cell.
+    """
     h = _height(level)
-    low = F.greatest(F.abs(lat) - h, F.lit(0.0))
-    return F.lit(KM_PER_DEGREE) * h * (F.lit(1.0) + F.lit(STRETCH) * F.cos(F.radians(low)))
+    widest = F.cos(F.radians(F.greatest(F.abs(lat) - h, F.lit(0.0))))
+    return F.lit(1.001 * KM_PER_DEGREE) * h * F.sqrt(F.lit(1.0) + F.pow(F.lit(STRETCH) * widest, 2))
 
 
 def _level_for(half_height: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import status as ST
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import domain as D
 from ..sources import sinks
 from .registry import STEPS, km_sql, query
@@ -119,7 +119,7 @@ def daily_budget(d):
 def alert_run(d):
     """Retention, then matching, then the budgeted queue: the numbers of one run."""
     subs = A.keep_subscriptions(d.subscriptions, d.as_of)
-    due = A.alert_queue(A.pending_alerts(subs, d.listing, d.signals, d.ledger, d.as_of))
+    due = cut_lineage(A.alert_queue(A.pending_alerts(subs, d.listing, d.signals, d.ledger, d.as_of)))
     sent = A.within_budget(due, refused(d), A.keep_mail_log(d.mail_log, d.as_of), d.as_of)
     return A.run_stats(due, sent, refused(d), A.expired_signups(d.subscriptions, d.as_of))
 
@@ -130,7 +130,7 @@ def alert_run(d):
       FROM outgoing o JOIN subscriptions s ON s.subscription_id = o.subscription_id""")
 def alert_rows(d):
     """The outbox, written as JSON lines and read back."""
-    due = pending(d)
+    due = cut_lineage(pending(d))
     sending = A.within_budget(A.alert_queue(due), refused(d), d.mail_log, d.as_of)
     box = A.alert_outbox(due, sending, d.cards, d.subscriptions)
     folder = sinks.write_outbox(box, f"{shared_folder(d.spark)}/outbox", uuid.uuid4().hex)
@@ -144,7 +144,7 @@ def alert_rows(d):
         SELECT subscription_id, provider_id, sent_us FROM ledger UNION ALL
         SELECT p.subscription_id, p.provider_id, {US} FROM pending p JOIN outgoing o ON o.subscription_id = p.subscription_id) GROUP BY 1, 2""")
 def mark_sent(d):
-    due = pending(d)
+    due = cut_lineage(pending(d))
     sending = A.within_budget(A.alert_queue(due), refused(d), d.mail_log, d.as_of)
     delivered = due.join(sending.select("subscription_id"), "subscription_id", "left_semi")
     return A.mark_sent(d.ledger, delivered, d.as_of).select("subscription_id", "provider_id", us("sent_at"))

@@ -11,7 +11,7 @@ from ..operators import cards as K
 from ..operators import discover as DI
 from ..operators import evidence as E
 from ..operators import reconcile as RC
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources import domain as D
 from ..sources import pages as P
 from .registry import STEPS, query
@@ -146,7 +146,7 @@ def english_link(d):
         SELECT doc_id, unnest(string_split_regex({NORM_SQL}, '[.!?\\n]')) AS s FROM documents) GROUP BY 1""")
 def sentences(d):
     """Sentences of whole documents, one row each, then counted."""
-    rows = d.given("documents").select("doc_id", F.posexplode(E.sentences(T.normalize_text(F.col("text")))).alias("pos", "s"))
+    rows = spread(d.given("documents")).select("doc_id", F.posexplode(E.sentences(T.normalize_text(F.col("text")))).alias("pos", "s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s").cast("bigint")).alias("chars"))
 
 
@@ -197,7 +197,7 @@ def page_flags(d):
         SELECT doc_id, lang, len(list_filter(w, lambda x: x IN ({", ".join(map(q, V.EN_WORDS))}))) AS en, len(list_filter(w, lambda x: x IN ({", ".join(map(q, V.CS_WORDS))}))) AS cs
           FROM (SELECT doc_id, lang, regexp_extract_all({NORM_SQL}, '[a-z]+') AS w FROM documents))""")
 def looks_english(d):
-    return d.given("documents").select("doc_id", "lang", E.looks_english(T.normalize_text(F.col("text"))).alias("looks_english"))
+    return spread(d.given("documents")).select("doc_id", "lang", E.looks_english(T.normalize_text(F.col("text"))).alias("looks_english"))
 
 
 FIELD_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN '{f}' END" for f, p in V.FIELD_WORDS.items()) + "], lambda x: x IS NOT NULL)"

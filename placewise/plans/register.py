@@ -12,7 +12,7 @@ from ..functions import display as X
 from ..functions import geo as G
 from ..functions import text as T
 from ..operators import register as R
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import domain as D
 from ..sources import sinks
 from ..sources.register import resolve_columns
@@ -232,12 +232,12 @@ def slugify(d):
 
 @query("H3_slugify_web", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slugify_web(d):
-    return d.given("documents").select("doc_id", T.slugify_web(F.col("text")).alias("slug"))
+    return spread(d.given("documents")).select("doc_id", T.slugify_web(F.col("text")).alias("slug"))
 
 
 @query("H5_normalize_text", "SELECT doc_id, regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[ \\t\\r\\f\\v]+', ' ', 'g') AS text FROM documents")
 def normalize_text(d):
-    return d.given("documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return spread(d.given("documents")).select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
 @query("H6_parse_float", f"SELECT row_no, {NUMBER.format('lat')} AS lat, {NUMBER.format('lng')} AS lng FROM register_rows")

@@ -47,6 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than cores.
+
+    Only small inputs (one short file) are touched; a scan with enough splits is returned as is,
+    so nothing large is ever shuffled for this. For plain scans in front of costly row work.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute once, keep the rows in the shared folder: survives lost executors."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cards import by_specialty, listing, newest_flags, provider_cards
 from ..operators.status import at, provider_status
+from ..session import spread
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_US = 1_706_659_200_000_000
@@ -79,7 +80,8 @@ FLAG_EVENTS = {
 }
 REPORTS = {
     "report_id": "event_id",
-    "reporter": "'r' || CAST(user_id AS STRING)",
+    # one reporter sends a third of everything
+    "reporter": "CASE WHEN event_id % 3 = 0 THEN 'r' ELSE 'r' || CAST(user_id % 30 AS STRING) END",
     "provider_id": "event_id % 40",
     "created_us": "ts_us",
 }
@@ -111,7 +113,7 @@ SIGNUP_FORMS = {
 }
 SIGNUP_REQUESTS = {
     "request_id": "event_id",
-    "email": "'osoba' || CAST(user_id % 700 AS STRING) || '@example.cz'",
+    "email": "CASE WHEN user_id % 3 = 0 THEN 'osoba' ELSE 'nova' END || CAST(user_id AS STRING) || '@example.cz'",
     "requester": "'h' || CAST(user_id % 50 AS STRING)",
     "specialty": "CASE k % 3 WHEN 0 THEN 'zubar' WHEN 1 THEN 'praktik' ELSE 'ocni' END",
     "radius_km": "CASE k % 2 WHEN 0 THEN 5 ELSE 20 END",
@@ -330,12 +332,12 @@ class Domain:
 
     @cached_property
     def register_rows(self) -> DataFrame:
-        df = self.given("orders").join(self._customer, F.col("o_custkey") == F.col("c_custkey"))
+        df = spread(self.given("orders")).join(self._customer, F.col("o_custkey") == F.col("c_custkey"))
         return self._pick(df, REGISTER_ROWS)
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.given("pages").selectExpr(*[f"{text} AS {name}" for name, text in PAGES.items()])
+        return spread(self.given("pages")).selectExpr(*[f"{text} AS {name}" for name, text in PAGES.items()])
 
     @cached_property
     def status(self) -> DataFrame:
