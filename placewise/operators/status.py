@@ -49,11 +49,11 @@ def provider_status(
     combines on the map side, so a provider holding a large share of the log stays one small
     partial row per task.
     """
-    order = F.struct("observed_at", "signal_id")
     own_word = (F.col("source") == "clinic") & (F.col("observed_at") > at(as_of) - days(clinic_days))
     recent = signals.select("signal_id", "provider_id", "source", "status", "observed_at").filter(
         in_window(F.col("observed_at"), as_of, horizon_days)
     )
+    key = _age_key()
     sums = (
         weigh(recent, as_of, half_life_days)
         .groupBy("provider_id")
@@ -61,17 +61,37 @@ def provider_status(
             F.sum("w").alias("confidence"),
             (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("score"),
             F.max("observed_at").alias("last_signal_at"),
-            F.max_by("source", order).alias("last_source"),
-            F.max_by("status", F.when(own_word, order)).alias("clinic"),
+            F.max(key).alias("newest"),
+            F.max(F.when(own_word, key)).alias("own"),
         )
     )
+    # the last two digits of a key say which source and status it stands for
+    code = lambda c: (F.col(c) % 100).cast("int")
+    source = F.get(F.array(*[F.lit(x) for x in V.SOURCE_WEIGHTS]), F.floor(code("newest") / 10).cast("int"))
+    clinic = F.when(F.col("own").isNotNull(), F.get(F.array(*[F.lit(x) for x in V.STATUSES]), F.coalesce(code("own") % 10, F.lit(0))))
     return sums.select(
         "provider_id",
         F.round("confidence", 3).alias("confidence"),
         F.round("score", 3).alias("score"),
         "last_signal_at",
-        S.classify(F.col("confidence"), F.col("score"), F.col("clinic")).alias("status"),
-        "last_source",
+        S.classify(F.col("confidence"), F.col("score"), clinic).alias("status"),
+        source.alias("last_source"),
+    )
+
+
+def _age_key() -> Column:
+    """One number that sorts rows by (observed_at, signal_id) and carries source and status.
+
+    A maximum of numbers is kept in place by Spark's hash aggregation; a maximum of structs or
+    strings would make it sort the whole log first. Digits: time in microseconds, then 20 for the
+    id moved above zero, one for the source, one for the status.
+    """
+    index = lambda c, names: S.lookup(F.col(c), {n: i for i, n in enumerate(names)})
+    code = index("source", V.SOURCE_WEIGHTS) * 10 + index("status", V.STATUSES)
+    big = lambda c, digits: c.cast(f"decimal({digits},0)")
+    row = big(F.col("signal_id"), 20) + big(F.lit("9223372036854775808"), 20)
+    return big(
+        big(F.unix_micros("observed_at"), 16) * big(F.lit("1" + "0" * 22), 23) + big(row, 21) * big(F.lit("100"), 3) + big(code, 2), 38
     )
 
 
