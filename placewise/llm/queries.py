@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import overlaps
+from .mixture import taken_words
 from .neardup import near_duplicates
+from .quality import quality_scores
+from .tokens import token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +55,27 @@ FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
       LEFT JOIN comp c ON c.rep = sets.rep""")
 def op10(spark, folder):
     return near_duplicates(read_table(spark, folder, "documents"), size=5, percent=85)
+
+
+@query("op7_quality")
+def op7(spark, folder):
+    return quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"), cut=0.3)
+
+
+@query("op8_decontaminate")
+def op8(spark, folder):
+    """One row per document and benchmark item that it repeats."""
+    found = overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "n_equal")
+
+
+@query("op5_mixture")
+def op5(spark, folder):
+    return taken_words(read_table(spark, folder, "documents"))
+
+
+@query("op4_token_ids")
+def op4(spark, folder):
+    import public_tokenizers
+
+    return token_ids(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
