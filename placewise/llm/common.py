@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, cut_lineage, shared_folder
 
+# Tasks carry the code of this package with them: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 __all__ = [
     "ROWS_PER_BATCH", "crc32_mod", "cut_lineage", "mix64", "read_table", "run_folder", "setup", "shared_folder", "shingles", "sliced", "text_buffers",
     "word_hashes", "with_columns",

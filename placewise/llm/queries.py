@@ -12,6 +12,7 @@ from .mixture import taken_words
 from .neardup import near_duplicates
 from .quality import quality_scores
 from .tokens import token_ids
+from .topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,7 @@ FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 @query("op10_near_duplicates", f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []
-                 ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> md5(array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+                 ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
     sets AS MATERIALIZED (SELECT list_sort(s) AS s, md5(array_to_string(list_sort(s), '')) AS class, min(doc_id) AS rep, any_value(len(s)) AS n
                             FROM s WHERE len(s) > 0 GROUP BY 1, 2),
     grams AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM sets),
@@ -79,3 +80,14 @@ def op4(spark, folder):
     import public_tokenizers
 
     return token_ids(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op1_exact_top_k", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op1(spark, folder):
+    return top_k(read_table(spark, folder, "embeddings"), every=50, k=5)
