@@ -11,7 +11,7 @@ import struct
 import numpy as np
 
 EVERY = 512
-HEAD = struct.Struct("<QQB7x")
+HEAD = "<QQB7x"
 
 
 class EliasFano:
@@ -36,13 +36,13 @@ class EliasFano:
 
     def to_bytes(self) -> bytes:
         """Head, samples, high bit string, low bits."""
-        parts = [HEAD.pack(self.n, self.top, self.low), self.samples.astype("<u8").tobytes(), self.highs.tobytes(), self.lows.tobytes()]
+        parts = [struct.pack(HEAD, self.n, self.top, self.low), self.samples.astype("<u8").tobytes(), self.highs.tobytes(), self.lows.tobytes()]
         return b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, top, low = HEAD.unpack_from(data)
-        at = HEAD.size
+        n, top, low = struct.unpack_from(HEAD, data)
+        at = struct.calcsize(HEAD)
         samples = np.frombuffer(data, "<u8", -(-n // EVERY), at)
         at += samples.nbytes
         size = -(-((top >> low) + n) // 8) if n else 0
