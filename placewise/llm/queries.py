@@ -11,6 +11,7 @@ from .decontaminate import overlaps
 from .mixture import taken_words
 from .neardup import near_duplicates
 from .quality import quality_scores
+from .secrets import find_secrets
 from .tokens import token_ids
 from .topk import top_k
 
@@ -91,3 +92,8 @@ def op4(spark, folder):
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def op1(spark, folder):
     return top_k(read_table(spark, folder, "embeddings"), every=50, k=5)
+
+
+@query("op6_secrets")
+def op6(spark, folder):
+    return find_secrets(read_table(spark, folder, "documents"))
