@@ -19,7 +19,7 @@ from ..session import configure, cut_lineage, shared_folder
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 __all__ = [
-    "ROWS_PER_BATCH", "crc32_mod", "cut_lineage", "mix64", "read_table", "run_folder", "setup", "shared_folder", "shingles", "sliced", "text_buffers",
+    "ROWS_PER_BATCH", "crc32_mod", "cut_lineage", "mix64", "read_table", "run_folder", "setup", "shared", "shared_folder", "shingles", "sliced", "text_buffers",
     "word_hashes", "with_columns",
 ]
 
@@ -60,6 +60,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared(spark: SparkSession, value):
+    """Send a value of fixed size to all tasks once; a task calls the result to get it. Carries this package's classes too."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def with_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, each cast to the given type; other columns of the table never matter."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])

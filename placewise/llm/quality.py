@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, FOLD, STEP, crc32_mod, cut_lineage, mix64, setup, sliced, text_buffers, with_columns
+from .common import BYTE_VALUE, FOLD, STEP, crc32_mod, cut_lineage, mix64, setup, shared, sliced, text_buffers, with_columns
 
 BUCKETS, WIDTH, MARKS, REACH = 1 << 15, 32, 2, 2
 RESERVED = 1024  # buckets of runs of capitals, digits and signs
@@ -177,11 +177,12 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """(doc_id, pooled): the pooled vectors of each text, as float32."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    sent = shared(docs.sparkSession, vectors)
 
     def run(batches):
+        table = sent()
         for batch in sliced(batches):
-            rows = pool(batch.column("text"), shared.value)
+            rows = pool(batch.column("text"), table)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "pooled"])
 
     return with_columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, pooled binary")
@@ -279,11 +280,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_row
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` whose text scores ``cut`` or more; nothing is joined or shuffled."""
     model, _ = fit(docs, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batches):
+        known = sent()
         for batch in sliced(batches):
-            good = shared.value.score(pool(batch.column("text"), shared.value.vectors)) >= cut
+            good = known.score(pool(batch.column("text"), known.vectors)) >= cut
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

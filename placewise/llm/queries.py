@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import overlaps
+from .langid import languages
 from .mixture import taken_words
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -97,3 +98,8 @@ def op1(spark, folder):
 @query("op6_secrets")
 def op6(spark, folder):
     return find_secrets(read_table(spark, folder, "documents"))
+
+
+@query("op2_language")
+def op2(spark, folder):
+    return languages(read_table(spark, folder, "documents"))
