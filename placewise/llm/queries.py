@@ -15,6 +15,7 @@ from .quality import quality_scores
 from .secrets import find_secrets
 from .tokens import token_ids
 from .topk import top_k
+from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,9 @@ def op6(spark, folder):
 @query("op2_language")
 def op2(spark, folder):
     return languages(read_table(spark, folder, "documents"))
+
+
+@query("op9_warc")
+def op9(spark, folder):
+    found = archived(read_table(spark, folder, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
