@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import overlaps
+from .htmltext import extracted
 from .langid import languages
 from .mixture import taken_words
 from .neardup import near_duplicates
@@ -110,3 +111,8 @@ def op2(spark, folder):
 def op9(spark, folder):
     found = archived(read_table(spark, folder, "pages"), least=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
+@query("op3_main_text")
+def op3(spark, folder):
+    return extracted(read_table(spark, folder, "pages"))
