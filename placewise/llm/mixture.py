@@ -20,14 +20,18 @@ the text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64, setup
+from .common import cut_lineage, mix64, setup, sliced
 
 WEIGHTS = (5, 2, 1)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHARD, MOST = 4096, 3
 PER_SOURCE, LONGEST = 2000, 512
 # Above this many slots a half draws its counts in proportion: the chance part would be under one in ten thousand.
@@ -175,7 +179,7 @@ def mixed(docs: DataFrame, block: int | None = None, per_shard: int = SHARD, see
     documents, table, block = placed(docs, block)
     end = F.col("first") + F.col("size")
     cover = documents.filter("size > 0").select(
-        "number", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((end - 1) / block))).alias("block")
+        "number", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block")
     ).select(
         "number", "block", "first", F.greatest(F.lit(0), F.col("block") * block - F.col("first")).alias("from_word"),
         (F.least((F.col("block") + 1) * block, end) - F.greatest(F.col("block") * block, "first")).alias("words"),
@@ -203,8 +207,8 @@ def mixed_documents(docs: DataFrame, block: int | None = None, per_shard: int =
     takes = pieces.groupBy("number", "first", "round").agg(
         F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("parts")  # at most size / block
     )
-    takes = takes.join(documents, ["number", "first"]).select(
-        "taken", "parts", F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), F.col("size").alias("__size")
+    takes = takes.join(documents.filter("size > 0"), ["number", "first"]).select(
+        F.col("taken").alias("__taken"), F.col("parts").alias("__parts"), F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), F.col("size").alias("__size")
     )
     texts = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
     if not documents.filter("size > 0").groupBy("doc_id", "tie", "source").count().filter("count > 1").isEmpty():
@@ -213,12 +217,21 @@ def mixed_documents(docs: DataFrame, block: int | None = None, per_shard: int =
         takes,
         F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")) & F.col("source").cast("string").eqNullSafe(F.col("__source")),
     )
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    some = F.array_join(
-        F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " "
-    )
-    text = F.when(F.col("taken") == F.col("__size"), F.col("text")).otherwise(some)
-    joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+    kept = docs.columns
+
+    def run(batches):
+        for batch in sliced(batches):
+            texts = []
+            for text, size, taken, parts in zip(*[batch.column(c).to_pylist() for c in ("text", "__size", "__taken", "__parts")], strict=True):
+                if taken != size:
+                    words = WORD.findall(text)
+                    text = " ".join(chain.from_iterable(words[p["from_word"] : p["from_word"] + p["words"]] for p in parts))
+                texts.append(text)
+            out = batch.select(kept)
+            for name, values in (("text", texts), ("n_chars", [len(t) for t in texts])):
+                if name in kept:
+                    at = out.schema.get_field_index(name)
+                    out = out.set_column(at, out.schema.field(at), pa.array(values, out.schema.field(at).type))
+            yield out
+
+    return joined.select(*kept, "__size", "__taken", "__parts").mapInArrow(run, docs.schema)
