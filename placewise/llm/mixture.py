@@ -184,7 +184,8 @@ def mixed(docs: DataFrame, block: int | None = None, per_shard: int = SHARD, see
         "number", "block", "first", F.greatest(F.lit(0), F.col("block") * block - F.col("first")).alias("from_word"),
         (F.least((F.col("block") + 1) * block, end) - F.greatest(F.col("block") * block, "first")).alias("words"),
     )
-    slots = slots_table(docs.sparkSession, table, per_shard, seed)
+    # the planner takes the slots for as few rows as there are shards, and would broadcast them
+    slots = slots_table(docs.sparkSession, table, per_shard, seed).hint("merge")
     return documents, slots.join(cover, ["number", "block"]).select("shard", "slot", "round", "number", "first", "from_word", "words")
 
 
