@@ -18,23 +18,36 @@ def let(value: Column, body) -> Column:
 
 @functools.cache
 def _fold_table() -> tuple[str, str, dict[str, str]]:
-    """Compatibility folding of the Basic Multilingual Plane, derived from the Unicode database.
+    """Compatibility folding of all characters, derived from the Unicode database.
 
-    Returns the characters that fold to one ASCII character, what they fold to, and the few common
-    ones (dots, fractions, ligatures, letter signs) that fold to several.
+    Returns the characters that fold to one ASCII character, what they fold to, and those (dots,
+    fractions, ligatures, letter and unit signs) that fold to several.
     """
     src, dst, longer = [], [], {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue  # halves of UTF-16 pairs are no characters
         ch = chr(code)
         ascii_form = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
         if len(ascii_form) == 1:
             src.append(ch)
             dst.append(ascii_form)
-        elif ascii_form and (code < 0x200 or 0x2000 <= code < 0x2200 or 0xFB00 <= code <= 0xFB06):
+        elif ascii_form:
             longer[ch] = ascii_form
     return "".join(src), "".join(dst), longer
 
 
+def _ranges(chars) -> str:
+    """Characters as the inside of a regex class; consecutive ones as ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
 @functools.cache
 def _sign_list() -> str:
     return "\n".join(f"{sign}\t{plain}" for sign, plain in _fold_table()[2].items())
@@ -43,9 +56,9 @@ def _sign_list() -> str:
 def expand_signs(c: Column) -> Column:
     """Spell out signs that fold to several letters; text without any costs one regex test."""
     table = F.str_to_map(F.lit(_sign_list()), F.lit("\n"), F.lit("\t"))
-    signs = "[\\x{80}-\\x{FFFF}&&[" + "".join(_fold_table()[2]) + "]]"  # plain letters fail at the first half
+    signs = "[\\x{80}-\\x{10FFFF}&&[" + _ranges(_fold_table()[2]) + "]]"  # plain letters fail at the first half
     spell = lambda t: F.array_join(
-        F.transform(F.split(t, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+        F.transform(F.split(t, ""), lambda ch: F.when(ch.rlike(signs), F.coalesce(F.try_element_at(table, ch), ch)).otherwise(ch)), ""
     )
     return let(c, lambda t: F.when(t.rlike(signs), spell(t)).otherwise(t))
 
@@ -87,13 +100,7 @@ def quotable(c: Column) -> Column:
     src, _, _ = _fold_table()
     blanks = "".join(ch for ch in src if unicodedata.normalize("NFKD", ch) == " ")
     text = F.translate(expand_signs(c), blanks, " " * len(blanks))
-    runs: list[list[int]] = []  # consecutive code points as ranges keep the character class short
-    for code in sorted(ord(ch) for ch in src if ch not in blanks):
-        if runs and code == runs[-1][1] + 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    safe = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    safe = _ranges(ch for ch in src if ch not in blanks)
     return F.regexp_replace(F.regexp_replace(text, f"[^\\x00-\\x7F{safe}]", ""), r"[ \t\r\f\x0B]+", " ")
 
 

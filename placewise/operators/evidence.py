@@ -7,7 +7,9 @@ the words a family needs costs a single scan.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,15 +46,29 @@ class Rules:
 
 
 # ------------------------------------------------------------------------------- html
+@functools.cache
+def _all_entities() -> str:
+    """Every named character reference of HTML."""
+    return "\x01".join(f"{name[:-1]}\x02{value}" for name, value in sorted(html5.items()) if name.endswith(";"))
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numbered character references; anything unknown stays as written."""
-    table = F.str_to_map(F.lit("|".join(f"{k}~{v}" for k, v in ENTITIES.items())), F.lit("\\|"), F.lit("~"))
+    usual = F.str_to_map(F.lit("|".join(f"{k}~{v}" for k, v in ENTITIES.items())), F.lit("\\|"), F.lit("~"))
+    table = F.str_to_map(F.lit(_all_entities()), F.lit("\x01"), F.lit("\x02"))
+    western = F.array(*[F.lit(bytes([b]).decode("windows-1252", "ignore") or chr(b)) for b in range(128, 160)])
+
+    def letter(n: Column) -> Column:
+        """A numbered character; numbers from 128 to 159 mean windows-1252, numbers of no character a replacement sign."""
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        odd = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(odd, "\ufffd").when(n.between(128, 159), F.element_at(western, n - 127)).otherwise(plain)
 
     def sign(name: Column) -> Column:
-        decimal = F.regexp_extract(name, r"^#(\d{1,7})$", 1).try_cast("int")
-        hexadecimal = F.conv(F.nullif(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1), F.lit("")), 16, 10).try_cast("int")
-        letter = lambda n: F.when(n.between(1, 65535), F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE"))
-        return F.when(name.startswith("#"), T.let(F.coalesce(decimal, hexadecimal), letter)).otherwise(F.try_element_at(table, name))
+        decimal = F.regexp_extract(name, r"^#(\d{1,9})$", 1).try_cast("int")
+        hexadecimal = F.conv(F.nullif(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,7})$", 1), F.lit("")), 16, 10).try_cast("int")
+        named = F.coalesce(F.try_element_at(usual, name), F.try_element_at(table, name))
+        return F.when(name.startswith("#"), T.let(F.coalesce(decimal, hexadecimal), letter)).otherwise(named)
 
     def one(piece: Column, i: Column) -> Column:
         named = lambda n: F.coalesce(
@@ -129,10 +145,23 @@ def join_url(base: Column, href: Column) -> Column:
         .when(h.startswith("?"), F.concat(origin, url_path(base), h))
         .otherwise(F.concat(origin, folder, h))
     )
-    out = F.regexp_replace(T.let(F.regexp_replace(T.strip(href), "#.*$", ""), full), r"/(?:\./)+", "/")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(://[^/]+(?:/[^/?]+)*?)/[^/?.]+/\.\./", "$1/")
-    return F.regexp_replace(out, r"(://[^/]+)/(?:\.\./)+", "$1/")
+    return T.let(T.let(F.regexp_replace(T.strip(href), "#.*$", ""), full), without_dots)
+
+
+def without_dots(url: Column) -> Column:
+    """An address whose path has no ``.`` and ``..`` steps, however many there were."""
+    pattern = r"^([^:/?]+://[^/?]*)(/[^?]*)(.*)$"
+    steps = F.slice(F.split(F.regexp_extract(url, pattern, 2), "/"), F.lit(2), F.lit(1 << 20))
+    none = F.array().cast("array<string>")
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    folder = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)  # a last step of dots is a folder
+    path = F.array_join(F.concat(F.aggregate(steps, none, walk), folder), "/")
+    joined = F.concat(F.regexp_extract(url, pattern, 1), F.lit("/"), path, F.regexp_extract(url, pattern, 3))
+    return F.when(url.rlike(r"^[^:/?]+://[^/?]*/(?:[^?]*/)?\.\.?(?:[/?]|$)"), joined).otherwise(url)
 
 
 def _same_site(links: DataFrame) -> DataFrame:

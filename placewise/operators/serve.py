@@ -14,6 +14,7 @@ from ..functions.display import is_prague, natural_order, place_label
 from ..functions.geo import distance_km, in_circle_box
 from ..functions.status import rank_cli, rank_web
 from ..functions.text import flat, slugify, slugify_web
+from ..session import cut_lineage
 from .spatial import nearest
 from .status import at
 
@@ -49,14 +50,10 @@ def near(
     )
 
 
-def nearby(spec_cards: DataFrame, specialty: str, lat: float, lng: float, km: float, limit: int = 30) -> DataFrame:
-    """Site search: full cards, the site's status order, distance to one decimal."""
-    return (
-        _within(spec_cards.filter(F.col("specialty") == specialty), lat, lng, km)
-        .withColumn("km", F.round("km", 1))
-        .orderBy(rank_web(F.col("status")), "km", "provider_id")
-        .limit(limit)
-    )
+def nearby(spec_cards: DataFrame, specialty: str, lat: float, lng: float, km: float, limit: int | None = 30) -> DataFrame:
+    """Site search: full cards, the site's status order, distance to one decimal; ``limit=None`` gives all."""
+    rows = _within(spec_cards.filter(F.col("specialty") == specialty), lat, lng, km).withColumn("km", F.round("km", 1))
+    return rows if limit is None else rows.orderBy(rank_web(F.col("status")), "km", "provider_id").limit(limit)
 
 
 def clamp_km(km: Column) -> Column:
@@ -132,32 +129,32 @@ def open_fallback(spec_cards: DataFrame, km: float = 30, k: int = 4) -> DataFram
     return _found(hits, "specialty", "city_slug")
 
 
-def english_nearby(spec_cards: DataFrame, km: float = 25, pool: int = 1000, k: int = 12) -> DataFrame:
-    """Per town without an English-speaking practice: the nearest ones among the ``pool`` best."""
+def english_nearby(spec_cards: DataFrame, km: float = 25, k: int = 12) -> DataFrame:
+    """Per town without an English-speaking practice: the ``k`` best that speak it, from other towns around."""
     none = town_counts(spec_cards).filter(F.col("english") == 0)
-    best = nearest(
-        _town_queries(none, F.lit(float(km)), F.lit(pool)), _as_candidates(spec_cards), pool, ["specialty"],
-        ["specialty", "city_slug"], [0, 1, 2, 3, 4], pile=pool,
+    speaks = _as_candidates(spec_cards.filter("english"))
+    hits = nearest(
+        _town_queries(none, F.lit(float(km)), F.lit(k)), speaks, k, ["specialty"], ["specialty", "city_slug"], [0, 1, 2, 3, 4],
+        skip=F.col("c_town").eqNullSafe(F.col("city_slug")), pile=k,
     )
-    hits = best.filter(F.col("c_english") & ~F.col("c_town").eqNullSafe(F.col("city_slug"))).drop("rn")
-    order = W.partitionBy("specialty", "city_slug").orderBy("rank", "km", "c_id")
-    return _found(hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k), "specialty", "city_slug")
+    return _found(hits, "specialty", "city_slug")
 
 
 def english_in_town(spec_cards: DataFrame) -> DataFrame:
     return spec_cards.filter("english AND city_slug IS NOT NULL")
 
 
-def english_prague(spec_cards: DataFrame, specialty: str, pool: int = 3000) -> DataFrame:
-    """English-speaking practices of Prague among the ``pool`` best within 25 km of its centre."""
+def english_prague(spec_cards: DataFrame, specialty: str) -> DataFrame:
+    """English-speaking practices of Prague within 25 km of its centre."""
     lat, lng = V.PRAGUE_POINT
-    return nearby(spec_cards, specialty, lat, lng, 25, pool).filter(F.col("english") & is_prague(F.col("city_slug")))
+    rows = spec_cards.filter((F.col("specialty") == specialty) & F.col("english") & is_prague(F.col("city_slug")))
+    return _within(rows, lat, lng, 25).withColumn("km", F.round("km", 1)).orderBy(rank_web(F.col("status")), "km", "provider_id")
 
 
 def english_first(spec_cards: DataFrame, specialty: str, lat: float, lng: float, km: float, english_only: bool = False) -> DataFrame:
     """English pages: within a status, practices that speak English come first."""
     if english_only:
-        rows = nearby(spec_cards, specialty, lat, lng, max(km, 25), 500).filter("english")
+        rows = nearby(spec_cards.filter("english"), specialty, lat, lng, max(km, 25), limit=None)
     else:
         rows = nearby(spec_cards, specialty, lat, lng, km, 30)
     return rows.orderBy(
@@ -193,9 +190,9 @@ def towns(rows: DataFrame, min_providers: int = 1) -> DataFrame:
     )
 
 
-def towns_ranked(town_rows: DataFrame, specialty: str, limit: int = 10000) -> DataFrame:
-    rows = town_rows.filter(F.col("specialty") == specialty)
-    return rows.orderBy(F.col("n").desc(), "city", "city_slug").limit(limit)
+def towns_ranked(town_rows: DataFrame, specialty: str, limit: int | None = None) -> DataFrame:
+    rows = town_rows.filter(F.col("specialty") == specialty).orderBy(F.col("n").desc(), "city", "city_slug")
+    return rows if limit is None else rows.limit(limit)
 
 
 def town_middles(rows: DataFrame) -> DataFrame:
@@ -364,19 +361,31 @@ def sitemap_entries(rows: DataFrame, providers: DataFrame, min_n: int = 3) -> Da
     return pages.unionByName(people, allowMissingColumns=True)
 
 
-def sitemap_urls(entries: DataFrame, base: str, limit: int = V.SITEMAP_MAX) -> DataFrame:
-    """Addresses of one sitemap file, in a fixed order: towns in both languages, then providers."""
+def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """Rows numbered from 1 in a total order, without gathering them in one task.
+
+    Rows are dealt by range; a part's first number is the count of the parts before it.
+    """
+    key = F.struct(*order)
+    dealt = cut_lineage(df.withColumn("__key", key).repartitionByRange("__key").withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select(
+        "__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")).alias("__before")
+    )
+    place = F.row_number().over(W.partitionBy("__part").orderBy("__key"))
+    return dealt.join(before, "__part").withColumn(name, (F.col("__before") + place).cast("bigint")).drop("__key", "__part", "__n", "__before")
+
+
+def sitemap_urls(entries: DataFrame, base: str, per_file: int = V.SITEMAP_MAX) -> DataFrame:
+    """(file, url) of all addresses, in a fixed order: towns in both languages, then providers; files hold ``per_file`` each."""
     town = F.array(
         F.concat(F.lit("/"), "specialty", F.lit("/"), "slug"), F.concat(F.lit("/en/"), "specialty", F.lit("/"), "slug")
     )
     person = F.array(F.concat(F.lit("/lekar/"), "slug", F.lit("-"), slugify_web(F.col("name"))))
     is_town = F.col("kind") == "city"
-    return (
-        entries.select("kind", F.explode(F.when(is_town, town).otherwise(person)).alias("path"))
-        .orderBy("kind", "path")
-        .limit(limit)
-        .select(F.concat(F.lit(base.rstrip("/")), "path").alias("url"))
-    )
+    paths = entries.select("kind", F.explode(F.when(is_town, town).otherwise(person)).alias("path"))
+    file = F.ceil(F.col("pos") / per_file).cast("int").alias("file")
+    return numbered(paths, F.col("kind"), F.col("path")).select(file, F.concat(F.lit(base.rstrip("/")), "path").alias("url"))
 
 
 # ------------------------------------------------------------------------------- one provider
@@ -448,7 +457,7 @@ def flat_keys(town_rows: DataFrame, min_chars: int = 1) -> DataFrame:
 
 def suggest(searches: DataFrame, town_rows: DataFrame, k: int = 8) -> DataFrame:
     """Suggestions for every (specialty, typed text): an equality join with the town index."""
-    asked = searches.select("specialty", slugify_web(F.substring("q", 1, 60)).alias("needle")).distinct().filter(F.length("needle") >= 2)
+    asked = searches.select("specialty", slugify_web(F.col("q")).alias("needle")).distinct().filter(F.length("needle") >= 2)
     direct = asked.join(
         town_keys(town_rows).withColumnRenamed("key", "needle"), ["specialty", "needle"]
     ).select("specialty", "needle", "city_slug", "n", "kind")
@@ -476,9 +485,11 @@ def prague_dictionary(spark) -> DataFrame:
     return df.select(flat(F.col("name")).alias("part"), "slug")
 
 
-def resolve_places(searches: DataFrame, town_rows: DataFrame, postcodes: DataFrame, most: int = 30) -> DataFrame:
+def resolve_places(searches: DataFrame, town_rows: DataFrame, postcodes: DataFrame, shown: int = 30) -> DataFrame:
     """What place does a typed text mean? One row per distinct (specialty, q).
 
+    All matches are counted; a list shows the ``shown`` best of them.
+
     The steps are tried in order: a town name, Prague by number, a Prague neighbourhood, the words
     in front of a district name, a postcode. Each step is an equality join.
     """
@@ -497,11 +508,12 @@ def resolve_places(searches: DataFrame, town_rows: DataFrame, postcodes: DataFra
         .join(flat_keys(town_rows), ["specialty", "key"])
         .withColumn("fit", fit)
         .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= most)
         .groupBy(*key)
         .agg(
             F.count("*").alias("n_match"), F.count_if(F.col("fit") == 0).alias("n_exact"),
-            F.transform(F.sort_array(F.collect_list(F.struct("rn", "city_slug"))), lambda s: s["city_slug"]).alias("matches"),
+            F.transform(
+                F.sort_array(F.collect_list(F.when(F.col("rn") <= shown, F.struct("rn", "city_slug")))), lambda s: s["city_slug"]
+            ).alias("matches"),
         )
     )
 

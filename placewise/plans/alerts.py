@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import status as ST
+from ..operators.serve import numbered
 from ..session import cut_lineage, shared_folder
 from ..sources import domain as D
 from ..sources import sinks
@@ -92,11 +92,10 @@ def top10_per_alert(d):
 
 @query("F9_alert_queue_order", """
     SELECT CAST(row_number() OVER (ORDER BY created_us, subscription_id) AS INT) AS pos, subscription_id, created_us
-      FROM (SELECT * FROM queue ORDER BY created_us, subscription_id LIMIT 450)""")
+      FROM queue""")
 def alert_queue_order(d):
-    head = A.alert_queue(pending(d)).orderBy("created_at", "subscription_id").limit(450)
-    pos = F.row_number().over(W.orderBy("created_at", "subscription_id"))  # at most 450 rows
-    return head.select(pos.alias("pos"), "subscription_id", us("created_at"))
+    queue = numbered(A.alert_queue(pending(d)), F.col("created_at"), F.col("subscription_id"))
+    return queue.select(F.col("pos").cast("int").alias("pos"), "subscription_id", us("created_at"))
 
 
 @query("D22_mail_budget", "SELECT CAST(budget AS BIGINT) AS budget FROM budget")

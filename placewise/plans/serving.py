@@ -274,9 +274,8 @@ def open_fallback(d):
 
 
 @query("M13_english_search", f"""
-    SELECT specialty, city_slug, other_id, rank, km, CAST(row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, km, other_id) AS INT) AS rn FROM (
-        SELECT *, row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, km, other_id) AS pool FROM ({TOWN_PAIR})
-         WHERE exact <= 25 AND english = 0) WHERE pool <= 1000 AND c_english AND c_town IS DISTINCT FROM city_slug QUALIFY rn <= 12""")
+    SELECT specialty, city_slug, other_id, rank, km, CAST(row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, km, other_id) AS INT) AS rn
+      FROM ({TOWN_PAIR}) WHERE exact <= 25 AND english = 0 AND c_english AND c_town IS DISTINCT FROM city_slug QUALIFY rn <= 12""")
 def english_search(d):
     return serve.english_nearby(d.spec_cards)
 
@@ -287,10 +286,9 @@ def english_in_town(d):
 
 
 @query("M13_english_prague", f"""
-    SELECT provider_id, status, km FROM (
-        SELECT *, round({km_sql('50.0755e0', '14.4378e0', 'lat', 'lng')}, 1) AS km FROM spec_cards
-         WHERE specialty = 'praktik' AND {km_sql('50.0755e0', '14.4378e0', 'lat', 'lng')} <= 25 ORDER BY rank, km, provider_id LIMIT 3000)
-     WHERE english AND city_slug LIKE 'praha%'""")
+    SELECT provider_id, status, round({km_sql('50.0755e0', '14.4378e0', 'lat', 'lng')}, 1) AS km FROM spec_cards
+     WHERE specialty = 'praktik' AND {km_sql('50.0755e0', '14.4378e0', 'lat', 'lng')} <= 25
+       AND english AND regexp_matches(city_slug, '^praha(-[0-9]+)?$')""")
 def english_prague(d):
     return serve.english_prague(d.spec_cards, "praktik").select("provider_id", "status", "km")
 
@@ -298,10 +296,10 @@ def english_prague(d):
 @query("F7_english_first", f"""
     SELECT provider_id, status, english, english_site, km FROM (
         SELECT *, round({km_sql('49.8e0', '15.4e0', 'lat', 'lng')}, 1) AS km FROM spec_cards
-         WHERE specialty = 'praktik' AND {km_sql('49.8e0', '15.4e0', 'lat', 'lng')} <= 25 ORDER BY rank, km, provider_id LIMIT 500)
+         WHERE specialty = 'praktik' AND {km_sql('49.8e0', '15.4e0', 'lat', 'lng')} <= 120)
      WHERE english ORDER BY rank, english_site DESC, km, provider_id LIMIT 30""")
 def english_first(d):
-    rows = serve.english_first(d.spec_cards, "praktik", *POINT, km=10, english_only=True)
+    rows = serve.english_first(d.spec_cards, "praktik", *POINT, km=120, english_only=True)
     return rows.select("provider_id", "status", "english", "english_site", "km")
 
 
@@ -329,12 +327,12 @@ def city_providers(d):
 @query("F4_town_order", """
     SELECT specialty, city_slug, provider_id, CAST(rn AS INT) AS rn FROM (
         SELECT *, row_number() OVER (PARTITION BY specialty, city_slug ORDER BY rank, self_pay, last_signal_us DESC NULLS LAST, name, provider_id) AS rn
-          FROM spec_cards WHERE city_slug IS NOT NULL) WHERE rn <= 30""")
+          FROM spec_cards WHERE city_slug IS NOT NULL)""")
 def town_order(d):
     from pyspark.sql import Window as W
 
     place = W.partitionBy("specialty", "city_slug").orderBy(*serve.town_order())
-    rows = d.spec_cards.filter("city_slug IS NOT NULL").withColumn("rn", F.row_number().over(place)).filter("rn <= 30")
+    rows = d.spec_cards.filter("city_slug IS NOT NULL").withColumn("rn", F.row_number().over(place))
     return rows.select("specialty", "city_slug", "provider_id", "rn")
 
 
@@ -503,25 +501,18 @@ def accepting_regions(d):
 
 
 @query("B10_district_filter", """
-    SELECT provider_id, status, CAST(rn AS INT) AS rn FROM (
-        SELECT *, row_number() OVER (ORDER BY pool) AS rn FROM (
-            SELECT *, row_number() OVER (ORDER BY rank, last_signal_us DESC NULLS LAST, provider_id) AS pool
-              FROM spec_cards WHERE rank <= 1 AND specialty = 'zubar' AND region = 'EUROPE')
-         WHERE pool <= 200 AND district = (SELECT min(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'))
-     WHERE rn <= 12""")
+    SELECT provider_id, status, CAST(row_number() OVER (ORDER BY rank, last_signal_us DESC NULLS LAST, provider_id) AS INT) AS rn FROM spec_cards
+     WHERE rank <= 1 AND specialty = 'zubar' AND region = 'EUROPE'
+       AND district = (SELECT min(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')
+   QUALIFY rn <= 12""")
 def district_filter(d):
-    """Open practices of one district, out of the 200 best of its region."""
-    from pyspark.sql import Window as W
-
+    """The twelve best open practices of one district."""
     first = (
         d.given("nation").join(d.given("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .filter("r_name = 'EUROPE'").agg(F.min("n_name")).scalar()
     )
-    pool = serve.accepting_top(
-        d.spec_cards.filter("specialty = 'zubar' AND region = 'EUROPE'"), ["specialty", "region"], 200
-    ).filter(F.col("district") == first)
-    order = W.partitionBy("specialty", "region").orderBy("rn")
-    return pool.withColumn("rn", F.row_number().over(order)).filter("rn <= 12").select("provider_id", "status", "rn")
+    rows = d.spec_cards.filter("specialty = 'zubar' AND region = 'EUROPE'").filter(F.col("district") == first)
+    return serve.accepting_top(rows, ["specialty", "region"], 12).select("provider_id", "status", "rn")
 
 
 @query("F6_natural_place_order", """
@@ -543,13 +534,12 @@ def sitemap_entries(d):
 
 
 @query("A11_sitemap_sink", """
-    SELECT 'https://example.org' || path AS url FROM (
-        SELECT kind, path FROM (
+    SELECT CAST(ceil(pos / 50000) AS INT) AS file, 'https://example.org' || path AS url FROM (
+        SELECT path, row_number() OVER (ORDER BY kind, path) AS pos FROM (
             SELECT 'city' AS kind, unnest(['/' || specialty || '/' || city_slug, '/en/' || specialty || '/' || city_slug]) AS path FROM town_rows WHERE n >= 3
             UNION ALL
             SELECT 'provider', '/lekar/' || CAST(provider_id AS VARCHAR) || '-' || trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-')
-              FROM providers WHERE active)
-         ORDER BY kind, path LIMIT 50000)""")
+              FROM providers WHERE active))""")
 def sitemap_sink(d):
     return serve.sitemap_urls(serve.sitemap_entries(d.listing, d.providers), "https://example.org/")
 
@@ -609,7 +599,7 @@ SLUG_Q = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '-', 'g'),
 
 
 @query("E9_suggest_rank", f"""
-    WITH asked AS (SELECT DISTINCT specialty, {SLUG_Q.format('substr(q, 1, 60)')} AS needle FROM searches),
+    WITH asked AS (SELECT DISTINCT specialty, {SLUG_Q.format('q')} AS needle FROM searches),
     hits AS (
         SELECT a.specialty, a.needle, t.city_slug, t.n,
                CASE WHEN starts_with(t.city_slug, a.needle) THEN 0 WHEN contains(t.city_slug, '-' || a.needle) THEN 1
@@ -661,8 +651,8 @@ def postcode_query(d):
                    CASE WHEN replace(t.city_slug, '-', '') = a.needle THEN 0 WHEN starts_with(replace(t.city_slug, '-', ''), a.needle) THEN 1 ELSE 2 END AS fit
               FROM asked a JOIN town_rows t ON t.specialty = a.specialty AND contains(replace(t.city_slug, '-', ''), a.needle)
              WHERE a.needle <> '') ),
-    hit AS (SELECT specialty, q, count(*) AS n_match, count(*) FILTER (WHERE fit = 0) AS n_exact, string_agg(city_slug, ',' ORDER BY rn) AS matches
-              FROM named WHERE rn <= 30 GROUP BY 1, 2),
+    hit AS (SELECT specialty, q, count(*) AS n_match, count(*) FILTER (WHERE fit = 0) AS n_exact,
+                   string_agg(city_slug, ',' ORDER BY rn) FILTER (WHERE rn <= 30) AS matches FROM named GROUP BY 1, 2),
     ways AS (
         SELECT specialty, q, 0 AS step, 'praha-' || regexp_extract(slug, '^(?:praha|prague)-?([0-9]{{1,2}})(?:$|-)', 1) AS way FROM asked
         UNION ALL SELECT a.specialty, a.q, 1, v.slug FROM asked a

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # charset names beyond the default list (windows-1250 register files and pages)
     "spark.sql.legacy.javaCharsets": "true",
+    # a byte without a meaning becomes a replacement sign instead of ending the job
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 

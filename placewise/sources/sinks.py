@@ -30,7 +30,8 @@ def read_snapshot(spark: SparkSession, root: str, version: str | None = None) ->
 def append_signals(signals: DataFrame, root: str) -> None:
     """Append observations, one folder per day of observation."""
     days = signals.withColumn("obs_date", F.to_date("observed_at"))
-    days.repartition("obs_date", F.pmod(F.col("signal_id"), F.lit(8))).write.mode("append").partitionBy("obs_date").parquet(root)
+    # a day is written by as many tasks as its size asks for
+    days.hint("rebalance", F.col("obs_date")).write.mode("append").partitionBy("obs_date").parquet(root)
 
 
 def read_signals(spark: SparkSession, root: str, as_of=None, days: int = 90) -> DataFrame:
@@ -50,5 +51,6 @@ def write_outbox(df: DataFrame, root: str, run_id: str) -> str:
 
 
 def write_sitemap(urls: DataFrame, path: str) -> None:
-    """One file is the format; it holds at most 50,000 short lines."""
-    urls.select("url").coalesce(1).write.mode("overwrite").text(path)
+    """One folder per sitemap file of at most 50,000 addresses, and the list of them."""
+    urls.select("file", "url").repartition("file").write.mode("overwrite").partitionBy("file").text(f"{path}/files")
+    urls.select(F.concat(F.lit("files/file="), F.col("file").cast("string")).alias("value")).distinct().write.mode("overwrite").text(f"{path}/index")
