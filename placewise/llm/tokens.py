@@ -37,10 +37,12 @@ MAGIC = b"PWIDS1\r\n"
 SHARD_IDS = 1 << 25
 # Latin letters with a space or without, then ASCII signs but no apostrophe: two pre-tokens of the byte-level pattern.
 WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+# White space of any kind, as the pattern and Python see it.
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 # The byte-level alphabet: printable bytes show as themselves, all others as the characters from 256 on, in order.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 
 
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -68,14 +70,16 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def part(self, text: str) -> list[int]:
         """Ids of one pre-token, by the tokenizer's model."""
         ids = self.parts.get(text)
         if ids is None:
-            shown = text.encode().decode("latin-1").translate(SHOWN)
+            if text.isascii():
+                shown = "\u0120" + text[1:] if text[0] == " " else text
+            else:
+                shown = text.encode().decode("latin-1").translate(SHOWN)
             ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
         return ids
 
@@ -83,12 +87,14 @@ class Encoder:
         """Encode pieces that are new: words with signs after them by their two parts, all others by the whole tokenizer."""
         if not pieces:
             return
-        found = [WORD.fullmatch(w) for w in pieces]
+        self.parts: dict[str, list[int]] = {}
+        found = list(map(WORD.fullmatch, pieces))
         others = iter(self.tokenizer.encode_batch_fast([w for w, m in zip(pieces, found, strict=True) if not m], add_special_tokens=False))
         part = self.part
         ids = [(part(m[1]) + part(m[2]) if m[2] else part(m[1])) if m else next(others).ids for m in found]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        length = np.array(list(map(len, ids)), np.int64)
+        flat = np.array(list(chain.from_iterable(ids)), np.uint32)
+        self.parts = {}
         first = len(self.length)
         self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
@@ -114,18 +120,21 @@ class Encoder:
         head = np.zeros(len(code), bool)
         head[(np.cumsum(per) - per)[per > 0]] = True
         # a piece that is empty or begins with white space would lean on the spaces before it: such texts go whole
-        blank = np.fromiter((not w or w[0].isspace() or w[0] in "\x1c\x1d\x1e\x1f\x85" for w in names), bool, len(names))
+        first = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        blank = pc.is_in(first, value_set=pa.array(["", *BLANKS])).to_numpy(zero_copy_only=False)
         whole = np.bincount(owner, blank[code] & ~head, minlength=n) > 0
         # pieces: with their space in front, or as the first of a text; whole texts are one piece
         usual = ~whole[owner]
         key = code.astype(np.int64) * 2 + head
-        used = np.unique(key[usual])
+        place = np.zeros(2 * len(names), np.int64)
+        place[key[usual]] = 1
+        used = place.nonzero()[0]
         named = [names[k >> 1] if k & 1 else " " + names[k >> 1] for k in used.tolist()]
         if len(self.known) + len(named) > CACHE_PIECES:
             self.forget()
         self.learn([w for w in named if w not in self.known])
-        place = np.fromiter((self.known[w] for w in named), np.int64, len(named))
-        piece = place[np.searchsorted(used, key[usual])]
+        place[used] = list(map(self.known.__getitem__, named))
+        piece = place[key[usual]]
         length, start = self.length[piece], self.start[piece]
         total = int(length.sum())
         ids = self.flat[np.arange(total) + np.repeat(start - (np.cumsum(length) - length), length)]
@@ -208,7 +217,7 @@ class Shard:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode all texts and write shards under ``folder``; returns (part, piece, path, n_docs, n_ids), stored."""
-    setup(docs.sparkSession)
+    memory = setup(docs.sparkSession).sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]):
         import os
@@ -216,7 +225,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        encoder, attempt = Encoder(tokenizer), uuid.uuid4().hex
+        # what a Python worker has learned serves its next tasks too: a broadcast value lives as long as the worker
+        known = memory.value
+        encoder = known["encoder"] = known.get("encoder") or Encoder(tokenizer)
+        attempt = uuid.uuid4().hex
         writer, piece, part = None, 0, None
 
         def done():
