@@ -119,6 +119,11 @@ def norm_header(name: str) -> str:
     return "".join(ch for ch in plain if ch.isascii() and ch.isalnum())
 
 
+def norm_name(c: Column) -> Column:
+    """``norm_header`` for names in a column."""
+    return F.regexp_replace(F.lower(unaccent(c)), "[^a-z0-9]", "")
+
+
 def parse_number(c: Column) -> Column:
     """Decimal comma or point; NULL for anything that is not a plain number."""
     plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

@@ -164,6 +164,19 @@ def mark_sent(ledger: DataFrame, delivered: DataFrame, as_of) -> DataFrame:
     return both.groupBy("subscription_id", "provider_id").agg(F.max("sent_at").alias("sent_at"))
 
 
+def log_sent(mail_log: DataFrame, sent: DataFrame, as_of) -> DataFrame:
+    """The mail log after a run: one row per message sent."""
+    new = sent.select(F.lit("alert").alias("kind"), at(as_of).alias("sent_at"))
+    return mail_log.select("kind", "sent_at").unionByName(new)
+
+
+def mark_notified(subs: DataFrame, sent: DataFrame, as_of) -> DataFrame:
+    """Subscriptions with the time of their newest message."""
+    told = sent.select("subscription_id", F.lit(True).alias("told"))
+    newest = F.when(F.col("told"), at(as_of)).otherwise(F.col("last_notified_at"))
+    return subs.join(told, "subscription_id", "left").withColumn("last_notified_at", newest).drop("told")
+
+
 def run_stats(queue: DataFrame, sent: DataFrame, failed: DataFrame, removed: DataFrame) -> DataFrame:
     """One row: due, sent, failed, deferred, removed sign-ups.
 

@@ -66,7 +66,7 @@ def name_tokens(name: Column, city: Column) -> Column:
 
 def names_it(text: Column, tokens: Column, ico: Column) -> Column:
     """Does folded text carry the company number or one of the words, endings aside?"""
-    number = F.ltrim(F.coalesce(ico, F.lit("")), F.lit("0"))
+    number = F.ltrim(F.regexp_replace(F.coalesce(ico, F.lit("")), "[^0-9]", ""), F.lit("0"))  # nothing a pattern could trip over
     by_number = (F.length(number) >= 6) & F.regexp(text, F.concat(F.lit(r"\b0*"), number, F.lit(r"\b")))
     stem = lambda t: F.when(F.length(t) >= 6, F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t)
     by_word = F.exists(tokens, lambda t: F.regexp(text, F.concat(F.lit(r"\b"), stem(t), F.lit(r"[a-z]{0,3}\b"))))

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.geo import parse_coords
 from ..functions.status import lookup
 from ..session import cut_lineage
+from .order import numbered
 from .status import at
 
 ATTRIBUTES = [
@@ -188,9 +189,12 @@ def truncated(prev: DataFrame, new: DataFrame, min_ratio: float = V.MIN_IMPORT_R
 def upsert(prev: DataFrame, new: DataFrame, as_of, min_ratio: float = V.MIN_IMPORT_RATIO) -> DataFrame:
     """The next snapshot: listed places are (re)opened and refreshed, missing ones close.
 
-    One full outer join on the natural key; ids, first-seen times and web findings stay.
+    One full outer join on the natural key; ids, first-seen times and web findings stay. New places
+    get the ids after the highest one, in the order of their keys.
     """
-    fresh = new.select("place_id", *ATTRIBUTES, "raw_specialties", F.lit(True).alias("listed"))
+    highest = prev.agg(F.coalesce(F.max("provider_id"), F.lit(0)).alias("m")).scalar()
+    unseen = numbered(new.select("place_id").join(prev.select("place_id"), "place_id", "left_anti"), F.col("place_id"), name="new_id")
+    fresh = new.select("place_id", *ATTRIBUTES, "raw_specialties", F.lit(True).alias("listed")).join(unseen, "place_id", "left")
     skip = truncated(prev, new, min_ratio)
     listed = F.coalesce(F.col("n.listed"), F.lit(False))
     pick = lambda c: F.when(listed, F.col(f"n.{c}")).otherwise(F.col(f"p.{c}")).alias(c)
@@ -199,7 +203,7 @@ def upsert(prev: DataFrame, new: DataFrame, as_of, min_ratio: float = V.MIN_IMPO
         prev.alias("p")
         .join(fresh.alias("n"), F.col("p.place_id") == F.col("n.place_id"), "full")
         .select(
-            F.coalesce(F.col("p.provider_id"), F.xxhash64(key)).alias("provider_id"),
+            F.coalesce(F.col("p.provider_id"), highest + F.col("n.new_id")).alias("provider_id"),
             key.alias("place_id"),
             *[pick(c) for c in ATTRIBUTES + ["raw_specialties"]],
             F.when(listed, True).otherwise(F.col("p.active") & skip).alias("active"),

@@ -14,7 +14,7 @@ from ..functions.display import is_prague, natural_order, place_label
 from ..functions.geo import distance_km, in_circle_box
 from ..functions.status import rank_cli, rank_web
 from ..functions.text import flat, slugify, slugify_web
-from ..session import cut_lineage
+from .order import numbered
 from .spatial import nearest
 from .status import at
 
@@ -37,17 +37,22 @@ def _within(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
 
 def near(
     providers: DataFrame, bridge: DataFrame, status: DataFrame, specialty: str, lat: float, lng: float,
-    km: float = 10, limit: int = 20,
+    km: float = 10, limit: int | None = 20,
 ) -> DataFrame:
-    """Command-line search: accepting first, then by distance to two decimals."""
+    """Command-line search: accepting first, then by distance to two decimals; ``limit=None`` gives all, unordered."""
     here = _within(providers.filter("active"), lat, lng, km)
-    return (
+    rows = (
         here.join(bridge.filter(F.col("specialty_slug") == specialty), "provider_id", "left_semi")
         .join(status.select("provider_id", "status", "last_signal_at"), "provider_id", "left")
         .withColumns({"status": F.coalesce("status", F.lit("unknown")), "km": F.round("km", 2)})
-        .orderBy(rank_cli(F.col("status")), "km", "provider_id")
-        .limit(limit)
     )
+    return rows if limit is None else rows.orderBy(rank_cli(F.col("status")), "km", "provider_id").limit(limit)
+
+
+def near_order(providers: DataFrame, bridge: DataFrame, status: DataFrame, specialty: str, lat: float, lng: float, km: float) -> DataFrame:
+    """Everybody in the circle, numbered in the order of the command-line search."""
+    rows = near(providers, bridge, status, specialty, lat, lng, km, limit=None)
+    return numbered(rows, rank_cli(F.col("status")), F.col("km"), F.col("provider_id"))
 
 
 def nearby(spec_cards: DataFrame, specialty: str, lat: float, lng: float, km: float, limit: int | None = 30) -> DataFrame:
@@ -361,21 +366,6 @@ def sitemap_entries(rows: DataFrame, providers: DataFrame, min_n: int = 3) -> Da
     return pages.unionByName(people, allowMissingColumns=True)
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """Rows numbered from 1 in a total order, without gathering them in one task.
-
-    Rows are dealt by range; a part's first number is the count of the parts before it.
-    """
-    key = F.struct(*order)
-    dealt = cut_lineage(df.withColumn("__key", key).repartitionByRange("__key").withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(
-        "__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")).alias("__before")
-    )
-    place = F.row_number().over(W.partitionBy("__part").orderBy("__key"))
-    return dealt.join(before, "__part").withColumn(name, (F.col("__before") + place).cast("bigint")).drop("__key", "__part", "__n", "__before")
-
-
 def sitemap_urls(entries: DataFrame, base: str, per_file: int = V.SITEMAP_MAX) -> DataFrame:
     """(file, url) of all addresses, in a fixed order: towns in both languages, then providers; files hold ``per_file`` each."""
     town = F.array(
@@ -395,6 +385,16 @@ def provider_detail(cards: DataFrame, notes: DataFrame, provider_id: int) -> Dat
     return one.join(mine.select("provider_id", F.col("note").alias("crawl_note")), "provider_id", "left")
 
 
+def provider_alternatives(spec_cards: DataFrame, provider_id: int, km: float = 5, k: int = 5) -> DataFrame:
+    """For one practice's page: others of its kinds close by, best status first."""
+    mine = spec_cards.filter(F.col("provider_id") == provider_id).select("specialty", F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"))
+    others = spec_cards.filter(F.col("provider_id") != provider_id).join(mine, "specialty")
+    near_by = others.withColumn("km", distance_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng"))).filter(F.col("km") <= km)
+    ranked = near_by.select("specialty", F.col("provider_id").alias("other_id"), rank_web(F.col("status")).alias("rank"), F.round("km", 1).alias("km"))
+    order = W.partitionBy("specialty").orderBy("rank", "km", "other_id")
+    return ranked.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+
+
 # ------------------------------------------------------------------------------- sponsored
 def sponsored_now(listings: DataFrame, as_of) -> DataFrame:
     """Listings whose days include today."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A
 from ..operators import status as ST
-from ..operators.serve import numbered
+from ..operators.order import numbered
 from ..session import cut_lineage, shared_folder
 from ..sources import domain as D
 from ..sources import sinks
@@ -149,6 +149,25 @@ def mark_sent(d):
     return A.mark_sent(d.ledger, delivered, d.as_of).select("subscription_id", "provider_id", us("sent_at"))
 
 
+@query("L9_mail_log", f"""
+    SELECT kind, sent_us, count(*) AS n FROM (
+        SELECT kind, sent_us FROM mail_log UNION ALL SELECT 'alert', {US} FROM outgoing) GROUP BY 1, 2""")
+def sent_mail_log(d):
+    """Each message sent is one row of the mail log, so the next run's budget counts it."""
+    sending = A.within_budget(A.alert_queue(pending(d)), refused(d), d.mail_log, d.as_of)
+    log = A.log_sent(d.mail_log, sending, d.as_of)
+    return log.groupBy("kind", us("sent_at")).agg(F.count("*").alias("n"))
+
+
+@query("L9_last_notified", f"""
+    SELECT s.subscription_id, CASE WHEN o.subscription_id IS NOT NULL THEN {US} END AS last_notified_us
+      FROM subscriptions s LEFT JOIN outgoing o ON o.subscription_id = s.subscription_id""")
+def last_notified(d):
+    sending = A.within_budget(A.alert_queue(pending(d)), refused(d), d.mail_log, d.as_of)
+    subs = d.subscriptions.withColumn("last_notified_at", F.lit(None).cast("timestamp"))
+    return A.mark_notified(subs, sending, d.as_of).select("subscription_id", us("last_notified_at"))
+
+
 @query("J7_retention", f"""
     SELECT subscription_id, CASE WHEN created_us >= {US} - 90 * {DAY} THEN requester_hash END AS requester_hash FROM subscriptions
      WHERE verified_us IS NOT NULL OR created_us >= {US} - 7 * {DAY}""")

@@ -339,13 +339,19 @@ STEPS["found_facts"] = """
     SELECT r.provider_id, f.flag FROM crawl_results r JOIN site_facts f ON f.site = r.site WHERE r.error IS NULL"""
 
 
-@query("L5_reconcile_flags")
+@query("L5_reconcile_flags", f"""
+    SELECT provider_id, flag, source, observed_us FROM flags
+     WHERE NOT (source = 'web_crawl' AND provider_id IN (SELECT provider_id FROM crawl_results WHERE error IS NULL))
+    UNION ALL SELECT provider_id, flag, 'web_crawl', {US} FROM found_facts""")
 def reconcile_flags(d):
     out = RC.reconcile_flags(d.flags, crawl_facts(d), results(d), d.as_of)
     return out.select("provider_id", "flag", "source", us("observed_at"))
 
 
-@query("G4_flag_keep")
+@query("G4_flag_keep", """
+    SELECT provider_id, flag FROM flags
+     WHERE source = 'web_crawl' AND provider_id IN (SELECT provider_id FROM crawl_results WHERE error IS NULL)
+    EXCEPT SELECT provider_id, flag FROM found_facts""")
 def flag_keep(d):
     return RC.stale_flags(d.flags, crawl_facts(d), results(d))
 

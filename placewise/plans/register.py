@@ -235,6 +235,14 @@ def slugify_web(d):
     return spread(d.given("documents")).select("doc_id", T.slugify_web(F.col("text")).alias("slug"))
 
 
+@query("H4_norm_header", """
+    SELECT o_orderkey, regexp_replace(lower(regexp_replace(strip_accents('Č. ' || o_orderpriority || ' / ' || o_orderstatus), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]', '', 'g') AS header FROM orders""")
+def norm_header(d):
+    """Header names compared by their letters and digits alone."""
+    given = F.concat(F.lit("Č. "), "o_orderpriority", F.lit(" / "), "o_orderstatus")
+    return d.given("orders").select("o_orderkey", T.norm_name(given).alias("header"))
+
+
 @query("H5_normalize_text", "SELECT doc_id, regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[ \\t\\r\\f\\v]+', ' ', 'g') AS text FROM documents")
 def normalize_text(d):
     return spread(d.given("documents")).select("doc_id", T.normalize_text(F.col("text")).alias("text"))
@@ -339,7 +347,7 @@ def to_map(d):
 UPSERT_SQL = f"""
     SELECT coalesce(p.place_id, n.place_id) AS place_id, coalesce(n.name, p.name) AS name,
            CASE WHEN n.place_id IS NOT NULL THEN true ELSE p.active AND (SELECT bef > 0 AND nn < 0.8e0 * bef FROM sizes) END AS active,
-           p.provider_id AS old_id, p.web_found, CASE WHEN n.place_id IS NOT NULL THEN {D.AS_OF_US} ELSE {D.AS_OF_US - 30 * D.DAY_US} END AS last_seen_us,
+           coalesce(p.provider_id, (SELECT coalesce(max(provider_id), 0) FROM prev) + row_number() OVER (PARTITION BY p.place_id IS NULL ORDER BY n.place_id)) AS provider_id, p.web_found, CASE WHEN n.place_id IS NOT NULL THEN {D.AS_OF_US} ELSE {D.AS_OF_US - 30 * D.DAY_US} END AS last_seen_us,
            CASE WHEN p.place_id IS NULL THEN {D.AS_OF_US} ELSE {D.AS_OF_US - 30 * D.DAY_US} END AS first_seen_us
       FROM prev p FULL JOIN reg_places n ON n.place_id = p.place_id"""
 STEPS["sizes"] = "SELECT (SELECT count(*) FROM prev WHERE active) AS bef, (SELECT count(*) FROM reg_places) AS nn"
@@ -347,7 +355,7 @@ STEPS["sizes"] = "SELECT (SELECT count(*) FROM prev WHERE active) AS bef, (SELEC
 
 def _snap(df):
     return df.select(
-        "place_id", "name", "active", F.when(F.abs("provider_id") < 10**12, F.col("provider_id")).alias("old_id"), "web_found",
+        "place_id", "name", "active", "provider_id", "web_found",
         F.unix_micros("last_seen_at").alias("last_seen_us"), F.unix_micros("first_seen_at").alias("first_seen_us"),
     )
 
@@ -414,6 +422,7 @@ def import_stats(d):
 def signal_append(d):
     """The log written by day and read back for one status day: older day folders are not opened."""
     root = f"{shared_folder(d.spark)}/signals/{uuid.uuid4().hex}"  # a log of its own per run
-    sinks.append_signals(d.signals, root)
+    sinks.append_signals(d.signals, root, D.AS_OF_DATE)
+    sinks.append_signals(d.signals, root, D.AS_OF_DATE)  # a repeated run adds nothing
     back = sinks.read_signals(d.spark, root, D.AS_OF)
     return back.select("signal_id", "provider_id", "source", "status", F.unix_micros("observed_at").alias("observed_us"))

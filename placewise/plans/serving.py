@@ -196,6 +196,15 @@ def near(d):
     return hits.select("provider_id", "name", "city", "km", "status", us("last_signal_at"))
 
 
+@query("F3_near_order", f"""
+    SELECT row_number() OVER (ORDER BY CASE status WHEN 'accepting' THEN 0 WHEN 'mixed' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, km, provider_id) AS pos, provider_id, status, km FROM (
+        SELECT p.provider_id, coalesce(s.status, 'unknown') AS status, round({km_sql('49.8e0', '15.4e0', 'p.lat', 'p.lng')}, 2) AS km
+          FROM providers p JOIN bridge b ON b.provider_id = p.provider_id AND b.specialty_slug = 'zubar' LEFT JOIN status_full s ON s.provider_id = p.provider_id
+         WHERE p.active AND {km_sql('49.8e0', '15.4e0', 'p.lat', 'p.lng')} <= 150)""")
+def near_order(d):
+    return serve.near_order(d.providers, d.bridge, d.status, "zubar", *POINT, km=150).select("pos", "provider_id", "status", "km")
+
+
 @query("M2_nearby", f"""
     SELECT {CARD_SQL}, km FROM (
         SELECT *, round({km_sql('49.8e0', '15.4e0', 'lat', 'lng')}, 1) AS km FROM spec_cards
@@ -553,6 +562,16 @@ def provider_detail(d):
     return serve.provider_detail(d.cards, ST.latest_crawl_note(d.signals), 8).select(*card_cols(), "crawl_note")
 
 
+@query("M4_alternatives", f"""
+    SELECT specialty, other_id, rank, km, CAST(row_number() OVER (PARTITION BY specialty ORDER BY rank, km, other_id) AS INT) AS rn FROM (
+        SELECT o.specialty, o.provider_id AS other_id, o.rank, round({km_sql('m.lat', 'm.lng', 'o.lat', 'o.lng')}, 1) AS km
+          FROM spec_cards m JOIN spec_cards o ON o.specialty = m.specialty AND o.provider_id <> m.provider_id
+         WHERE m.provider_id = 8 AND {km_sql('m.lat', 'm.lng', 'o.lat', 'o.lng')} <= 40) QUALIFY rn <= 5""")
+def one_alternatives(d):
+    """Others of its kind around one practice; a wide circle, as the given points lie far apart."""
+    return serve.provider_alternatives(d.spec_cards, 8, km=40).select("specialty", "other_id", "rank", "km", "rn")
+
+
 # ------------------------------------------------------------------------------- sponsored
 LIVE_SQL = f"""
     SELECT s.listing_id, s.provider_id, b.specialty_slug, p.city_slug, s.tagline, p.name, md5('0|' || CAST(s.listing_id AS VARCHAR)) AS dice

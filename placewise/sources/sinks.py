@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +13,29 @@ POINTER = "_current"
 def write_snapshot(df: DataFrame, root: str, version: str) -> str:
     """Write one version of a table, then point readers at it.
 
-    The pointer moves only after the version is complete, so a failed job leaves readers where
-    they were, and a repeated one overwrites its own version.
+    A version is complete before its pointer is written, and a pointer is a new folder that no
+    other write touches; readers take the newest one. So a failed job leaves readers where they
+    were, and a repeated one overwrites its own version.
     """
     folder = f"{root}/version={version}"
     df.write.mode("overwrite").parquet(folder)
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/{POINTER}")
+    row = df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1)
+    row.write.json(f"{root}/{POINTER}/written={time.time_ns()}")
     return folder
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     if version is None:
-        version = spark.read.schema("version string").json(f"{root}/{POINTER}").first()["version"]
+        pointers = spark.read.schema("version string, written long").json(f"{root}/{POINTER}")
+        version = pointers.orderBy(F.col("written").desc()).first()["version"]
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def append_signals(signals: DataFrame, root: str) -> None:
-    """Append observations, one folder per day of observation."""
+def append_signals(signals: DataFrame, root: str, run_id: str) -> None:
+    """Append observations, one folder per run and day of observation; a repeated run replaces its own folder."""
     days = signals.withColumn("obs_date", F.to_date("observed_at"))
     # a day is written by as many tasks as its size asks for
-    days.hint("rebalance", F.col("obs_date")).write.mode("append").partitionBy("obs_date").parquet(root)
+    days.hint("rebalance", F.col("obs_date")).write.mode("overwrite").partitionBy("obs_date").parquet(f"{root}/run={run_id}")
 
 
 def read_signals(spark: SparkSession, root: str, as_of=None, days: int = 90) -> DataFrame:
