@@ -95,31 +95,29 @@ def _age_key() -> Column:
     )
 
 
+def _said(key: str) -> tuple[Column, Column]:
+    """(source, status) that the last two digits of a key stand for."""
+    code = (F.col(key) % 100).cast("int")
+    name = lambda names, at_: F.get(F.array(*[F.lit(x) for x in names]), at_.cast("int"))
+    return name(V.SOURCE_WEIGHTS, F.floor(code / 10)), name(V.STATUSES, code % 10)
+
+
 def clinic_latest(signals: DataFrame, as_of, clinic_days: float = V.CLINIC_DAYS) -> DataFrame:
     """The practice's own newest word of the last month."""
-    return (
-        signals.filter((F.col("source") == "clinic") & in_window(F.col("observed_at"), as_of, clinic_days))
-        .groupBy("provider_id")
-        .agg(F.max_by("status", F.struct("observed_at", "signal_id")).alias("status"))
-    )
+    rows = signals.filter((F.col("source") == "clinic") & in_window(F.col("observed_at"), as_of, clinic_days))
+    return rows.groupBy("provider_id").agg(F.max(_age_key()).alias("newest")).select("provider_id", _said("newest")[1].alias("status"))
 
 
 def last_source(signals: DataFrame, as_of) -> DataFrame:
-    return (
-        signals.filter(in_window(F.col("observed_at"), as_of))
-        .groupBy("provider_id")
-        .agg(F.max_by("source", F.struct("observed_at", "signal_id")).alias("last_source"))
-    )
+    rows = signals.filter(in_window(F.col("observed_at"), as_of))
+    return rows.groupBy("provider_id").agg(F.max(_age_key()).alias("newest")).select("provider_id", _said("newest")[0].alias("last_source"))
 
 
 def latest_crawl_note(signals: DataFrame) -> DataFrame:
-    """Newest quote read from a website, per provider."""
-    newest = F.struct("observed_at", "signal_id")
-    return (
-        signals.filter((F.col("source") == "web_crawl") & F.col("note").isNotNull())
-        .groupBy("provider_id")
-        .agg(F.max_by("note", newest).alias("note"), F.max("observed_at").alias("observed_at"))
-    )
+    """Newest quote read from a website, per provider: the newest key first, then the row that has it."""
+    crawled = signals.filter((F.col("source") == "web_crawl") & F.col("note").isNotNull()).withColumn("key", _age_key())
+    newest = crawled.groupBy("provider_id").agg(F.max("key").alias("key"))
+    return crawled.join(newest, ["provider_id", "key"]).select("provider_id", "note", "observed_at")
 
 
 def news(signals: DataFrame) -> DataFrame:
