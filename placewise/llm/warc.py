@@ -27,6 +27,7 @@ from .common import cut_lineage, run_folder, setup
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
 PER_FILE = 20_000
+FEW = 200_000  # about 30 MB in memory
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-31T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -46,7 +47,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     copies = rows.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(copies.select("sha", "size", "first"), ["sha", "size"], "left")
+    copies = cut_lineage(copies.select("sha", "size", "first"))
+    # one narrow row per payload that repeats: sent to all tasks if they are few, so no page is shuffled; else joined by digest
+    rows = rows.join(F.broadcast(copies) if copies.count() <= FEW else copies, ["sha", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     target = F.regexp_replace("url", "[\\x00-\\x1f\\x7f]", "%0A")
     block = F.when(revisit, "").otherwise(F.concat(F.lit(HTTP), "html"))
