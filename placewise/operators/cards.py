@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contact import effective_web
 from ..functions.status import flag_counts
-from .status import at
+from .status import at, provider_status
 
 
 def newest_flags(flags: DataFrame) -> DataFrame:
@@ -58,6 +58,17 @@ def provider_cards(providers: DataFrame, bridge: DataFrame, status: DataFrame, f
     )
 
 
+def of_these(rows: DataFrame, providers: DataFrame) -> DataFrame:
+    """Only what belongs to the given providers, before anything is aggregated."""
+    return rows.join(providers.select("provider_id"), "provider_id", "left_semi")
+
+
+def cards_of(providers: DataFrame, bridge: DataFrame, signals: DataFrame, flags: DataFrame, as_of) -> DataFrame:
+    """Cards of a few providers: the log and the facts of everybody else are left out first."""
+    status = provider_status(of_these(signals, providers), as_of)
+    return provider_cards(providers, of_these(bridge, providers), status, of_these(flags, providers), as_of)
+
+
 def by_specialty(cards: DataFrame) -> DataFrame:
     """One row per (provider, specialty)."""
     return cards.withColumn("specialty", F.explode("specialties"))

@@ -35,6 +35,11 @@ def _within(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
     )
 
 
+def around(providers: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
+    """Active providers in a circle, for jobs that need nobody else."""
+    return _within(providers.filter("active"), lat, lng, km).drop("km")
+
+
 def near(
     providers: DataFrame, bridge: DataFrame, status: DataFrame, specialty: str, lat: float, lng: float,
     km: float = 10, limit: int | None = 20,

@@ -192,7 +192,9 @@ def newest_flag(d):
      ORDER BY CASE coalesce(s.status, 'unknown') WHEN 'accepting' THEN 0 WHEN 'mixed' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, 4, 1
      LIMIT 20""")
 def near(d):
-    hits = serve.near(d.providers, d.bridge, d.status, "zubar", *POINT, km=60, limit=20)
+    here = serve.around(d.providers, *POINT, 60)
+    status = ST.provider_status(K.of_these(d.signals, here), d.as_of)
+    hits = serve.near(here, d.bridge, status, "zubar", *POINT, km=60, limit=20)
     return hits.select("provider_id", "name", "city", "km", "status", us("last_signal_at"))
 
 
@@ -202,7 +204,9 @@ def near(d):
           FROM providers p JOIN bridge b ON b.provider_id = p.provider_id AND b.specialty_slug = 'zubar' LEFT JOIN status_full s ON s.provider_id = p.provider_id
          WHERE p.active AND {km_sql('49.8e0', '15.4e0', 'p.lat', 'p.lng')} <= 150)""")
 def near_order(d):
-    return serve.near_order(d.providers, d.bridge, d.status, "zubar", *POINT, km=150).select("pos", "provider_id", "status", "km")
+    here = serve.around(d.providers, *POINT, 150)
+    status = ST.provider_status(K.of_these(d.signals, here), d.as_of)
+    return serve.near_order(here, d.bridge, status, "zubar", *POINT, km=150).select("pos", "provider_id", "status", "km")
 
 
 @query("M2_nearby", f"""
@@ -210,7 +214,9 @@ def near_order(d):
         SELECT *, round({km_sql('49.8e0', '15.4e0', 'lat', 'lng')}, 1) AS km FROM spec_cards
          WHERE specialty = 'zubar' AND {km_sql('49.8e0', '15.4e0', 'lat', 'lng')} <= 80 ORDER BY rank, km, provider_id LIMIT 30)""")
 def nearby(d):
-    return serve.nearby(d.spec_cards, "zubar", *POINT, km=80).select(*card_cols(), "km")
+    here = serve.around(d.providers, *POINT, 80)
+    cards = K.by_specialty(K.cards_of(here, d.bridge, d.signals, d.flags, d.as_of))
+    return serve.nearby(cards, "zubar", *POINT, km=80).select(*card_cols(), "km")
 
 
 @query("C4_near_circle", f"""
