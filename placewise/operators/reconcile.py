@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..functions.contact import effective_web, normalize_site
-from .evidence import attributable, fits_specialty
+from ..functions.contact import effective_web, error_kind, normalize_site
+from .evidence import attributable, crawl_summary, fits_specialty
 from .status import at, days
 
 
@@ -130,6 +130,31 @@ def new_verdicts(results: DataFrame, signals: DataFrame, as_of) -> DataFrame:
     return said.join(recent.select("provider_id", "status"), ["provider_id", "status"], "left_anti")
 
 
+def mark_checked(providers: DataFrame, results: DataFrame, as_of) -> DataFrame:
+    """When each practice's site was last looked at, and what went wrong then; others keep what they had."""
+    seen = results.groupBy("provider_id").agg(F.lit(True).alias("checked"), F.max("error").alias("new_error"))
+    before = lambda name, kind: F.col(name) if name in providers.columns else F.lit(None).cast(kind)
+    return (
+        providers.join(seen, "provider_id", "left")
+        .withColumns(
+            {
+                "web_checked_at": F.when(F.col("checked"), at(as_of)).otherwise(before("web_checked_at", "timestamp")),
+                "web_check_error": F.when(F.col("checked"), F.col("new_error")).otherwise(before("web_check_error", "string")),
+            }
+        )
+        .drop("checked", "new_error")
+    )
+
+
+def run_summary(results: DataFrame, found: DataFrame) -> DataFrame:
+    """(part, name, n): outcomes of a run, practices by fact found, and kinds of errors."""
+    part = lambda name: F.lit(name).alias("part")
+    outcomes = crawl_summary(results).select(part("outcome"), F.col("outcome").alias("name"), "n")
+    facts = found.groupBy(F.col("flag").alias("name")).agg(F.count("*").alias("n")).select(part("fact"), "name", "n")
+    failed = results.filter(F.col("error").isNotNull()).groupBy(error_kind(F.col("error")).alias("name")).agg(F.count("*").alias("n"))
+    return outcomes.unionByName(facts).unionByName(failed.select(part("error"), "name", "n"))
+
+
 # ------------------------------------------------------------------------------- facts
 def found_flags(site_flags: DataFrame, results: DataFrame, specialties: DataFrame) -> DataFrame:
     """(provider_id, flag, note): facts of loaded sites that fit the practice."""

@@ -283,6 +283,14 @@ def crawl_summary(d):
     return E.crawl_summary(results(d))
 
 
+@query("L4_check_marks", f"""
+    SELECT p.provider_id, CASE WHEN r.provider_id IS NOT NULL THEN {US} END AS web_checked_us, r.error AS web_check_error
+      FROM providers p LEFT JOIN crawl_results r ON r.provider_id = p.provider_id""")
+def check_marks(d):
+    marked = RC.mark_checked(d.providers, results(d), d.as_of)
+    return marked.select("provider_id", us("web_checked_at"), "web_check_error")
+
+
 @query("H26_error_kind", """
     SELECT CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' END AS kind, count(*) AS n FROM crawl_results WHERE error IS NOT NULL GROUP BY 1""")
 def error_kinds(d):
@@ -343,6 +351,16 @@ STEPS["found_facts"] = """
        AND NOT EXISTS (SELECT 1 FROM bridge b WHERE b.provider_id = r.provider_id AND b.specialty_slug = 'ocni'))"""
 
 
+@query("D17_run_summary", """
+    SELECT 'outcome' AS part, CASE WHEN error IS NOT NULL THEN 'error' WHEN conflicting THEN 'conflicting' ELSE coalesce(status, 'nothing') END AS name, count(*) AS n
+      FROM crawl_results GROUP BY 1, 2
+    UNION ALL SELECT 'fact', flag, count(*) FROM found_facts GROUP BY 1, 2
+    UNION ALL SELECT 'error', CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' END, count(*)
+      FROM crawl_results WHERE error IS NOT NULL GROUP BY 1, 2""")
+def run_summary(d):
+    return RC.run_summary(results(d), crawl_facts(d))
+
+
 @query("L5_reconcile_flags", f"""
     SELECT provider_id, flag, source, observed_us FROM flags
      WHERE NOT (source = 'web_crawl' AND provider_id IN (SELECT provider_id FROM crawl_results WHERE error IS NULL))
