@@ -19,6 +19,9 @@ ATTRIBUTES = [
     "name", "facility_id", "ico", "facility_type", "street", "house_no", "city", "city_slug", "postcode", "district",
     "region", "lat", "lng", "phone", "email", "web", "care_form",
 ]
+# What is worked out once a place has its row, and the texts it is worked out from.
+DERIVED = ["city_slug", "postcode", "lat", "lng"]
+GIVEN = [c for c in ATTRIBUTES if c not in DERIVED] + ["postcode_text", "lat_text", "lng_text", "gps"]
 CARRIED = [
     "first_seen_at", "web_checked_at", "web_check_error", "web_found", "web_found_source", "web_suggested", "web_search_at",
 ]
@@ -88,17 +91,27 @@ def parse_rows(rows: DataFrame, order: Column) -> DataFrame:
             "at": parse_coords(F.col("lat"), F.col("lng"), F.col("gps")),
             "postcode": T.postcode(F.col("postcode")),
             "city_slug": T.slugify(F.col("city")),
+            **{f"{c}_text": F.col(c) for c in ("postcode", "lat", "lng")},
         }
     ).withColumns({"lat": F.col("at.lat"), "lng": F.col("at.lng")})
 
 
+def with_derived(places: DataFrame) -> DataFrame:
+    """Slug, postcode and coordinates from the texts of the row that a place keeps."""
+    at_ = parse_coords(F.col("lat_text"), F.col("lng_text"), F.col("gps"))
+    worked_out = places.withColumns({"at": at_, "postcode": T.postcode(F.col("postcode_text")), "city_slug": T.slugify(F.col("city"))})
+    worked_out = worked_out.withColumns({"lat": F.col("at.lat"), "lng": F.col("at.lng")})
+    return worked_out.select("place_id", *ATTRIBUTES, "specialties", "raw_specialties")
+
+
 def merge_places(parsed: DataFrame, only_tracked: bool = True) -> DataFrame:
     """One row per place: the first row's attributes, all rows' specialties, labels in order.
 
     Rows are first reduced per (place, label text) on the map side, so even a place with a large
     share of the file reaches the second grouping as a few rows, one per distinct label text.
+    Texts are only folded and parsed for the row that a place keeps.
     """
-    first = F.struct("ord", *ATTRIBUTES)
+    first = F.struct("ord", *GIVEN)
     labels = parsed.groupBy("place_id", "raw").agg(
         F.min_by(first, "ord").alias("first"),
         F.array_distinct(F.flatten(F.collect_set("specialties"))).alias("specialties"),
@@ -110,10 +123,10 @@ def merge_places(parsed: DataFrame, only_tracked: bool = True) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("raw") != "", seen))).alias("labels"),
     )
     merged = merged.select(
-        "place_id", *[F.col(f"first.{c}").alias(c) for c in ATTRIBUTES], "specialties",
+        "place_id", *[F.col(f"first.{c}").alias(c) for c in GIVEN], "specialties",
         F.array_join(F.transform("labels", lambda s: s["raw"]), ", ").alias("raw_specialties"),
     )
-    return merged.filter(F.size("specialties") > 0) if only_tracked else merged
+    return with_derived(merged.filter(F.size("specialties") > 0) if only_tracked else merged)
 
 
 def slug_district_counts(places: DataFrame) -> DataFrame:
