@@ -15,7 +15,7 @@ from ..operators import register as R
 from ..session import shared_folder, spread
 from ..sources import domain as D
 from ..sources import sinks
-from ..sources.register import resolve_columns
+from ..sources.register import read_register, resolve_columns
 from .registry import STEPS, query
 
 quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -103,9 +103,23 @@ def place_cols():
 PLACES_SQL = "SELECT place_id, name, facility_type, city, city_slug, pc AS postcode, district, la AS lat, ln AS lng, email, web, specialties, raw_specialties FROM reg_places"
 
 
+def register_files(d):
+    """The register as two exports: UTF-8 with commas and old headers, windows-1250 with semicolons and new ones; several files each."""
+    root = f"{shared_folder(d.spark)}/register/{uuid.uuid4().hex}"  # files of their own per run
+    middle = d.register_rows.agg(F.max("row_no") / 2).scalar()
+    for name, part, alias, options in (
+        ("a", F.col("row_no") < middle, 0, {}), ("b", F.col("row_no") >= middle, -1, {"sep": ";", "encoding": "windows-1250"}),
+    ):
+        rows = d.register_rows.filter(part).repartitionByRange(4, "row_no").sortWithinPartitions("row_no")
+        rows = rows.select(*[F.col(f).alias(V.FIELD_ALIASES[f][alias]) for f in V.FIELD_ALIASES if f in rows.columns])
+        rows.write.options(header=True, escape='"', **options).csv(f"{root}/{name}")
+    return [f"{root}/a", f"{root}/b"]
+
+
 @query("A1_register_read", PLACES_SQL)
 def register_read(d):
-    return places_of(d).select(*place_cols())
+    """Files written, their encoding, separator and headers found out again, rows in file order, places merged."""
+    return read_register(d.spark, register_files(d)).select(*place_cols())
 
 
 @query("E3_place_merge", "SELECT pid AS place_id, name, specialties, raw_specialties FROM reg_merged")

@@ -1,7 +1,9 @@
-"""Reading register exports: CSV in UTF-8 or windows-1250, any usual separator, old or new headers."""
+"""Reading register exports: CSV in UTF-8 or windows-1250, any usual separator, old or new headers, each file by itself."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,18 +12,27 @@ from ..functions.text import norm_header
 from ..operators.register import places_from_rows
 from ..session import configure
 
-SAMPLE_LINES = 2000
-
+def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str, str]]:
+    """(file, encoding, separator) of every file: UTF-8 if all its lines are, else windows-1250; separator by its first line.
 
-def csv_options(spark: SparkSession, path: str) -> dict[str, str]:
-    """Encoding and separator from a short look at the head of the file."""
-    head = [r[0] for r in spark.read.text(path).limit(SAMPLE_LINES).collect()]
-    if not head:
+    Two narrow passes over the lines; one row per file comes back.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.is_valid_utf8("value").alias("ok"), "value",
+    )
+    heads = lines.filter("block = 0")
+    first = heads.groupBy("file").agg(F.min("line").alias("line"))
+    header = heads.join(first, ["file", "line"]).select("file", "value")
+    found = lines.groupBy("file").agg(F.bool_and("ok").alias("utf8")).join(header, "file").collect()
+    if not found:
         raise ValueError(f"{path} is empty")
-    counts = {sep: head[0].count(sep) for sep in ",;\t|"}
-    sep = max(counts, key=counts.get) if any(counts.values()) else ","
-    bad_utf8 = any("\ufffd" in line for line in head)
-    return {"sep": sep, "encoding": "windows-1250" if bad_utf8 else "UTF-8"}
+    out = []
+    for r in sorted(found, key=lambda r: r["file"]):
+        counts = {sep: r["value"].count(sep) for sep in ",;\t|"}
+        sep = max(counts, key=counts.get) if any(counts.values()) else ","
+        out.append((r["file"], "UTF-8" if r["utf8"] else "windows-1250", sep))
+    return out
 
 
 def resolve_columns(headers: list[str], overrides: dict[str, str] | None = None) -> dict[str, str]:
@@ -51,18 +62,27 @@ def file_order() -> Column:
     )
 
 
-def read_rows(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
-    """Register rows with canonical column names, all strings, and their file order ``ord``."""
+def read_rows(spark: SparkSession, path: str | list[str], overrides: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Register rows with canonical column names, all strings, and their file order ``ord``.
+
+    Files of one encoding, separator and header are read together; a folder may hold several kinds.
+    """
     configure(spark)
-    reader = spark.read.options(header=True, escape='"', multiLine=multi_line, **csv_options(spark, path))
-    raw = reader.csv(path)
-    names = {c: c.lstrip("\ufeff") for c in raw.columns}
-    bound = resolve_columns(list(names.values()), overrides)
-    back = {clean: given for given, clean in names.items()}
-    return raw.select(file_order().alias("ord"), *[F.col(f"`{back[h]}`").alias(f) for f, h in bound.items()])
+    kinds: dict[tuple, list[str]] = {}
+    for file, encoding, sep in file_kinds(spark, path):
+        kinds.setdefault((encoding, sep), []).append(file)
+    parts = []
+    for (encoding, sep), files in kinds.items():
+        reader = spark.read.options(header=True, escape='"', multiLine=multi_line, sep=sep, encoding=encoding)
+        raw = reader.csv(files)
+        names = {c: c.lstrip("\ufeff") for c in raw.columns}
+        bound = resolve_columns(list(names.values()), overrides)
+        back = {clean: given for given, clean in names.items()}
+        parts.append(raw.select(file_order().alias("ord"), *[F.col(f"`{back[h]}`").alias(f) for f, h in bound.items()]))
+    return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
-def read_register(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, only_tracked: bool = True, multi_line: bool = False) -> DataFrame:
+def read_register(spark: SparkSession, path: str | list[str], overrides: dict[str, str] | None = None, only_tracked: bool = True, multi_line: bool = False) -> DataFrame:
     """One row per place with its ``specialties``."""
     rows = read_rows(spark, path, overrides, multi_line)
     return places_from_rows(rows, F.col("ord"), only_tracked)

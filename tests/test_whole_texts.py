@@ -48,3 +48,15 @@ def test_bytes_without_a_meaning(spark):
     ]
     df = spark.createDataFrame([(bytearray(b), t) for b, t, _ in rows], "b binary, t string")
     assert [r[0] for r in df.select(decode_body(F.col("b"), F.col("t"))).collect()] == [want for *_, want in rows]
+
+
+def test_register_folder_of_two_kinds(spark, tmp_path):
+    """Each file has its own encoding, also where the first accent comes late, and its own separator and headers."""
+    from placewise.sources.register import read_register
+
+    plain = "".join(f"P{k};Ordinace {k};Plzen;zubni lekarstvi\n" for k in range(3000))
+    late = "ZZ_ID;ZZ_nazev;ZZ_obec;ZZ_obor_pece\n" + plain + "P9999;Šťastná;Žďár;zubní lékařství\n"
+    (tmp_path / "a.csv").write_bytes(late.encode("windows-1250"))
+    (tmp_path / "b.csv").write_text("MistoPoskytovaniId,NazevCely,Obec,OborPece\n1,Čilá,Kadaň,zubní lékařství\n", encoding="utf-8")
+    got = {r.name: r.city for r in read_register(spark, str(tmp_path)).collect()}
+    assert got == {"Šťastná": "Žďár", "Čilá": "Kadaň"}
