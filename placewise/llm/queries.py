@@ -107,7 +107,16 @@ def op2(spark, folder):
     return languages(read_table(spark, folder, "documents"))
 
 
-@query("op9_warc")
+SIGNS_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(sha, 5 * k + 1, 5) AS INT) // {1 << by}) % 32 + 1, 1)" for by in (15, 10, 5, 0))
+
+
+@query("op9_warc", f"""
+    WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS sha FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, size) AS first FROM d)
+    SELECT page_id, size AS payload_bytes, array_to_string(list_transform(range(8), lambda k: {SIGNS_SQL}), '') AS payload_digest,
+           CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, true AS sound
+      FROM f""")
 def op9(spark, folder):
     found = archived(read_table(spark, folder, "pages"), least=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
