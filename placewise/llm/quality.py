@@ -246,7 +246,7 @@ class Model:
 
     def __init__(self, vectors: np.ndarray, x: np.ndarray, y: np.ndarray):
         self.vectors, self.share = vectors, float(y.mean()) if len(y) else 0.5
-        self.network = Network(POOLED).fit(x, y) if 0 < self.share < 1 else None
+        self.network = Network(POOLED).fit(x, y) if len(y) and 0 < self.share < 1 else None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.network.score(x.astype(float)) if self.network else np.full(len(x), self.share)
