@@ -42,7 +42,7 @@ BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 # The byte-level alphabet: printable bytes show as themselves, all others as the characters from 256 on, in order.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 
 
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
