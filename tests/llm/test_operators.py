@@ -291,6 +291,79 @@ def test_decontamination(spark, docs):
     assert overlaps(table, marks.limit(0)).collect() == [] and overlaps(table.limit(0), marks).collect() == []
 
 
+def stretches(equal, n_item):
+    """The best (equal words, -words, from) of all stretches that qualify, one by one."""
+    need, best = min(12, -(-4 * n_item // 5)), None
+    for i in range(len(equal)):
+        same = 0
+        for j in range(i, len(equal)):
+            same += equal[j]
+            if same >= need and 5 * same >= 4 * (j - i + 1):
+                best = max(best or (0, 0, 0), (same, -(j - i + 1), -i))
+    return best
+
+
+def unseeded(need, most, masks):
+    """Patterns of up to ``most`` words, ``need`` and 80 % of them equal, in which no mask finds a seed."""
+    bits, lost, states = [(len(m), int(m, 2)) for m in masks], [], {(1, 1): "1"}
+    for n in range(1, most + 1):
+        states = {k: s for k, s in states.items() if not any(n >= size and k[0] & m == m for size, m in bits)}
+        lost += [s for (_, same), s in states.items() if same >= need and 5 * same >= 4 * n]
+        states = {(((last << 1) | c) & 1023, same + c): s + str(c) for (last, same), s in states.items() for c in (0, 1)}
+    return lost
+
+
+def test_stretches_that_qualify():
+    from fractions import Fraction
+
+    from placewise.llm.decontaminate import best_stretch
+
+    find = lambda equal, need: best_stretch(np.array(equal, bool), need, Fraction(4, 5))
+    assert find([k not in (11, 13) for k in range(16)], 12) == (0, 16, 14)
+    run, other = [1] * 13, [0] * 6
+    assert find(run + other + run + other + run, 12) == (0, 32, 26)
+    assert find([1] * 11 + [0] * 9 + [1] * 11, 12) is None and find([0] * 5, 1) is None and find([], 1) is None
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        equal = (rng.random(int(rng.integers(1, 60))) < rng.choice([0.6, 0.75, 0.9])).astype(int).tolist()
+        want = stretches(equal, 59)
+        assert find(equal, 12) == (want and (-want[2], -want[2] - want[1], want[0]))
+
+
+def test_no_long_stretch_without_a_seed():
+    from placewise.llm.decontaminate import MASKS, SPAN
+
+    # a stretch of 24 equal words or more can be cut into two, one of which qualifies, so 28 words are enough
+    assert unseeded(12, 28, MASKS) == [] and max(map(len, MASKS)) == SPAN
+
+
+def test_decontamination_of_exchanged_words(spark):
+    from placewise.llm.decontaminate import overlaps
+
+    rng = np.random.default_rng(15)
+    items = {i: [f"i{i}w{k}" for k in rng.integers(0, 40, int(rng.integers(15, 60)))] for i in range(40)}
+    made, want = [], {}
+    for d in range(400):
+        i, rate = d % 40, rng.choice([0.1, 0.15, 0.2, 0.25])
+        item = items[i]
+        copy = [f"x{d}y{k}" if rng.random() < rate else w for k, w in enumerate(item)][int(rng.integers(0, 6)) :]
+        text = [f"p{d}q{k}" for k in range(int(rng.integers(0, 90)))] + copy + [f"r{k}" for k in range(20)]
+        made.append((d, " ".join(text)))
+        found = []
+        for shift in range(-len(item), len(text)):
+            low, high = max(0, -shift), min(len(item), len(text) - shift)
+            equal = [int(item[k] == text[k + shift]) for k in range(low, high)]
+            best = sum(equal) >= 12 and stretches(equal, len(item))
+            if best:
+                found.append((best[0], best[1], best[2] - low - shift))
+        if found:
+            same, size, start = max(found)
+            want[d, i] = (-start, -size, same)
+    table, marks = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert 200 < len(want) < 390
+    assert {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_equal) for r in overlaps(table, marks).collect()} == want
+
+
 def test_warc(spark):
     from placewise.llm.warc import archived
 
