@@ -409,6 +409,39 @@ def test_main_text(spark):
     assert got[50] == got[51] == ("", 0) and got[None] == ("x", 1)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>T</title><body><p>text", "text"),
+    ("<html><head><title>T</title><meta name=x><p>text", "text"),
+    ("<head><title>T</title>text", "text"),
+    ("<head><noscript><img src=x><body><p>text", "text"),
+    ("<head><title>T</title><script>var a = '</head><p>no';</script></head><p>text", "text"),
+    ("<head></head><body><div><button>Go</div><p>text</p></body>", "text"),
+    ("<body><p>one <button>Go<p>two</body>", "one\n\ntwo"),
+    ("<div><button>Go</div><p>text</p><div><button>Go</button> end</div>", "text\n\nend"),
+    ("<p>one</p><select><option>x<p>two", "one\n\ntwo"),
+    ("<ul><li><video src=x>none</ul><p>text", "text"),
+    ("<p>Press <button>OK</button> now <noscript><p>no</p></noscript>here", "Press now here"),
+    ("<p>a<svg><svg><title>t</title></svg><text>x</text></svg>b<object><div><p>no</div></object>c", "abc"),
+    ("<p>one<script>two<p>three", "one"),
+    ("<body class='has-sidebar'><p>text", "text"),
+    ("<div id='content' class='with-sidebar'><p>text</p></div>", "text"),
+    ("<body><article class='widget'><p>text</p></article>", "text"),
+    ("<article class='widget-content'><p>text</p></article>", "text"),
+    ("<main id='search-trees'><p>text</p></main>", "text"),
+    ("<p>text</p><div class='wide sidebar'>no</div><div id=cookie-notice><p>no</p></div><div class='ad-1'>no</div>", "text"),
+])
+def test_main_text_of_loose_pages(page, text):
+    from placewise.llm.htmltext import main_text
+
+    assert main_text(page) == text
+
+
+def test_many_unclosed_elements_take_one_pass():
+    from placewise.llm.htmltext import main_text
+
+    assert main_text("<svg><p>" * 50_000 + "end") == "end"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
