@@ -2,6 +2,7 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. A *mask* is a fixed pattern over up to ten
 neighbouring words that compares six of them, so a window still has its seed when words at the ignored places were exchanged.
+Items of 5 to 11 words have masks of their own length that compare four or five words.
 
 1. Every window of every benchmark item under every mask gives a seed: (hash, item, position).
 2. A bit table of bounded size holds the seeds' hashes. Each task slides the masks over whole texts and keeps the windows whose
@@ -11,9 +12,9 @@ neighbouring words that compares six of them, so a window still has its seed whe
    equal words, or covers 80 % of a shorter item, and 80 % of it agree. Reported is the one with the most equal words, then the fewest words.
 
 The bit table only saves work: what it lets through is settled by the join, so its size never changes a result. The masks leave no
-stretch of 12 equal words at 80 % agreement without a seed (the tests enumerate them), so at these values seeds lose nothing either.
-Items of fewer than ten words are looked for by all their words without gaps; items of fewer than ``shortest`` words are not
-looked for. Null or empty texts have no windows; a null doc_id is reported as null; rows that repeat an id are one document;
+stretch of 12 equal words at 80 % agreement, nor of 80 % of a shorter item, without a seed (the tests enumerate them), so at these
+values seeds lose nothing either. Items of fewer than five words have to be whole; items of fewer than ``shortest`` words are not looked for.
+Null or empty texts have no windows; a null doc_id is reported as null; rows that repeat an id are one document;
 an empty table gives an empty result.
 """
 
@@ -31,6 +32,10 @@ from .common import SHINGLE_STEP, cut_lineage, mix64, setup, sliced, text_buffer
 
 # The masks; 1 is compared, 0 is ignored.
 MASKS = ("111111", "1111011", "101100111", "1100010111")
+SHORT_MASKS = {
+    5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11111", "111011"), 9: ("111011",),
+    10: ("11111", "111011", "11010011"), 11: ("1101011", "1110011"),
+}
 SPAN = 10
 AROUND = 64
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
@@ -44,15 +49,20 @@ def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*text_buffers(column), separator=SIGN)
 
 
-def seeds_of(words: np.ndarray, owner: np.ndarray, shorts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of every window under every mask, and of every gapless window of the ``shorts`` lengths."""
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for items of ``n`` words."""
+    return SHORT_MASKS.get(n, MASKS) if n >= min(SHORT_MASKS) else ("1" * n,)
+
+
+def seeds_of(words: np.ndarray, owner: np.ndarray, masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of every window under every one of the ``masks``."""
     hashes, places = [], []
-    for k, mask in enumerate([*MASKS, *["1" * n for n in shorts]]):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
         at = (owner[:n] == owner[len(mask) - 1 :]).nonzero()[0]
-        total = np.full(len(at), np.uint64(k + 1 if k < len(MASKS) else 1000 + len(mask)))
+        total = np.full(len(at), np.uint64(int(mask, 2)))
         for j, used in enumerate(mask):
             if used == "1":
                 total = total * SHINGLE_STEP + words[at + j]
@@ -86,8 +96,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 words = np.frombuffer(batch.column("words")[k].as_py(), np.uint64)
-                short = [len(words)] if len(words) < SPAN else []
-                found, at = seeds_of(words, np.zeros(len(words), np.int64), short)
+                found, at = seeds_of(words, np.zeros(len(words), np.int64), masks_of(len(words)))
                 ids = batch.column("item_id").slice(k, 1).take(pa.array(np.zeros(len(found), np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids, pa.array(at.astype(np.int32))], ["hash", "item_id", "item_pos"])
 
@@ -118,7 +127,7 @@ def maybe(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at[((table[two >> np.uint64(5)] >> (two & np.uint64(31)).astype(np.uint32)) & np.uint32(1)) > 0]
 
 
-def regions(docs: DataFrame, table: np.ndarray, shorts: list[int]) -> DataFrame:
+def regions(docs: DataFrame, table: np.ndarray, masks: list[str]) -> DataFrame:
     """(key, doc_id, region, start, words, hits): the stretches of texts that hold windows worth a join."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -126,7 +135,7 @@ def regions(docs: DataFrame, table: np.ndarray, shorts: list[int]) -> DataFrame:
         for batch in sliced(batches):
             words, owner = texts_words(batch.column("text"))
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            hashes, places = seeds_of(words, owner, shorts)
+            hashes, places = seeds_of(words, owner, masks)
             at = maybe(shared.value, hashes)
             hashes, places = hashes[at], places[at]
             order = np.argsort(places, kind="stable")
@@ -184,9 +193,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, shortest: i
     setup(docs.sparkSession)
     items = cut_lineage(benchmark_items(benchmark, shortest))
     seeds = cut_lineage(item_seeds(items))
-    lengths = items.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n") < SPAN).distinct()
-    shorts = sorted(r.n for r in lengths.collect())  # at most SPAN - 1 values
-    found = cut_lineage(regions(docs, bit_table(seeds), shorts))
+    lengths = items.select(F.least((F.octet_length("words") / 8).cast("int"), F.lit(max(SHORT_MASKS) + 1)).alias("n")).filter("n > 0").distinct()
+    masks = sorted({m for r in lengths.collect() for m in masks_of(r.n)})  # at most 12 lengths
+    found = cut_lineage(regions(docs, bit_table(seeds), masks))
     hits = found.select("key", "region", "start", F.explode("hits").alias("hit")).select("key", "region", "start", "hit.hash", "hit.pos")
     diagonals = (
         hits.join(seeds, "hash").select("key", "region", "start", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()

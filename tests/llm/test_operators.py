@@ -5,6 +5,7 @@ import re
 import zlib
 from base64 import b32encode
 from collections import Counter
+from itertools import combinations
 from math import floor
 
 import numpy as np
@@ -337,6 +338,33 @@ def test_no_long_stretch_without_a_seed():
     assert unseeded(12, 28, MASKS) == [] and max(map(len, MASKS)) == SPAN
 
 
+@pytest.mark.parametrize("n", range(1, 15))
+def test_no_stretch_of_a_short_item_without_a_seed(n):
+    from placewise.llm.decontaminate import SPAN, masks_of
+
+    assert unseeded(min(12, -(-4 * n // 5)), n, masks_of(n)) == [] and max(map(len, masks_of(n))) <= SPAN
+
+
+def test_decontamination_of_short_items(spark):
+    from placewise.llm.decontaminate import overlaps
+
+    made, marks, want = [], [], {}
+    for n in range(1, 15):
+        words = [f"n{n}w{k}" for k in range(n)]
+        marks.append((n, " ".join(words)))
+        for k, gone in enumerate([c for size in range(4) for c in combinations(range(n), size)]):
+            copy = [f"x{j}" if j in gone else w for j, w in enumerate(words)]
+            made.append((1000 * n + k, " ".join(["p"] * 12 + copy + ["q"] * 3)))
+            best = stretches([int(j not in gone) for j in range(n)], n)
+            if best and n >= 3:
+                want[1000 * n + k, n] = (12 - best[2], -best[1], best[0])
+    table, items = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(marks, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_equal) for r in overlaps(table, items, shortest=3).collect()}
+    assert got == want
+    assert {k for k, _ in got} >= {9000 + k for k in range(10)}  # any one of nine words exchanged
+    assert {(r.doc_id, r.item_id) for r in overlaps(table, items).collect()} == {x for x in want if x[1] >= 5}
+
+
 def test_decontamination_of_exchanged_words(spark):
     from placewise.llm.decontaminate import overlaps
 
