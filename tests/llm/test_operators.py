@@ -437,6 +437,28 @@ def test_main_text(spark):
     assert got[50] == got[51] == ("", 0) and got[None] == ("x", 1)
 
 
+def test_template_paths_are_judged_one_by_one(spark):
+    from placewise.llm.htmltext import extracted
+
+    # every path stands once on each page: links, a long line that never changes, a text that does
+    one = "<div class=x><p><a href=/a>one link</a></p></div><div class=y><p>Rights are reserved.</p></div><div class=z><p>Story {k} is told here at some length.</p></div>"
+    links = "<div class=x><p><a href=/a>a very long list of links that outweighs the text</a></p></div><div class=z><p>Story {k}.</p></div>"
+    # the first 8,000 characters' worth of blocks are equal, later ones are not
+    many = "<div>{k} begins</div>" + "<p>same</p>" * 900 + "<p>part {k}</p>"
+    late = "<div>{k} begins</div><p>part {k}</p>" + "<p>same</p>" * 900
+    made = [(100 * n + k, f"http://h{n}.example/{k}", shape.format(k=k)) for n, shape in enumerate([one, links, many, late]) for k in range(6)]
+    # most pages of a host have an article, all have the same menu; and a host of copies
+    made += [(400 + k, f"http://h4.example/{k}", ("<article><p>a</p></article>" if k % 3 else f"<p>Text {k}.</p>") + "<div class=x><a href=/>here</a></div>") for k in range(9)]
+    made += [(500 + k, f"http://h5.example/{k}", "<p>A copy.</p><p>Its end.</p>") for k in range(6)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Story {k} is told here at some length." and got[100 + k] == f"Story {k}."
+        same = ["same"] * 900
+        assert got[200 + k] == "\n\n".join([f"{k} begins", *same, f"part {k}"]) and got[300 + k] == "\n\n".join([f"{k} begins", f"part {k}", *same])
+        assert got[500 + k] == "A copy.\n\nIts end."
+    assert [got[400 + k] for k in range(9)] == ["a" if k % 3 else f"Text {k}." for k in range(9)]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<html><head><title>T</title><body><p>text", "text"),
     ("<html><head><title>T</title><meta name=x><p>text", "text"),
