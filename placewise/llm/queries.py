@@ -14,6 +14,7 @@ from .mixture import taken_words
 from .neardup import near_duplicates
 from .quality import quality_scores
 from .secrets import find_secrets
+from .shards import sharded
 from .tokens import token_ids
 from .topk import top_k
 from .warc import archived
@@ -125,3 +126,9 @@ def op9(spark, folder):
 @query("op3_main_text")
 def op3(spark, folder):
     return extracted(read_table(spark, folder, "pages"))
+
+
+@query("op13_shards")
+def op13(spark, folder):
+    """The shard and the place in it of every document: 16 shards of near equal bytes, equal texts together."""
+    return sharded(read_table(spark, folder, "documents"), shards=16)
