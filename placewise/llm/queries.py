@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontaminate import overlaps
 from .htmltext import extracted
+from .importance import resampled
 from .langid import languages
 from .mixture import taken_words
 from .neardup import near_duplicates
@@ -132,3 +133,37 @@ def op3(spark, folder):
 def op13(spark, folder):
     """The shard and the place in it of every document: 16 shards of near equal bytes, equal texts together."""
     return sharded(read_table(spark, folder, "documents"), shards=16)
+
+
+# crc32 of the bytes x, by the checksum's table.
+CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+CRC_TABLE_SQL = f"""crc_rounds AS (SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) t(b) UNION ALL SELECT b, k + 1, {CRC_STEP} FROM crc_rounds WHERE k < 8),
+    crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM crc_rounds WHERE k = 8)"""
+
+
+def crc_sql(column: str) -> str:
+    digits = f"hex(encode({column}))"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen({column}), 2),
+        lambda i: ('0x' || substr({digits}, i, 2))::BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"""
+
+
+@query("op11_importance_resampling", f"""
+    WITH RECURSIVE {CRC_TABLE_SQL},
+    d AS (SELECT doc_id, regexp_extract_all({FOLD_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    m AS (SELECT regexp_extract_all({FOLD_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    df AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+    mf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM m),
+    names AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM mf)),
+    hashed AS MATERIALIZED (SELECT f, {crc_sql("f")} % 10000 AS bucket FROM names, crc),
+    s AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM mf JOIN hashed USING (f) GROUP BY bucket),
+    n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+    g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket), n),
+    sums AS (SELECT doc_id, count(*) AS n, sum(gain)::DOUBLE AS total FROM df JOIN hashed USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+    r AS (SELECT d.doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total / n), 0)::BIGINT AS weight,
+                 ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (doc_id)),
+    p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS able FROM p)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM o""")
+def op11(spark, folder):
+    return resampled(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), percent=25, least_words=20)
