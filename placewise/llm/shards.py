@@ -73,7 +73,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def points_of(rows: DataFrame) -> DataFrame:
-    """(h, crc, size, n, k0 ... k3): one point per distinct text, with a 63-bit key for each dimension."""
+    """(h, crc, size, n, k0 ... k3, node): one point per distinct text, with a 63-bit key for each dimension; all in node 1."""
     span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, width = span.low or 0, max((span.high or 0) - (span.low or 0), 1)
     grouped = rows.groupBy("h", "crc", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
@@ -85,7 +85,7 @@ def points_of(rows: DataFrame) -> DataFrame:
     ]
     tie = F.xxhash64("h", "crc").bitwiseAND((1 << TIE_BITS) - 1)
     keys = [(F.shiftleft(c.cast("long"), TIE_BITS) + tie).alias(f"k{k}") for k, c in enumerate(coordinates)]
-    return cut_lineage(grouped.select("h", "crc", "size", "n", *keys))
+    return cut_lineage(grouped.select("h", "crc", "size", "n", *keys, F.lit(1).cast("long").alias("node")))
 
 
 def small(spark, rows, schema: str) -> DataFrame:
@@ -98,7 +98,7 @@ def small(spark, rows, schema: str) -> DataFrame:
 
 def below(points: DataFrame, levels: list[list[Node]]) -> DataFrame:
     """The points with the number of the node they have come to after the splits made so far."""
-    found = points.withColumn("node", F.lit(1).cast("long"))
+    found = points
     for level in levels:
         cuts = small(points.sparkSession, [(n.number, n.dimension, n.cut) for n in level if n.leaves > 1], "node long, dim int, cut long")
         key = F.element_at(F.array(*[f"k{k}" for k in range(len(DIMENSIONS))]), F.col("dim") + 1)
