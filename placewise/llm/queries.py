@@ -11,6 +11,7 @@ from .decontaminate import overlaps
 from .htmltext import extracted
 from .importance import resampled
 from .langid import languages
+from .lexical import best_documents
 from .mixture import taken_words
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -167,3 +168,20 @@ def crc_sql(column: str) -> str:
     SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM o""")
 def op11(spark, folder):
     return resampled(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), percent=25, least_words=20)
+
+
+LETTERS_SQL = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@query("op12_lexical_search", f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({FOLD_SQL}, '{LETTERS_SQL}') AS w FROM documents),
+    size AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+    b AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({FOLD_SQL}, '{LETTERS_SQL}')) AS term FROM benchmark) GROUP BY ALL),
+    tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+    df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term, n_docs),
+    s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // length))))::BIGINT AS score
+            FROM tf JOIN df USING (term) JOIN b USING (term), size GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op12(spark, folder):
+    return best_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), k=20)
