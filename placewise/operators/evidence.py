@@ -247,13 +247,8 @@ def _scope(window: Column, rules: Rules) -> Column:
     return T.let(window, lambda w: T.let(F.struct(w.rlike(rules.kids).alias("kids"), w.rlike(rules.adults).alias("adults")), only))
 
 
-def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) -> DataFrame:
-    """Adds ``status``, ``scope``, ``snippet`` and ``conflicting`` to pages with a ``text``.
-
-    ``status`` is NULL when the page says nothing, or both things at once. The short results are
-    kept in the shared folder: sites, facts and signals all build on them, and whatever they
-    filter by must not make Spark scan the page texts again.
-    """
+def _judged(pages: DataFrame, as_of_year: int, rules: Rules) -> DataFrame:
+    """Adds ``status``, ``scope``, ``snippet`` and ``conflicting`` to pages with ``text`` and ``norm``."""
     norm = F.col("norm")
     sentence = lambda t, h: T.sentence_at(t, h["start"], F.length(h["word"]))
     focus = F.col("focus")
@@ -269,8 +264,7 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
     )
     hinted = focus.isNotNull()
     df = (
-        pages.withColumn("norm", T.normalize_text(F.col("text")))
-        .withColumn("focus", _focus(norm, rules.hint))
+        pages.withColumn("focus", _focus(norm, rules.hint))
         .withColumns({"neg": F.when(hinted, neg), "wait": F.when(hinted, wait), "masked": F.when(hinted, masked)})
         .withColumn("pos", F.when(hinted, pos))
     )
@@ -280,13 +274,23 @@ def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) ->
     df = df.withColumns({"conflicting": conflict, "status": status, "hit": F.coalesce("neg", "wait", "pos")})
     at_, length = F.col("hit.start"), F.length("hit.word")
     said = has("hit")
-    out = df.withColumns(
+    return df.withColumns(
         {
             "scope": F.when(F.col("status").isNotNull(), _scope(T.quote(norm, norm, at_, length, 80), rules)),
             "snippet": F.when(said, T.quote(norm, T.quotable(F.col("text")), at_, length, 50)),
         }
-    ).drop("norm", "focus", "neg", "wait", "pos", "masked", "hit", "text", "html")
-    return cut_lineage(out)
+    ).drop("focus", "neg", "wait", "pos", "masked", "hit")
+
+
+def page_verdicts(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) -> DataFrame:
+    """Adds ``status``, ``scope``, ``snippet`` and ``conflicting`` to pages with a ``text``.
+
+    ``status`` is NULL when the page says nothing, or both things at once. The short results are
+    kept in the shared folder: sites, facts and signals all build on them, and whatever they
+    filter by must not make Spark scan the page texts again.
+    """
+    norm = pages.withColumn("norm", T.normalize_text(F.col("text")))
+    return cut_lineage(_judged(norm, as_of_year, rules).drop("norm", "text", "html"))
 
 
 # ------------------------------------------------------------------------------- facts
@@ -336,21 +340,23 @@ def looks_english(norm: Column) -> Column:
     return T.let(T.let(F.regexp_extract_all(norm, F.lit("[a-z]+"), 0), count), clear)
 
 
-def page_flags(pages: DataFrame) -> DataFrame:
-    """(page_id, flag, snippet): the facts a page states beyond "accepting?"."""
+def _stated(pages: DataFrame) -> DataFrame:
+    """Adds the quotes ``pay``, ``eng`` and ``ins`` and the insurers' ``codes`` to pages with ``text`` and ``norm``."""
     norm = F.col("norm")
-    df = pages.withColumn("norm", T.normalize_text(F.col("text"))).withColumns(
-        {"pay": self_pay_hit(norm), "eng": english_hit(norm)}
-    )
-    df = df.withColumn("ins", F.when(F.col("pay").isNull(), insurer_windows(norm)))
+    df = pages.withColumns({"pay_hit": self_pay_hit(norm), "eng_hit": english_hit(norm)})
+    df = df.withColumn("ins_hits", F.when(F.col("pay_hit").isNull(), insurer_windows(norm)))
     source = T.quotable(F.col("text"))
     said = lambda h, pad: F.when(h.isNotNull(), T.quote(norm, source, h["start"], F.length(h["word"]), pad))
-    keys = [c for c in pages.columns if c not in ("text", "html")]
-    # Short results first, kept; only then rows without any fact are dropped.
-    short = cut_lineage(df.select(
-        *keys, said(F.col("pay"), 50).alias("pay"), said(F.col("eng"), 50).alias("eng"), said(F.get("ins", F.lit(0)), 90).alias("ins"),
-        F.array_distinct(F.flatten(F.transform("ins", lambda w: w["codes"]))).alias("codes"),
-    ))
+    return df.withColumns(
+        {
+            "pay": said(F.col("pay_hit"), 50), "eng": said(F.col("eng_hit"), 50), "ins": said(F.get("ins_hits", F.lit(0)), 90),
+            "codes": F.array_distinct(F.flatten(F.transform("ins_hits", lambda w: w["codes"]))),
+        }
+    ).drop("pay_hit", "eng_hit", "ins_hits")
+
+
+def facts_of(stated: DataFrame, *keys: str) -> DataFrame:
+    """(keys, flag, snippet): one row per fact of pages read by ``page_flags`` or ``page_evidence``."""
     fact = lambda flag, snippet: F.struct(flag.alias("flag"), snippet.alias("snippet"))
     facts = F.concat(
         F.array_compact(F.array(
@@ -359,7 +365,22 @@ def page_flags(pages: DataFrame) -> DataFrame:
         )),
         F.coalesce(F.transform("codes", lambda c: fact(F.concat(F.lit("ins"), c), F.col("ins"))), F.array().cast("array<struct<flag:string,snippet:string>>")),
     )
-    return short.select(*keys, F.explode(facts).alias("f")).select(*keys, "f.flag", "f.snippet")
+    return stated.select(*keys, F.explode(facts).alias("f")).select(*keys, "f.flag", "f.snippet")
+
+
+def page_flags(pages: DataFrame) -> DataFrame:
+    """(page_id, flag, snippet): the facts a page states beyond "accepting?"."""
+    keys = [c for c in pages.columns if c not in ("text", "html")]
+    # Short results first, kept; only then rows without any fact are dropped.
+    short = cut_lineage(_stated(pages.withColumn("norm", T.normalize_text(F.col("text")))).select(*keys, "pay", "eng", "ins", "codes"))
+    return facts_of(short, *keys)
+
+
+def page_evidence(pages: DataFrame, as_of_year: int, rules: Rules = Rules()) -> DataFrame:
+    """Verdict, facts and language of pages with a ``text``, in one pass: each text is folded once and only short results are kept."""
+    norm = pages.withColumn("norm", T.normalize_text(F.col("text")))
+    read = _stated(_judged(norm, as_of_year, rules)).withColumn("english_text", looks_english(F.col("norm")))
+    return cut_lineage(read.drop("norm", "text", "html"))
 
 
 # ------------------------------------------------------------------------------- per site
@@ -410,22 +431,6 @@ def attributable(snippet: Column, specialties: Column) -> Column:
     return F.when(one, fits_specialty(snippet, specialties)).otherwise(every)
 
 
-# ------------------------------------------------------------------------------- robots
-def allowed(urls: DataFrame, robots: DataFrame) -> DataFrame:
-    """URLs their site lets crawlers read: the longest matching path rule decides.
-
-    ``robots``: (host, prefix, allow). Every prefix of a path is looked up by equality, so a site
-    with many pages and many rules never pairs them all.
-    """
-    path = F.when(url_path(F.col("url")) == "", F.lit("/")).otherwise(url_path(F.col("url")))
-    starts = F.transform(F.sequence(F.lit(1), F.length(path)), lambda n: F.substring(path, F.lit(1), n))
-    tried = urls.select("url", host_of(F.col("url")).alias("host"), F.explode(starts).alias("prefix"))
-    ruled = tried.join(robots, ["host", "prefix"]).groupBy("url").agg(
-        F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow")
-    )
-    return urls.join(ruled.filter(~F.col("allow")), "url", "left_anti")
-
-
 def crawl_summary(results: DataFrame) -> DataFrame:
     """Counts by outcome of a run."""
     outcome = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -10,6 +12,7 @@ from ..functions import text as T
 from ..operators import cards as K
 from ..operators import discover as DI
 from ..operators import evidence as E
+from ..operators import reading as R
 from ..operators import reconcile as RC
 from ..session import cut_lineage, spread
 from ..sources import domain as D
@@ -42,6 +45,56 @@ RECENT = "|".join(str(y) for y in range(YEAR - 1, 2050))
 STALE = f"(regexp_matches(s, {q(chr(92) + 'b20[0-4][0-9]' + chr(92) + 'b')}) AND NOT regexp_matches(s, {q(chr(92) + 'b(?:' + RECENT + ')' + chr(92) + 'b')}))"
 HOST = "lower(split_part(split_part(split_part(url, '/', 3), '?', 1), '#', 1))"
 
+
+# Facts: quotes of English with what stands before them, self-payment, insurers near words of contracts.
+bare = lambda p: p.replace(V.ONE_INSURER, "").replace("(?![^.!?\\n]{0,30}(?:vzp|cpzp|ozp|rbp|vozp|zpmv|\\b2\\d\\d\\b))", "")
+SAID_ENGLISH = " OR ".join(
+    f"len(list_filter(regexp_extract_all(norm, {q('(?s)(.{0,25})(?:' + p + ')')}, 1), lambda x: NOT regexp_matches(x, {q(V.ENGLISH_NEGATION)}))) > 0" for p in V.ENGLISH)
+SAID_ENGLISH = f"({SAID_ENGLISH})"
+SAID_PAY = f"len(list_filter(string_split_regex(norm, '[.!?\\n]'), lambda s: regexp_matches(s, {any_of([bare(p) for p in V.SELF_PAY])}) AND NOT regexp_matches(s, {q(V.SELF_PAY_EXTRA)}))) > 0"
+WINDOWS = f"regexp_extract_all(norm, {q('(?s).{0,120}(?:' + V.CONTRACT_WORDS + ').{0,160}')})"
+NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, {q(p)}) THEN '{c}' END" for c, p in V.INSURER_WORDS.items()) + "], lambda c: c IS NOT NULL)"
+NUMBERS = f"list_distinct(regexp_extract_all(x, {q(V.INSURER_CODES)}))"
+CODES = f"""list_distinct(flatten(list_transform({WINDOWS}, lambda x: CASE WHEN regexp_matches(x, {q(V.NO_CONTRACT)}) THEN [] WHEN regexp_matches(x, {q(V.ALL_INSURERS)}) THEN [{", ".join(map(q, V.INSURER_WORDS))}]
+    WHEN len({NUMBERS}) >= 2 OR (len({NUMBERS}) > 0 AND len({NAMED}) > 0) THEN list_distinct(list_concat({NAMED}, {NUMBERS})) ELSE {NAMED} END)))"""
+
+
+def path_sql(url):
+    return f"regexp_extract({url}, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+
+
+def address_sql(url):
+    return f"lower(regexp_extract({url}, '^[^:]+://([^/?#]*)', 1)) || rtrim({path_sql(url)}, '/') || regexp_extract({url}, '(\\?[^#]+)', 1)"
+
+
+def open_sql(url, host):
+    """Does the longest matching rule of its robots file let this address be read?"""
+    return f"""coalesce((SELECT arg_max(allow, length(prefix) * 2 + allow::INT) FROM robots x
+        WHERE x.host = {host} AND regexp_matches({path_sql(url)} || regexp_extract({url}, '(\\?[^#]+)', 1), x.pattern)), true)"""
+
+
+LINK_SQL = """
+    SELECT DISTINCT page_id, url, CASE WHEN href LIKE 'http%' THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || href
+           ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '[^/]*$', '') || href END AS dest, href, label, pos FROM (
+        SELECT page_id, url, regexp_replace(regexp_extract(part, 'href="([^"]*)"', 1), '#.*$', '') AS href, lower(strip_accents(trim(regexp_replace(part, '(?s)<[^>]*>', ' ', 'g')))) AS label, pos
+          FROM (SELECT page_id, url, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM (
+                SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS parts FROM crawl_pages)))"""
+SCORE_SQL = "CASE " + " ".join(f"WHEN contains(hay, '{h}') THEN {len(V.LINK_HINTS) - i}" for i, h in enumerate(V.LINK_HINTS)) + " ELSE 0 END"
+EN_SQL = f"(regexp_matches({path_sql('dest')}, {q(V.EN_PATH)}) OR regexp_matches(label, {q(V.EN_LABEL)}))"
+
+
+def rank_sql(home):
+    """The two best links of every page, seen from the address ``home``."""
+    return f"""
+    SELECT page_id, dest AS "to", score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos, dest) AS INT) AS rn FROM (
+        SELECT page_id, dest, max(score) AS score, min(pos) AS pos FROM (
+            SELECT *, {SCORE_SQL} AS score FROM (
+                SELECT *, lower(strip_accents({path_sql('dest')})) || ' ' || label AS hay, {path_sql('home')} AS path FROM (SELECT *, {home} AS home FROM ({LINK_SQL}))))
+         WHERE score > 0 AND rtrim(dest, '/') <> rtrim(home, '/') AND starts_with({path_sql('dest')},
+               CASE WHEN path LIKE '%/' THEN path WHEN regexp_matches(path, '\\.[^/]*$') THEN regexp_replace(path, '[^/]*$', '') ELSE path || '/' END)
+         GROUP BY 1, 2) QUALIFY rn <= 2"""
+
+
 STEPS.update({
     "page_texts": f"SELECT page_id, url, {HOST} AS site, html, {TEXT_SQL} AS text FROM crawl_pages",
     "page_norm": f"SELECT *, {NORM_SQL} AS norm FROM page_texts",
@@ -56,21 +109,54 @@ STEPS.update({
         SELECT page_id, url, site, CASE WHEN neg AND pos THEN NULL WHEN neg THEN 'not_accepting' WHEN wait THEN 'waitlist' WHEN pos THEN 'accepting' END AS status,
                neg AND pos AS conflicting FROM page_said""",
     "page_facts": f"""
-        SELECT page_id, site, unnest(CASE page_id % 13 WHEN 10 THEN ['english'] WHEN 11 THEN ['self_pay'] ELSE ['english', 'ins111', 'ins201', 'ins205'] END) AS flag
-          FROM page_texts WHERE page_id % 13 >= 10""",
+        SELECT page_id, site, unnest(list_concat(CASE WHEN pay THEN ['self_pay'] ELSE list_transform(codes, lambda c: 'ins' || c) END, CASE WHEN eng THEN ['english'] ELSE [] END)) AS flag FROM (
+            SELECT page_id, site, {SAID_PAY} AS pay, {SAID_ENGLISH} AS eng, {CODES} AS codes FROM page_norm)""",
+    "page_english": f"""
+        SELECT page_id, len(list_filter(w, lambda x: x IN ({", ".join(map(q, V.EN_WORDS))}))) AS en, len(list_filter(w, lambda x: x IN ({", ".join(map(q, V.CS_WORDS))}))) AS cs
+          FROM (SELECT page_id, regexp_extract_all(norm, '[a-z]+') AS w FROM page_norm)""",
+    # robots, addresses, links of home pages
+    "sites": f"SELECT {HOST} AS site, 'http://' || {HOST} || '/' AS url, min(page_id) AS n FROM crawl_pages GROUP BY 1, 2",
+    "robots": " UNION ALL ".join(
+        f"SELECT site AS host, {q(p)} AS prefix, {allow} AS allow, {q('^' + re.escape(p).replace(chr(92) + '*', '.*').replace(chr(92) + '$', '$'))} AS pattern FROM sites WHERE {w.replace('host', 'site')}"
+        for w, p, allow in D.ROBOTS),
+    "fetched": f"SELECT {address_sql('url')} AS address, max(page_id) AS page_id FROM crawl_pages GROUP BY 1",
+    "site_homes": f"SELECT s.site, f.page_id FROM sites s JOIN fetched f ON f.address = {address_sql('s.url')} WHERE {open_sql('s.url', 's.site')}",
+    "home_links": f"SELECT h.site, l.* FROM ({LINK_SQL}) l JOIN site_homes h ON h.page_id = l.page_id",
+    "asked": f"""
+        SELECT h.site, r."to" AS url, r.rn AS page_rank, 'link' AS role FROM ({rank_sql('url')}) r JOIN site_homes h ON h.page_id = r.page_id
+        UNION ALL SELECT site, min(dest), 3, 'english' FROM home_links WHERE {EN_SQL} GROUP BY 1""",
+    "reading": f"""
+        SELECT site, page_id, 0 AS page_rank, 'home' AS role FROM site_homes
+        UNION ALL SELECT a.site, f.page_id, a.page_rank, a.role FROM asked a JOIN fetched f ON f.address = {address_sql('a.url')} WHERE {open_sql('a.url', 'a.site')}""",
     "site_best": """
-        SELECT site, min(page_id) FILTER (WHERE status IS NOT NULL OR conflicting) AS decisive_rank, min(page_id) AS home,
-               coalesce(min(page_id) FILTER (WHERE status IS NOT NULL OR conflicting), min(page_id)) AS best FROM page_verdict GROUP BY 1""",
-    "site_verdict": "SELECT b.site, b.home, b.decisive_rank, v.url AS page_url, v.status, v.conflicting FROM site_best b JOIN page_verdict v ON v.page_id = b.best",
+        SELECT r.site, min(page_rank) FILTER (WHERE status IS NOT NULL OR conflicting) AS decisive_rank,
+               coalesce(min(page_rank) FILTER (WHERE status IS NOT NULL OR conflicting), 0) AS best
+          FROM reading r JOIN page_verdict v ON v.page_id = r.page_id WHERE role <> 'english' GROUP BY 1""",
+    "site_verdict": """
+        SELECT b.site, s.n, b.decisive_rank, v.page_id, v.url AS page_url, v.status, v.conflicting FROM site_best b JOIN sites s ON s.site = b.site
+          JOIN reading r ON r.site = b.site AND r.page_rank = b.best AND r.role <> 'english' JOIN page_verdict v ON v.page_id = r.page_id""",
+    "own_facts": """
+        SELECT r.site, f.flag, arg_min(r.page_id, r.page_rank) AS page FROM reading r JOIN page_facts f ON f.page_id = r.page_id JOIN site_best b ON b.site = r.site
+         WHERE r.role <> 'english' AND (b.decisive_rank IS NULL OR r.page_rank <= b.decisive_rank) GROUP BY 1, 2""",
+    "site_facts": f"""
+        SELECT * FROM own_facts UNION ALL
+        SELECT site, flag, page_id FROM (
+            SELECT r.site, r.page_id, CASE WHEN EXISTS (SELECT 1 FROM page_facts f WHERE f.page_id = r.page_id AND flag = 'english') THEN 'english' WHEN en >= 15 AND en > 2 * cs THEN 'english_site' END AS flag
+              FROM reading r JOIN page_english e ON e.page_id = r.page_id
+             WHERE role = 'english' AND NOT EXISTS (SELECT 1 FROM own_facts o WHERE o.site = r.site AND o.flag = 'english')) WHERE flag IS NOT NULL""",
 })
 
 
+def texts_of(pages):
+    return P.readable_pages(pages)
+
+
 def texts(d):
-    return P.readable_pages(d.pages)
+    return texts_of(d.pages)
 
 
 def verdicts(d):
-    return E.page_verdicts(texts(d).drop("html"), YEAR).withColumn("page_rank", F.col("page_id"))
+    return E.page_verdicts(texts(d).drop("html"), YEAR)
 
 
 @query("A9_pages_source", f"SELECT {HOST} AS site, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM crawl_pages GROUP BY 1")
@@ -108,42 +194,32 @@ def page_links(d):
     return E.page_links(d.pages).groupBy("page_id", "href", "label").agg(F.count("*").alias("n"))
 
 
-LINK_SQL = """
-    SELECT DISTINCT page_id, url, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || href
-           ELSE regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '[^/]*$', '') || href END AS dest, href, label, pos FROM (
-        SELECT page_id, url, regexp_extract(part, 'href="([^"]*)"', 1) AS href, lower(strip_accents(trim(regexp_replace(part, '(?s)<[^>]*>', ' ', 'g')))) AS label, pos
-          FROM (SELECT page_id, url, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM (
-                SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS parts FROM crawl_pages)))"""
-
 
-@query("I3_rank_links", f"""
-    SELECT page_id, dest AS "to", score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos, dest) AS INT) AS rn FROM (
-        SELECT page_id, dest, max(score) AS score, min(pos) AS pos FROM (
-            SELECT *, CASE WHEN contains(hay, 'pacient') THEN 10 WHEN contains(hay, 'registrac') THEN 9 WHEN contains(hay, 'objedn') THEN 8 WHEN contains(hay, 'kontakt') THEN 7
-                   WHEN contains(hay, 'ordinac') THEN 6 WHEN contains(hay, 'o-nas') THEN 5 WHEN contains(hay, 'onas') THEN 4 WHEN contains(hay, 'aktual') THEN 3
-                   WHEN contains(hay, 'novinky') THEN 2 WHEN contains(hay, 'pojistov') THEN 1 ELSE 0 END AS score FROM (
-                SELECT *, lower(strip_accents(href)) || ' ' || label AS hay, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM ({LINK_SQL})))
-         WHERE score > 0 AND starts_with(href, CASE WHEN path LIKE '%/' THEN path WHEN regexp_matches(path, '\\.[^/]*$') THEN regexp_replace(path, '[^/]*$', '') ELSE path || '/' END)
-         GROUP BY 1, 2) QUALIFY rn <= 2""")
+@query("I3_rank_links", rank_sql("url"))
 def rank_links(d):
     """Links of every page, as if each page were a site's homepage."""
-    links = E.page_links(d.pages)
-    return E.rank_links(links)
+    return E.rank_links(E.page_links(d.pages))
+
 
+def rooted(d):
+    """Links of every page, each taken as its site's root."""
+    return E.page_links(d.pages.withColumn("url", F.concat(F.regexp_extract("url", "^([^:]+://[^/?#]*)", 1), F.lit("/"))))
 
-@query("I3_rank_links_home", f"""
-    SELECT page_id, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || '/kontakt' AS "to", 7 AS score, CAST(1 AS INT) AS rn FROM crawl_pages""")
+
+ROOTED_SQL = "crawl_roots"
+STEPS[ROOTED_SQL] = "SELECT page_id, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || '/' AS url, html FROM crawl_pages"
+
+
+@query("I3_rank_links_home", rank_sql("url").replace("FROM crawl_pages", f"FROM {ROOTED_SQL}"))
 def rank_links_home(d):
     """The same with every page taken as its site's root."""
-    links = E.page_links(d.pages).withColumn("url", F.concat(F.regexp_extract("url", "^([^:]+://[^/?#]*)", 1), F.lit("/")))
-    return E.rank_links(links).filter(F.col("to").endswith("/kontakt"))
+    return E.rank_links(rooted(d))
 
 
 @query("I4_english_link", f"""
-    SELECT page_id, min(dest) AS "to", 1 AS rank FROM ({LINK_SQL}) WHERE regexp_matches(href, {q(V.EN_PATH)}) OR regexp_matches(label, {q(V.EN_LABEL)}) GROUP BY 1""")
+    SELECT page_id, min(dest) AS "to", 1 AS rank FROM ({LINK_SQL.replace('FROM crawl_pages', f'FROM {ROOTED_SQL}')}) WHERE {EN_SQL} GROUP BY 1""")
 def english_link(d):
-    links = E.page_links(d.pages).withColumn("url", F.concat(F.regexp_extract("url", "^([^:]+://[^/?#]*)", 1), F.lit("/")))
-    return E.english_link(links)
+    return E.english_link(rooted(d))
 
 
 @query("I5_sentences", f"""
@@ -227,53 +303,63 @@ def snippet(d):
     return verdicts(d).filter("snippet IS NOT NULL").select("page_id", "status", "snippet")
 
 
-@query("I15_robots_filter", f"""
-    SELECT page_id FROM pages p WHERE coalesce((
-        SELECT allow FROM (SELECT DISTINCT {HOST} AS host, '/en/' AS prefix, false AS allow FROM pages WHERE page_id % 2 = 0
-                           UNION ALL SELECT DISTINCT {HOST}, '/en/4', true FROM pages WHERE page_id % 2 = 0) r
-         WHERE r.host = {HOST.replace('url', 'p.url')} AND starts_with(regexp_extract(p.url, '^[^:]+://[^/?#]*([^?#]*)', 1), r.prefix)
-         ORDER BY length(prefix) DESC LIMIT 1), true)""")
+@query("I15_robots_filter", f"SELECT page_id FROM crawl_pages p WHERE {open_sql('p.url', HOST.replace('url', 'p.url'))}")
 def robots_filter(d):
-    """English folders are closed on some hosts, except pages that start with 4."""
-    pages = d.given("pages")
-    hosts = pages.filter("page_id % 2 = 0").select(C.host_of(F.col("url")).alias("host")).distinct()
-    rule = lambda prefix, allow: hosts.select("host", F.lit(prefix).alias("prefix"), F.lit(allow).alias("allow"))
-    robots = rule("/en/", False).unionByName(rule("/en/4", True))
-    return E.allowed(pages.select("page_id", "url"), robots).select("page_id")
+    """Pages their site lets crawlers read: folders, file endings and parameters are closed on some hosts, with exceptions."""
+    return R.allowed(d.pages.select("page_id", "url"), d.robots).select("page_id")
 
 
 # ------------------------------------------------------------------------------- per site
-@query("E10_site_best_page", "SELECT site, page_url, status, conflicting FROM site_verdict")
-def site_best_page(d):
-    return E.site_verdicts(verdicts(d)).select("site", "page_url", "status", "conflicting")
+class Crawl:
+    """One reading of all sites: which pages, in which order, what they say; pages are parsed once."""
+
+    def __init__(self, d):
+        self.sites, self.robots = d.sites, d.robots
+        self.order = R.reading_order(d.sites, d.pages, d.robots)
+        opened = d.pages.join(self.order.select("page_id").distinct(), "page_id", "left_semi")
+        self.evidence = E.page_evidence(texts_of(opened), YEAR)
+        self.read = R.in_order(self.evidence, self.order)
+        self.verdicts = E.site_verdicts(self.read.filter("role <> 'english'"))
+        own = E.site_flags(E.facts_of(self.read.filter("role <> 'english'"), "site", "page_rank"), self.verdicts)
+        self.facts = own.unionByName(R.english_version(self.read, own))
+
+    def results(self):
+        """Each site's verdict for its two practices; some sites could not be loaded."""
+        n = F.col("n")
+        failed = F.when(n % 10 == 7, "HTTP 503").when(n % 10 == 9, "URLError: timed out")
+        sites = self.sites.select("site", "n").join(self.verdicts, "site", "left").join(R.site_errors(self.sites, self.order, self.robots), "site", "left")
+        sites = sites.withColumn("error", F.coalesce("error", failed))
+        return sites.withColumn("provider_id", F.explode(F.array(n * 2, n * 2 + 1)))
+
+    def found(self, d):
+        return RC.found_flags(self.facts, self.results(), K.specialty_lists(d.bridge))
 
 
-def flag_rows(d):
-    return E.page_flags(texts(d)).withColumn("page_rank", F.col("page_id"))
+@query("E10_site_best_page", "SELECT site, page_url, status, conflicting FROM site_verdict")
+def site_best_page(d):
+    return Crawl(d).verdicts.select("site", "page_url", "status", "conflicting")
 
 
-SITE_FLAGS_SQL = """
-    SELECT f.site, f.flag, min(f.page_id) AS page FROM page_facts f JOIN site_best b ON b.site = f.site
-     WHERE b.decisive_rank IS NULL OR f.page_id <= b.decisive_rank GROUP BY 1, 2"""
-STEPS["site_facts"] = SITE_FLAGS_SQL
+@query("E10_reading_order", "SELECT site, page_id, CAST(page_rank AS INT) AS page_rank, role FROM reading")
+def reading_order(d):
+    """Pages that are opened on each site: home, best links, English version."""
+    return R.reading_order(d.sites, d.pages, d.robots)
 
 
 @query("E11_site_flags", "SELECT site, flag FROM site_facts")
 def site_flags(d):
-    return E.site_flags(flag_rows(d), E.site_verdicts(verdicts(d))).select("site", "flag")
+    return Crawl(d).facts.select("site", "flag")
 
 
 STEPS["crawl_results"] = f"""
-    SELECT v.*, unnest([2 * home, 2 * home + 1]) AS provider_id, CASE WHEN home % 10 = 7 THEN 'HTTP 503' WHEN home % 10 = 9 THEN 'URLError: timed out' END AS error FROM site_verdict v"""
+    SELECT s.site, s.n, v.decisive_rank, v.page_id, v.page_url, v.status, v.conflicting, unnest([2 * s.n, 2 * s.n + 1]) AS provider_id,
+           CASE WHEN h.site IS NULL AND NOT {open_sql('s.url', 's.site')} THEN 'blocked by robots.txt' WHEN h.site IS NULL THEN 'not fetched'
+                WHEN s.n % 10 = 7 THEN 'HTTP 503' WHEN s.n % 10 = 9 THEN 'URLError: timed out' END AS error
+      FROM sites s LEFT JOIN site_homes h ON h.site = s.site LEFT JOIN site_verdict v ON v.site = s.site"""
 
 
-def results(d, per_page=None):
-    """Each site's verdict for its two practices; some sites could not be loaded."""
-    per_page = verdicts(d) if per_page is None else per_page
-    home = per_page.groupBy("site").agg(F.min("page_id").alias("home"))
-    error = F.when(F.col("home") % 10 == 7, "HTTP 503").when(F.col("home") % 10 == 9, "URLError: timed out")
-    sites = E.site_verdicts(per_page).join(home, "site").withColumn("error", error)
-    return sites.withColumn("provider_id", F.explode(F.array(F.col("home") * 2, F.col("home") * 2 + 1)))
+def results(d):
+    return Crawl(d).results()
 
 
 @query("D17_crawl_summary", """
@@ -292,7 +378,7 @@ def check_marks(d):
 
 
 @query("H26_error_kind", """
-    SELECT CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' END AS kind, count(*) AS n FROM crawl_results WHERE error IS NOT NULL GROUP BY 1""")
+    SELECT CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' ELSE error END AS kind, count(*) AS n FROM crawl_results WHERE error IS NOT NULL GROUP BY 1""")
 def error_kinds(d):
     failed = results(d).filter("error IS NOT NULL")
     return failed.groupBy(C.error_kind(F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
@@ -304,7 +390,7 @@ STEPS["results_own"] = f"""
       FROM (SELECT *, {FIELD_SQL} AS named FROM (
         SELECT r.*, coalesce(string_split(b.specialties, ','), []) AS own, regexp_extract(n.norm, {q('(?s).{0,50}(?:' + '|'.join(V.NEGATIVE + V.WAITLIST + V.POSITIVE) + ').{0,50}')}) AS s
           FROM crawl_results r LEFT JOIN (SELECT provider_id, string_agg(specialty_slug, ',') AS specialties FROM bridge GROUP BY 1) b ON b.provider_id = r.provider_id
-          JOIN page_norm n ON n.url = r.page_url AND n.site = r.site)) r"""
+          LEFT JOIN page_norm n ON n.page_id = r.page_id)) r"""
 STEPS["recent_crawl"] = f"SELECT DISTINCT provider_id, status FROM signals WHERE source = 'web_crawl' AND observed_us > {US} - 6 * {DAY}"
 STEPS["decisions"] = """
     SELECT r.provider_id, r.status, CASE WHEN r.error IS NOT NULL THEN 'keep' WHEN r.status IS NULL THEN 'delete' WHEN NOT r.mine THEN 'delete'
@@ -338,27 +424,25 @@ def crawl_dedup(d):
     return RC.new_verdicts(results(d), d.signals, d.as_of).select("provider_id", "status")
 
 
-def crawl_facts(d):
-    per_page = verdicts(d)
-    sites = E.site_verdicts(per_page)
-    return RC.found_flags(E.site_flags(flag_rows(d), sites), results(d, per_page), K.specialty_lists(d.bridge))
-
-
-# Notices that state facts name one field at most: eye care, on every 13th page.
-STEPS["found_facts"] = """
-    SELECT r.provider_id, f.flag FROM crawl_results r JOIN site_facts f ON f.site = r.site
-     WHERE r.error IS NULL AND NOT (f.flag = 'english' AND f.page % 13 = 10
-       AND NOT EXISTS (SELECT 1 FROM bridge b WHERE b.provider_id = r.provider_id AND b.specialty_slug = 'ocni'))"""
+# The words around a fact may name fields of care.
+STEPS["found_facts"] = f"""
+    SELECT provider_id, flag FROM (SELECT *, {FIELD_SQL} AS named FROM (
+        SELECT r.provider_id, f.flag, coalesce(b.own, []) AS own, CASE f.flag WHEN 'english_site' THEN '' WHEN 'english' THEN regexp_extract(norm, {q('(?s).{0,50}(?:' + '|'.join(V.ENGLISH) + ').{0,50}')})
+               WHEN 'self_pay' THEN regexp_extract(norm, {q('(?s).{0,50}(?:' + '|'.join(map(bare, V.SELF_PAY)) + ').{0,50}')}) ELSE regexp_extract(norm, {q('(?s).{0,90}(?:' + V.CONTRACT_WORDS + ').{0,90}')}) END AS s
+          FROM crawl_results r JOIN site_facts f ON f.site = r.site JOIN page_norm n ON n.page_id = f.page
+          LEFT JOIN (SELECT provider_id, list(specialty_slug) AS own FROM bridge GROUP BY 1) b ON b.provider_id = r.provider_id
+         WHERE r.error IS NULL)) WHERE len(list_intersect(named, own)) > 0 OR NOT (len(named) > 0 OR regexp_matches(s, {q(V.OTHER_FIELDS)}))"""
 
 
 @query("D17_run_summary", """
     SELECT 'outcome' AS part, CASE WHEN error IS NOT NULL THEN 'error' WHEN conflicting THEN 'conflicting' ELSE coalesce(status, 'nothing') END AS name, count(*) AS n
       FROM crawl_results GROUP BY 1, 2
     UNION ALL SELECT 'fact', flag, count(*) FROM found_facts GROUP BY 1, 2
-    UNION ALL SELECT 'error', CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' END, count(*)
+    UNION ALL SELECT 'error', CASE error WHEN 'HTTP 503' THEN 'HTTP 5xx' WHEN 'URLError: timed out' THEN 'timeout' ELSE error END, count(*)
       FROM crawl_results WHERE error IS NOT NULL GROUP BY 1, 2""")
 def run_summary(d):
-    return RC.run_summary(results(d), crawl_facts(d))
+    crawl = Crawl(d)
+    return RC.run_summary(crawl.results(), crawl.found(d))
 
 
 @query("L5_reconcile_flags", f"""
@@ -366,7 +450,8 @@ def run_summary(d):
      WHERE NOT (source = 'web_crawl' AND provider_id IN (SELECT provider_id FROM crawl_results WHERE error IS NULL))
     UNION ALL SELECT provider_id, flag, 'web_crawl', {US} FROM found_facts""")
 def reconcile_flags(d):
-    out = RC.reconcile_flags(d.flags, crawl_facts(d), results(d), d.as_of)
+    crawl = Crawl(d)
+    out = RC.reconcile_flags(d.flags, crawl.found(d), crawl.results(), d.as_of)
     return out.select("provider_id", "flag", "source", us("observed_at"))
 
 
@@ -375,7 +460,8 @@ def reconcile_flags(d):
      WHERE source = 'web_crawl' AND provider_id IN (SELECT provider_id FROM crawl_results WHERE error IS NULL)
     EXCEPT SELECT provider_id, flag FROM found_facts""")
 def flag_keep(d):
-    return RC.stale_flags(d.flags, crawl_facts(d), results(d))
+    crawl = Crawl(d)
+    return RC.stale_flags(d.flags, crawl.found(d), crawl.results())
 
 
 # ------------------------------------------------------------------------------- targets

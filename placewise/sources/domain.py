@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.contact import host_of
 from ..operators.cards import by_specialty, listing, newest_flags, provider_cards
 from ..operators.status import at, provider_status
 from ..session import spread
@@ -213,11 +214,26 @@ NOTICES = [
 NOTICE = "CASE page_id % 13 " + " ".join(
     f"WHEN {i} THEN '" + n.replace("'", "''") + "'" for i, n in enumerate(NOTICES)
 ) + " END"
+# Pages of each given host become the addresses of one site; an address fetched more than once keeps its newest page.
+ORIGIN = "regexp_extract(url, '^[^:]+://[^/?#]*', 0)"
+PAGE_LINKS = [
+    ("page_id % 5 <> 4", "'<a href=\"/kontakt\">Kontakt</a>'"),
+    ("page_id % 3 = 0", "'<a href=\"objednani/#top\">Objednání</a>'"),
+    ("page_id % 4 = 1", f"'<a href=\"' || {ORIGIN} || '/pro-pacienty.html\">Informace</a>'"),
+    ("page_id % 5 = 2", "'<a href=\"/aktuality?strana=1\">Novinky</a>'"),
+    ("page_id % 7 <> 6", "'<a href=\"/en/\">English</a>'"),
+]
 PAGES = {
     "page_id": "page_id",
-    "url": "url",
-    "html": f"html || '<footer><p>' || {NOTICE} || '</p><a href=\"/kontakt\">Kontakt</a><a href=\"/en/\">English</a></footer>'",
+    "url": f"{ORIGIN} || CASE page_id % 10 WHEN 4 THEN '/kontakt' WHEN 5 THEN '/objednani/' WHEN 6 THEN '/en/' WHEN 7 THEN '/pro-pacienty.html'"
+           " WHEN 8 THEN '/aktuality?strana=1#top' WHEN 9 THEN '/lekar/' || CAST(page_id AS STRING) || '/' ELSE '/' END",
+    "html": f"html || '<footer><p>' || {NOTICE} || '</p>' || " + " || ".join(f"CASE WHEN {when} THEN {link} ELSE '' END" for when, link in PAGE_LINKS) + " || '</footer>'",
 }
+# Rules of robots files, by the length of a host's name.
+ROBOTS = [
+    ("length(host) % 4 = 0", "/objednani", False), ("length(host) % 4 = 1", "/*.html$", False), ("length(host) % 5 = 2", "/en", False),
+    ("length(host) % 5 = 2", "/en/$", True), ("length(host) % 9 = 5", "/", False), ("length(host) % 6 = 0", "/*?strana=", False),
+]
 
 
 def select_list(columns: dict[str, str]) -> str:
@@ -339,6 +355,20 @@ class Domain:
     def pages(self) -> DataFrame:
         return spread(self.given("pages")).selectExpr(*[f"{text} AS {name}" for name, text in PAGES.items()])
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """(site, url, n): hosts of the pages, their home address and number (their least page)."""
+        hosts = self.pages.select("page_id", host_of(F.col("url")).alias("site")).groupBy("site").agg(F.min("page_id").alias("n"))
+        return hosts.select("site", F.concat(F.lit("http://"), "site", F.lit("/")).alias("url"), "n")
+
+    @cached_property
+    def robots(self) -> DataFrame:
+        """(host, prefix, allow) of the pages' hosts."""
+        rules = F.array_compact(F.array(*[
+            F.when(F.expr(when), F.struct(F.lit(prefix).alias("prefix"), F.lit(allow).alias("allow"))) for when, prefix, allow in ROBOTS
+        ]))
+        return self.sites.select(F.col("site").alias("host")).select("host", F.explode(rules).alias("r")).select("host", "r.*")
+
     @cached_property
     def status(self) -> DataFrame:
         return provider_status(self.signals, self.as_of)
