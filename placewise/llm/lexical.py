@@ -39,6 +39,7 @@ GROUP_POSTINGS, GROUP_DOCS = 1 << 18, 8192
 DEPTH = 32  # terms of a path that make branches
 LEAF = 8
 AT_ONCE = 256
+TEXT_BYTES = 4 << 20  # bytes of text turned into terms at once
 
 # ASCII signs that are neither letters nor digits end a term.
 GAPS = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
@@ -48,7 +49,7 @@ def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, terms, counts): the distinct term hashes of each item."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXT_BYTES):
             hashes, owner = word_hashes(*text_buffers(batch.column("text")), separator=GAPS)
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -80,7 +81,7 @@ def restricted(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
     def run(batches):
         known = sent()
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXT_BYTES):
             hashes, owner = word_hashes(*text_buffers(batch.column("text")), separator=GAPS)
             n = np.bincount(owner, minlength=batch.num_rows)
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
