@@ -164,8 +164,10 @@ def without_dots(url: Column) -> Column:
     return F.when(url.rlike(r"^[^:/?]+://[^/?]*/(?:[^?]*/)?\.\.?(?:[/?]|$)"), joined).otherwise(url)
 
 
-def _same_site(links: DataFrame) -> DataFrame:
-    """Links that lead to another page of the same host."""
+def same_site(links: DataFrame) -> DataFrame:
+    """Links that lead to another page of the same host, with that page's address ``to``; done once where it is there already."""
+    if "to" in links.columns:
+        return links
     skip = F.col("href").rlike("^(?:#|mailto:|tel:|javascript:)")
     bare = lambda c: F.rtrim(c, F.lit("/"))
     return (
@@ -182,7 +184,7 @@ def rank_links(links: DataFrame, k: int = 2) -> DataFrame:
     last = F.regexp_extract(path, "([^/]*)$", 1)
     scope = F.when(path.endswith("/"), path).when(last.contains("."), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.concat(path, F.lit("/")))
     to_path = url_path(F.col("to"))
-    inside = _same_site(links).filter(((scope == "/") | to_path.startswith(scope)) & ~to_path.rlike(V.FILE_LINK))
+    inside = same_site(links).filter(((scope == "/") | to_path.startswith(scope)) & ~to_path.rlike(V.FILE_LINK))
     hay = T.normalize_text(F.concat_ws(" ", to_path, "label"))
     score = F.lit(0)
     for i, hint in reversed(list(enumerate(V.LINK_HINTS))):
@@ -202,7 +204,7 @@ def english_link(links: DataFrame) -> DataFrame:
     declared = label.startswith("hreflang:")
     guess = label.rlike(V.EN_LABEL) | url_path(F.col("to")).rlike(V.EN_PATH) | url_query(F.col("to")).rlike(V.EN_QUERY)
     rank = F.when(declared, F.when(label.startswith("hreflang:en"), 0)).when(guess, 1)
-    rows = _same_site(links.filter(rooted)).withColumn("rank", rank).filter(F.col("rank").isNotNull())
+    rows = same_site(links.filter(rooted)).withColumn("rank", rank).filter(F.col("rank").isNotNull())
     return rows.groupBy("page_id").agg(F.min(F.struct("rank", "to")).alias("best")).select("page_id", "best.to", "best.rank")
 
 

@@ -13,7 +13,7 @@ from .. import values as V
 from ..functions.contact import host_of, url_path, url_query
 from ..functions.text import let
 from ..session import cut_lineage
-from .evidence import english_link, page_links, rank_links
+from .evidence import english_link, page_links, rank_links, same_site
 
 BLOCKED, UNREAD = "blocked by robots.txt", "not fetched"
 
@@ -66,14 +66,16 @@ def reading_order(sites: DataFrame, pages: DataFrame, robots: DataFrame, k: int
     robots close, or whose page was not fetched, are passed over; pages that no link leads to are not read.
     """
     known = cut_lineage(fetched(pages))
-    homes = allowed(sites.select("site", "url", address(F.col("url")).alias("address")), robots).join(known, "address")
-    home_pages = pages.join(homes.select("site", "page_id"), "page_id").select("page_id", "site", "url", "html")
-    of_page = home_pages.select("page_id", "site")
-    links = cut_lineage(page_links(home_pages.drop("site")))
+    rules = cut_lineage(robots)
+    homes = cut_lineage(
+        allowed(sites.select("site", "url", address(F.col("url")).alias("address")), rules).join(known, "address").select("site", "page_id")
+    )
+    home_pages = pages.join(homes.select("page_id"), "page_id", "left_semi").select("page_id", "url", "html")
+    links = cut_lineage(same_site(page_links(home_pages)))  # addresses are worked out once
     best = rank_links(links, k).select("page_id", "to", F.col("rn").alias("page_rank"), F.lit("link").alias("role"))
     english = english_link(links).select("page_id", "to", F.lit(k + 1).alias("page_rank"), F.lit("english").alias("role"))
-    asked = best.unionByName(english).join(of_page, "page_id").select("site", F.col("to").alias("url"), "page_rank", "role")
-    followed = allowed(asked, robots).withColumn("address", address(F.col("url"))).join(known, "address")
+    asked = cut_lineage(best.unionByName(english).join(homes, "page_id").select("site", F.col("to").alias("url"), "page_rank", "role"))
+    followed = allowed(asked, rules).withColumn("address", address(F.col("url"))).join(known, "address")
     start = homes.select("site", "page_id", F.lit(0).alias("page_rank"), F.lit("home").alias("role"))
     return cut_lineage(start.unionByName(followed.select("site", "page_id", "page_rank", "role")))
 
