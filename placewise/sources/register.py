@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import csv
 import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import values as V
 from ..functions.text import norm_header
 from ..operators.register import places_from_rows
 from ..session import configure
 
-def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str, str]]:
-    """(file, encoding, separator) of every file: UTF-8 if all its lines are, else windows-1250; separator by its first line.
+
+def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str, str, str]]:
+    """(file, encoding, separator, header line) of every file: UTF-8 if all its lines are, else windows-1250; separator by its first line.
 
     Two narrow passes over the lines; one row per file comes back.
     """
@@ -23,15 +26,28 @@ def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, st
     )
     heads = lines.filter("block = 0")
     first = heads.groupBy("file").agg(F.min("line").alias("line"))
-    header = heads.join(first, ["file", "line"]).select("file", "value")
+    header = heads.join(first, ["file", "line"]).select("file", F.col("value").cast("binary").alias("header"))
     found = lines.groupBy("file").agg(F.bool_and("ok").alias("utf8")).join(header, "file").collect()
     if not found:
         raise ValueError(f"{path} is empty")
     out = []
     for r in sorted(found, key=lambda r: r["file"]):
-        counts = {sep: r["value"].count(sep) for sep in ",;\t|"}
+        encoding = "UTF-8" if r["utf8"] else "windows-1250"
+        head = bytes(r["header"]).decode(encoding, "replace").lstrip("\ufeff")
+        counts = {sep: head.count(sep) for sep in ",;\t|"}
         sep = max(counts, key=counts.get) if any(counts.values()) else ","
-        out.append((r["file"], "UTF-8" if r["utf8"] else "windows-1250", sep))
+        out.append((r["file"], encoding, sep, head))
+    return out
+
+
+def header_names(head: str, sep: str) -> list[str]:
+    """The names in a header line; a name that comes again gets its place added, so that every column has one of its own."""
+    names = next(csv.reader([head.rstrip("\r\n")], delimiter=sep))
+    seen: set[str] = set()
+    out = []
+    for k, name in enumerate(names):
+        out.append(name if name.strip() and name.lower() not in seen else f"{name}_{k}")
+        seen.add(out[-1].lower())
     return out
 
 
@@ -69,16 +85,16 @@ def read_rows(spark: SparkSession, path: str | list[str], overrides: dict[str, s
     """
     configure(spark)
     kinds: dict[tuple, list[str]] = {}
-    for file, encoding, sep in file_kinds(spark, path):
-        kinds.setdefault((encoding, sep), []).append(file)
+    for file, encoding, sep, head in file_kinds(spark, path):
+        kinds.setdefault((encoding, sep, head), []).append(file)
     parts = []
-    for (encoding, sep), files in kinds.items():
-        reader = spark.read.options(header=True, escape='"', multiLine=multi_line, sep=sep, encoding=encoding)
-        raw = reader.csv(files)
-        names = {c: c.lstrip("\ufeff") for c in raw.columns}
-        bound = resolve_columns(list(names.values()), overrides)
-        back = {clean: given for given, clean in names.items()}
-        parts.append(raw.select(file_order().alias("ord"), *[F.col(f"`{back[h]}`").alias(f) for f, h in bound.items()]))
+    for (encoding, sep, head), files in kinds.items():
+        names = header_names(head, sep)
+        bound = resolve_columns(names, overrides)
+        schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+        # columns by place: the names are this group's own, so nothing has to be inferred or compared
+        reader = spark.read.schema(schema).options(header=True, enforceSchema=True, escape='"', multiLine=multi_line, sep=sep, encoding=encoding)
+        parts.append(reader.csv(files).select(file_order().alias("ord"), *[F.col(f"c{names.index(h)}").alias(f) for f, h in bound.items()]))
     return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 

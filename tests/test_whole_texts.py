@@ -60,3 +60,21 @@ def test_register_folder_of_two_kinds(spark, tmp_path):
     (tmp_path / "b.csv").write_text("MistoPoskytovaniId,NazevCely,Obec,OborPece\n1,Čilá,Kadaň,zubní lékařství\n", encoding="utf-8")
     got = {r.name: r.city for r in read_register(spark, str(tmp_path)).collect()}
     assert got == {"Šťastná": "Žďár", "Čilá": "Kadaň"}
+
+
+def test_register_files_of_other_headers(spark, tmp_path):
+    """Files of one encoding and separator are bound by their own headers: swapped, old and new names, one quoted, one with a name twice."""
+    from placewise.sources.register import read_register
+
+    texts = [
+        "NazevCely,Obec,OborPece\nPrvní,Kadaň,zubní lékařství\n", "OborPece,NazevCely,Obec\nneurologie,Druhá,Louny\n",
+        'ZZ_nazev,"ZZ_obec",ZZ_obor_pece,X\n"Třetí, s čárkou",Most,urologie,1\n', "\ufeffObec,Obec,NazevCely,OborPece\nTábor,Písek,Čtvrtá,psychiatrie\n",
+        "OborPece,NazevCely,Obec\nchirurgie,Pátá,Zlín\n",
+    ]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.csv").write_text(text, encoding="utf-8")
+    got = {r.name: (r.city, r.specialties) for r in read_register(spark, str(tmp_path)).collect()}
+    assert got == {
+        "První": ("Kadaň", ["zubar"]), "Druhá": ("Louny", ["neurolog"]), "Třetí, s čárkou": ("Most", ["urolog"]), "Čtvrtá": ("Tábor", ["psychiatr"]),
+        "Pátá": ("Zlín", ["chirurg"]),
+    }
