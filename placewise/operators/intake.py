@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
 from ..functions.contact import site_address
 from ..functions.geo import in_box
-from .limits import DAY_US, report_step, requester_step, signup_step
+from .limits import DAY_US, report_start, report_step
+from .serial import decided_in_slices
 from .status import at
 
 
@@ -77,89 +74,24 @@ def check_signups(forms: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- rate limits
-def in_order(df: DataFrame, key: list[str], order: list[str], step: Callable, start: Callable, schema: str) -> DataFrame:
-    """Run ``step(state, row)`` over the rows of every key in order, one result per row.
-
-    Rows stream through each task sorted by key and time and only the current key's small state is
-    kept, so a key of any size needs no more memory than a small one. For decisions that depend on
-    earlier decisions, which no window function can express.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                k = tuple(getattr(row, c) for c in key)
-                if k != current:
-                    current, state = k, start()
-                out.append(step(state, row))
-            yield batch.assign(result=pd.Series(out, index=batch.index, dtype="object"))
-
-    rows = df.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, *order)
-    return rows.mapInPandas(run, schema)
-
-
-def limit_reports(reports: DataFrame, providers: DataFrame) -> DataFrame:
+def limit_reports(reports: DataFrame, providers: DataFrame, slices: int | None = None) -> DataFrame:
     """(report_id, result): ok, duplicate, too_many or no_provider.
 
-    Only accepted reports count against the limits, so each decision needs the ones before it. A
-    day without any report clears a reporter's slate; such gaps split a busy reporter's stream
-    into chains that are decided in parallel.
+    Only accepted reports count against the limits, so each decision needs the ones before it. A reporter's stream is cut
+    into slices that are decided in parallel; at most ten accepted reports go from a slice to the next.
     """
     open_ = providers.filter("active").select("provider_id", F.lit(True).alias("open"))
     known = reports.select("report_id", "reporter", "provider_id", F.unix_micros("created_at").alias("ts_us")).join(
         open_, "provider_id", "left"
     )
     nobody = known.filter(F.col("open").isNull()).select("report_id", F.lit("no_provider").alias("result"))
-    stream = W.partitionBy("reporter").orderBy("ts_us", "report_id")
-    gap = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(stream) >= DAY_US, F.lit(True))
-    chains = known.filter("open").withColumn("chain", F.sum(gap.cast("int")).over(stream)).select(
-        "report_id", "reporter", "chain", "provider_id", "ts_us"
-    )
-    decided = in_order(
-        chains, ["reporter", "chain"], ["ts_us", "report_id"], report_step, list,
-        "report_id long, reporter string, chain long, provider_id long, ts_us long, result string",
+    decided = decided_in_slices(
+        known.filter("open").select("report_id", F.coalesce("reporter", F.lit("")).alias("reporter"), "provider_id", "ts_us"),
+        "reporter", "ts_us", ["report_id"], report_step, report_start, ["provider_id"], F.col("result") == "ok", DAY_US, slices,
     )
     return decided.select("report_id", "result").unionByName(nobody)
 
 
-def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, as_of) -> DataFrame:
-    """(request_id, result): send, already or too_many.
-
-    Two passes: the limits of an address, then the limit of a visitor. A visitor's rejected request
-    still counted in the first pass, which makes the result approximate where one address is used
-    by several visitors on the same day.
-    """
-    used = mail_log.filter(F.col("sent_at") > at(as_of) - F.make_dt_interval(F.lit(1))).agg(F.count("*")).scalar()
-    r3 = lambda c: F.round(c, 3).alias(c + "3")
-    none = F.lit(None)
-    old = subs.filter(F.col("unsubscribed_at").isNull()).select(
-        F.lower("email").alias("email"), none.cast("long").alias("request_id"), none.cast("string").alias("requester"),
-        F.col("specialty_slug").alias("specialty"), F.col("radius_km").cast("long").alias("radius_km"), r3("lat"), r3("lng"),
-        F.unix_micros("created_at").alias("ts_us"), F.lit(True).alias("existing"),
-        F.col("confirm_sends").cast("long").alias("sends"), F.col("verified_at").isNotNull().alias("verified"),
-        F.lit(True).alias("mail_left"),
-    )
-    new = requests.select(
-        F.lower("email").alias("email"), "request_id", "requester", "specialty", F.col("radius_km").cast("long").alias("radius_km"),
-        r3("lat"), r3("lng"), F.unix_micros("created_at").alias("ts_us"), F.lit(False).alias("existing"),
-        F.lit(0).cast("long").alias("sends"), F.lit(False).alias("verified"), (used < V.DAILY_MAILS).alias("mail_left"),
-    )
-    cols = (
-        "email string, request_id long, requester string, specialty string, radius_km long, lat3 double, lng3 double, "
-        "ts_us long, existing boolean, sends long, verified boolean, mail_left boolean, result string"
-    )
-    both = old.unionByName(new).withColumn("existing", F.col("existing"))
-    first = in_order(both, ["email"], ["ts_us", "request_id"], signup_step, dict, cols)
-    asked = first.filter(~F.col("existing")).select("request_id", "requester", "ts_us", F.col("result").alias("verdict"))
-    second = in_order(
-        asked, ["requester"], ["ts_us", "request_id"], requester_step, list,
-        "request_id long, requester string, ts_us long, verdict string, result string",
-    )
-    return second.select("request_id", "result")
-
-
 # ------------------------------------------------------------------------------- sponsors
 def add_listings(listings: DataFrame, orders: DataFrame, providers: DataFrame, as_of) -> DataFrame:
     """New listings: town from the practice and start today unless given; unknown practices are left out."""

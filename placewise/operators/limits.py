@@ -24,6 +24,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DAY_US = 86_400_000_000
 
 
+def report_start(entries) -> list:
+    """The reports accepted before, from (time, provider)."""
+    return [(provider, ts) for ts, provider in entries]
+
+
 def report_step(accepted: list, row) -> str:
     """Decide one report against the reports accepted in the last 24 hours."""
     accepted[:] = [a for a in accepted if a[1] > row.ts_us - DAY_US]

@@ -108,10 +108,6 @@ def report_limit(d):
     return intake.limit_reports(d.reports, d.providers)
 
 
-@query("J2_signup_limit")
-def signup_limit(d):
-    return intake.limit_signups(d.signup_requests, d.subscriptions, d.mail_log, d.as_of)
-
 
 # ------------------------------------------------------------------------------- keyed updates
 @query("L11_flag_upsert_user", """

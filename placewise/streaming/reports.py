@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -17,49 +20,66 @@ from ..operators.status import at, hours, provider_status
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the limiter below runs in Python workers
 
-DECISION = "report_id long, reporter string, provider_id long, ts_us long, result string"
+class ReportLimiter(StatefulProcessor):
+    """Per reporter: the reports accepted in the last 24 hours, at most ten of them, and the newest time decided.
 
+    There is no watermark, because Spark drops rows behind it without a result; so a reporter's few numbers stay.
+    """
 
-class ReportLimiter(StatefulProcessor):
-    """Per reporter: the reports accepted in the last 24 hours, at most ten of them."""
+    def __init__(self, late_us: int, chunk: int = 10_000):
+        self.late_us, self.chunk = late_us, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.accepted = handle.getListState("accepted", "provider_id long, ts_us long")
+        self.newest = handle.getValueState("newest", "ts_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [(int(r[0]), int(r[1])) for r in self.accepted.get()] if self.accepted.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "report_id"])
-        batch["result"] = [report_step(kept, row) for row in batch.itertuples(index=False)]
+        newest = int(self.newest.get()[0]) if self.newest.exists() else None
+        # three numbers a row are held for the rows of one reporter in one micro-batch, to take them in order of time
+        columns = ("report_id", "provider_id", "ts_us")
+        held = [[batch[c].to_numpy("int64") for c in columns] for batch in rows]
+        ids, providers, times = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.lexsort((ids, times))
+        limit = None if newest is None else newest - self.late_us  # set before the micro-batch, not by it
+        for at_ in range(0, len(order), self.chunk):
+            some = order[at_ : at_ + self.chunk]
+            out = []
+            for i in some:
+                row = Report(int(providers[i]), int(times[i]))
+                out.append("late" if limit is not None and row.ts_us < limit else report_step(kept, row))
+            yield pd.DataFrame({"report_id": ids[some], "result": out})
         self.accepted.clear()
         if kept:
             self.accepted.put(kept)
-            # state of a reporter who stays away is dropped a day after the last accepted report
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(t for _, t in kept) // 1000 + DAY_US // 1000)
-        yield batch[["report_id", "reporter", "provider_id", "ts_us", "result"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.accepted.clear()
-        return iter([])
+        self.newest.update((max(newest or 0, int(times[order[-1]])),))
 
     def close(self) -> None:
         pass
 
 
-def limit_reports_stream(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Decide a stream of (report_id, reporter, provider_id, created_at) as it arrives.
+class Report(NamedTuple):
+    provider_id: int
+    ts_us: int
+
 
-    The same decisions as the batch form for reports that arrive in order; needs the RocksDB state
-    store provider. Reports on unknown practices are filtered out before by a join with the snapshot.
+def limit_reports_stream(reports: DataFrame, providers: DataFrame, late: dt.timedelta = dt.timedelta(minutes=10)) -> DataFrame:
+    """(report_id, result) for every row of a stream of (report_id, reporter, provider_id, created_at).
+
+    Decided as in the batch form where a reporter's reports arrive in order of micro-batches; ``late`` are those older, by
+    more than ``late``, than the newest one decided in an earlier micro-batch, ``no_provider`` those on practices that
+    ``providers`` does not hold or holds as closed. Needs the RocksDB state store provider.
     """
-    rows = reports.withWatermark("created_at", late).select(
-        "report_id", "reporter", "provider_id", F.unix_micros("created_at").alias("ts_us"), "created_at"
-    )
-    return rows.groupBy("reporter").transformWithStateInPandas(
-        ReportLimiter(), outputStructType=DECISION, outputMode="Append", timeMode="EventTime"
+    open_ = providers.filter("active").select("provider_id", F.lit(True).alias("open"))
+    known = reports.select(
+        "report_id", F.coalesce("reporter", F.lit("")).alias("reporter"), "provider_id", F.unix_micros("created_at").alias("ts_us")
+    ).join(open_, "provider_id", "left")
+    nobody = known.filter("open is null").select("report_id", F.lit("no_provider").alias("result"))
+    decided = known.filter("open").select("report_id", "reporter", "provider_id", "ts_us").groupBy("reporter").transformWithStateInPandas(
+        ReportLimiter(int(late.total_seconds() * 1_000_000)), outputStructType="report_id long, result string", outputMode="Append", timeMode="None"
     )
+    return decided.unionByName(nobody)
 
 
 def incoming_signals(signals: DataFrame, as_of=None) -> DataFrame:
@@ -70,13 +90,6 @@ def incoming_signals(signals: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-def distinct_crawl_signals(signals: DataFrame) -> DataFrame:
-    """Drop repeats of a crawl verdict within the recheck time, as far as a watermark can tell."""
-    return signals.withWatermark("observed_at", f"{V.RECHECK_DAYS} days").dropDuplicatesWithinWatermark(
-        ["provider_id", "source", "status"]
-    )
-
-
 def status_stream(signals: DataFrame, log_path: str, status_path: str, checkpoint: str, as_of=None, **trigger) -> StreamingQuery:
     """Keep the status of touched providers up to date.
 
