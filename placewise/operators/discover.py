@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions import text as T
-from ..functions.contact import host_of, normalize_site, own_domain, url_path
+from ..functions.contact import host_of, normalize_site, own_domain
+from ..session import cut_lineage
+from .evidence import join_url, page_links, page_text
+from .reading import address, allowed, fetched
 from .status import at, days
 
+STEM_KEY = 4  # no name stem is shorter
+
 
 def eligible(providers: DataFrame, as_of) -> DataFrame:
     """Practices without a known site: a visitor suggested one, or the mailbox may tell."""
@@ -64,13 +69,65 @@ def name_tokens(name: Column, city: Column) -> Column:
     return T.let(T.let(start, parts), chosen)
 
 
-def names_it(text: Column, tokens: Column, ico: Column) -> Column:
-    """Does folded text carry the company number or one of the words, endings aside?"""
-    number = F.ltrim(F.regexp_replace(F.coalesce(ico, F.lit("")), "[^0-9]", ""), F.lit("0"))  # nothing a pattern could trip over
-    by_number = (F.length(number) >= 6) & F.regexp(text, F.concat(F.lit(r"\b0*"), number, F.lit(r"\b")))
-    stem = lambda t: F.when(F.length(t) >= 6, F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t)
-    by_word = F.exists(tokens, lambda t: F.regexp(text, F.concat(F.lit(r"\b"), stem(t), F.lit(r"[a-z]{0,3}\b"))))
-    return by_number | by_word
+def stems(tokens: Column) -> Column:
+    """Name words as texts may carry them: the ending of longer ones may change."""
+    return F.transform(tokens, lambda t: F.when(F.length(t) >= 6, F.substring(t, F.lit(1), F.length(t) - 2)).otherwise(t))
+
+
+def company_number(ico: Column) -> Column:
+    """Digits of a company number without leading zeros, NULL when too short to tell practices apart."""
+    number = F.ltrim(F.regexp_replace(F.coalesce(ico, F.lit("")), "[^0-9]", ""), F.lit("0"))
+    return F.when(F.length(number) >= 6, number)
+
+
+def index_key(word: Column) -> Column:
+    """Where a word stands in the index: numbers without leading zeros, other words by their first four signs."""
+    return F.when(word.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.ltrim(word, F.lit("0")))).otherwise(F.substring(word, 1, STEM_KEY))
+
+
+def word_index(texts: DataFrame) -> DataFrame:
+    """(page_id, key, word): every distinct word of each text once, and a row with a null word where the text speaks of care."""
+    folded = texts.select("page_id", T.normalize_text(F.col("text")).alias("folded"))
+    care = F.when(F.col("folded").rlike(V.CARE_WORDS), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    words = F.array_distinct(F.regexp_extract_all("folded", F.lit(r"\w+"), 0))
+    rows = folded.select("page_id", F.explode(F.concat(words, care)).alias("word"))
+    return cut_lineage(rows.select("page_id", index_key(F.col("word")).alias("key"), "word"))
+
+
+def pages_to_read(candidates: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFrame:
+    """(url, page_id, home_url) of candidate addresses: the page there, and the contact page that its first such link leads to."""
+    rules, known = cut_lineage(robots), cut_lineage(fetched(pages))
+    asked = candidates.select("url").distinct()
+    homes = cut_lineage(allowed(asked, rules).withColumn("address", address(F.col("url"))).join(known, "address").select("url", "page_id"))
+    home_pages = pages.join(homes.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "url", "html")
+    home_urls = home_pages.select("page_id", F.col("url").alias("home_url"))
+    links = page_links(home_pages)
+    contact = links.filter(T.normalize_text(F.concat_ws(" ", "href", "label")).rlike(V.CONTACT_PAGE))
+    first = contact.groupBy("page_id").agg(F.min_by(F.struct("url", "href"), "pos").alias("l"))
+    led = cut_lineage(first.select("page_id", host_of(F.col("l.url")).alias("host"), join_url(F.col("l.url"), F.col("l.href")).alias("to")))
+    same_host = led.filter(host_of(F.col("to")) == F.col("host")).select("page_id", F.col("to").alias("url"))
+    follow = allowed(same_host, rules).withColumn("address", address(F.col("url"))).join(known.withColumnRenamed("page_id", "contact_id"), "address")
+    at_home = homes.join(home_urls, "page_id")
+    at_contact = at_home.join(follow.select("page_id", "contact_id"), "page_id").select("url", F.col("contact_id").alias("page_id"), "home_url")
+    return cut_lineage(at_home.select("url", "page_id", "home_url").unionByName(at_contact).distinct())
+
+
+def named_on(candidates: DataFrame, reading: DataFrame, index: DataFrame) -> DataFrame:
+    """(provider_id, source) of candidates whose company number or name stands on a page of theirs.
+
+    Words meet by equality on (page, key) and the ending is looked at afterwards, so a portal's page spreads over as many
+    keys as its practices' names have, and no text is moved.
+    """
+    number = company_number(F.col("ico"))
+    of_name = F.transform(stems(name_tokens(F.col("name"), F.col("city"))), lambda t: F.struct(index_key(t).alias("key"), t.alias("stem")))
+    of_number = F.when(number.isNotNull(), F.array(F.struct(F.concat(F.lit("#"), number).alias("key"), F.lit(None).cast("string").alias("stem"))))
+    empty = F.array().cast("array<struct<key:string,stem:string>>")
+    asked = candidates.select("provider_id", "source", "url", F.explode(F.concat(of_name, F.coalesce(of_number, empty))).alias("n")).select(
+        "provider_id", "source", "url", "n.key", "n.stem")
+    met = asked.join(reading.select("url", "page_id"), "url").join(index.filter("word is not null"), ["page_id", "key"])
+    ending = F.substring("word", F.length("stem") + 1, F.length("word"))
+    fits = F.col("stem").isNull() | (F.col("word").startswith(F.col("stem")) & ending.rlike("^[a-z]{0,3}$"))
+    return met.filter(fits).select("provider_id", "source").distinct()
 
 
 def in_domain(host: Column, name: Column) -> Column:
@@ -82,32 +139,23 @@ def in_domain(host: Column, name: Column) -> Column:
     return T.let(label, lambda x: F.exists(words, lambda w: x.contains(w)))
 
 
-def match_sites(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Which candidate sites are really the practice's own.
+def match_sites(candidates: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFrame:
+    """(candidate_url, source, provider_id, matched, found_url): which candidate sites are really the practice's own.
 
-    ``pages``: (page_id, url, text) with the homepage as the smallest page id of a host; contact
-    pages count too. Candidates meet pages by host; what each page proves is combined per
-    candidate, so no texts are glued together and no group is collected.
+    ``pages``: (page_id, url, html); ``robots``: (host, prefix, allow). Candidates whose page was not fetched or is closed are
+    left out. A site is a practice's own when its page or its contact page speaks of care and one of them, or the domain, names it.
     """
-    host = host_of(F.col("url"))
-    firsts = pages.groupBy(host.alias("host")).agg(F.min_by("url", "page_id").alias("home_url"), F.min("page_id").alias("home_id"))
-    contact = T.normalize_text(url_path(F.col("url"))).rlike(V.CONTACT_PAGE)
-    folded = (
-        pages.select("page_id", "url", host.alias("host"), contact.alias("contact"), T.normalize_text(F.col("text")).alias("folded"))
-        .withColumn("care", F.col("folded").rlike(V.CARE_WORDS))
-    )
-    read = folded.join(firsts, "host").filter((F.col("page_id") == F.col("home_id")) | F.col("contact"))
-    asked = candidates.withColumns(
-        {"host": host_of(F.col("url")), "tokens": name_tokens(F.col("name"), F.col("city"))}
-    ).withColumnRenamed("url", "candidate_url")
-    proof = asked.join(read.select("host", "home_url", "care", "folded"), "host").withColumn(
-        "named", names_it(F.col("folded"), F.col("tokens"), F.col("ico")) | in_domain(F.col("host"), F.col("name"))
-    )
-    found = proof.groupBy("candidate_url", "source", "provider_id").agg(
-        (F.bool_or("care") & F.bool_or("named")).alias("matched"), F.min("home_url").alias("home_url")
-    )
+    reading = pages_to_read(candidates, pages, robots)
+    opened = pages.join(reading.select("page_id").distinct(), "page_id", "left_semi")
+    index = word_index(opened.select("page_id", page_text(F.col("html")).alias("text")))
+    named = named_on(candidates, reading, index).withColumn("named", F.lit(True))
+    care = reading.join(index.filter("word is null").select("page_id", F.lit(True).alias("care")), "page_id", "left")
+    sites = care.groupBy("url").agg(F.coalesce(F.bool_or("care"), F.lit(False)).alias("care"), F.min("home_url").alias("home_url"))
+    host = host_of(F.col("home_url"))
+    both = candidates.join(sites, "url").join(named, ["provider_id", "source"], "left").withColumn(
+        "matched", F.col("care") & (F.coalesce("named", F.lit(False)) | in_domain(host, F.col("name"))))
     root = F.concat(F.regexp_extract("home_url", "^([^:]+://[^/?#]*)", 1), F.lit("/"))
-    return found.select("candidate_url", "source", "provider_id", "matched", F.when(F.col("matched"), root).alias("found_url"))
+    return both.select(F.col("url").alias("candidate_url"), "source", "provider_id", "matched", F.when(F.col("matched"), root).alias("found_url"))
 
 
 def record_sites(providers: DataFrame, candidates: DataFrame, matches: DataFrame, as_of) -> DataFrame:

@@ -9,7 +9,8 @@ from .. import values as V
 from ..functions import text as T
 from ..functions.contact import site_address
 from ..functions.geo import in_box
-from .limits import DAY_US, report_start, report_step
+from ..session import cut_lineage
+from .limits import DAY_US, address_start, address_step, mail_start, mail_step, report_start, report_step, visitor_start, visitor_step
 from .serial import decided_in_slices
 from .status import at
 
@@ -92,6 +93,63 @@ def limit_reports(reports: DataFrame, providers: DataFrame, slices: int | None =
     return decided.select("report_id", "result").unionByName(nobody)
 
 
+def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, slices: int | None = None) -> DataFrame:
+    """(request_id, result): send, already or too_many, as if all requests were decided one after the other.
+
+    Three limits depend on each other's decisions: three confirmations a day and ten subscriptions for an address, five
+    subscriptions a day for a visitor, and the mails of a day for everyone. Each is decided in order over its own key, given
+    the refusals of the other two from the round before, until no refusal changes. The first request in time is
+    right in the first round and every next one a round after those before it, so what does not change is the serial result.
+    """
+    us = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1))
+    place = F.concat_ws("/", "specialty", F.col("radius_km").cast("long").cast("string"), *[F.format_string("%.3f", F.round(c, 3)) for c in ("lat", "lng")])
+    none = F.lit(-1).cast("long")
+    fields = lambda sends, verified, ended: F.to_json(F.struct(
+        F.coalesce("requester", F.lit("")).alias("requester"), place.alias("where"), sends.alias("sends"), verified.alias("verified"), ended.alias("ended")))
+    own = lambda df, kind, number, *state: df.select(
+        F.lower("email").alias("email"), us("created_at").alias("ts_us"), F.lit(kind).alias("kind"), F.col(number).alias("id"),
+        F.coalesce("requester", F.lit("")).alias("requester"), fields(*state).alias("fields"))
+    old = own(
+        subs.withColumnsRenamed({"specialty_slug": "specialty", "requester_hash": "requester"}), 0, "subscription_id",
+        F.col("confirm_sends").cast("long"), us("verified_at"), us("unsubscribed_at"))
+    rows = cut_lineage(old.unionByName(own(requests, 1, "request_id", none, none, none)))
+    signed = rows.filter("kind = 0").select("requester", "ts_us", F.lit(0).alias("kind"), "id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("sub"))
+    logged = mail_log.select(us("sent_at").alias("ts_us"), F.lit(0).alias("kind"), F.col("mail_id").alias("id"), F.lit(False).alias("due"))
+    empty = rows.filter("false").select("id", F.lit(True).alias("refused"), F.lit(True).alias("no_mail"))
+    refusals = empty
+    while True:
+        asked = rows.join(refusals.withColumn("kind", F.lit(1)), ["kind", "id"], "left").withColumns(
+            {"blocked": F.coalesce("refused", F.lit(False)), "no_mail": F.coalesce("no_mail", F.lit(False))}).drop("refused")
+        counts = F.col("result").startswith("send") | (F.col("kind") == 0)
+        # an address has ten subscriptions at most, so all its accepted requests go along
+        at_address = cut_lineage(decided_in_slices(
+            asked, "email", "ts_us", ["kind", "id"], address_step, address_start, ["kind", "id", "fields"], counts, 1 << 62, slices).filter("kind = 1"))
+        parts = F.split("result", r"\|")
+        open_ = at_address.filter(~F.col("result").isin("verified", "full")).select(
+            "requester", "ts_us", "id", "no_mail", "blocked", F.get(parts, F.lit(0)).alias("said"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("sub"),
+            F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("owner")).withColumn("due", F.col("said") != "ask")
+        renewed = open_.filter("said = 'send' and owner <> requester").select(F.col("owner").alias("requester"), "ts_us", F.lit(1).alias("kind"), "id", "sub")
+        mine = open_.select("requester", "ts_us", F.lit(2).alias("kind"), "id", "sub", "owner", "due", "no_mail")
+        events = mine.unionByName(signed.unionByName(renewed), allowMissingColumns=True).fillna({"due": False, "no_mail": False, "owner": ""})
+        of_visitor = cut_lineage(decided_in_slices(
+            events, "requester", "ts_us", ["kind", "id"], visitor_step, visitor_start, ["sub"], F.col("result").isin("given", "kept"), DAY_US, slices
+        ).filter("kind = 2").select("id", "ts_us", "due", (F.col("result") == "full").alias("refused")))
+        mails = of_visitor.filter("not refused").select("ts_us", F.lit(1).alias("kind"), "id", "due").unionByName(logged)
+        of_mails = decided_in_slices(
+            mails.withColumn("all", F.lit("")), "all", "ts_us", ["kind", "id"], mail_step, mail_start, ["id"], F.col("result").isin("given", "kept"), DAY_US, slices
+        ).filter("kind = 1").select("id", (F.col("result") == "full").alias("no_mail"))
+        judged = of_visitor.join(of_mails, "id", "left").select("id", (F.col("refused") | F.coalesce("no_mail", F.lit(False))).alias("refused"), F.coalesce("no_mail", F.lit(False)).alias("no_mail"))
+        new = cut_lineage(judged.join(open_.select("id", "blocked", F.col("no_mail").alias("was")), "id"))
+        if new.filter("refused <> blocked or no_mail <> was").isEmpty():
+            break
+        refusals = new.select("id", "refused", "no_mail")
+    said, blocked = F.col("result"), F.col("blocked")
+    result = (
+        F.when(said == "verified", "already").when(said == "full", "too_many").when(blocked, "too_many").when(said == "ask", "already").otherwise("send")
+    )
+    return at_address.select(F.col("id").alias("request_id"), result.alias("result"))
+
+
 # ------------------------------------------------------------------------------- sponsors
 def add_listings(listings: DataFrame, orders: DataFrame, providers: DataFrame, as_of) -> DataFrame:
     """New listings: town from the practice and start today unless given; unknown practices are left out."""

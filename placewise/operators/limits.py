@@ -6,11 +6,15 @@ the workers need no copy of this package.
 
 from __future__ import annotations
 
+import json
 import sys
+from collections import deque
+from types import SimpleNamespace
 
 from pyspark import cloudpickle
 
 from ..values import (
+    DAILY_MAILS,
     MAX_ACTIVE_PER_EMAIL,
     MAX_RESENDS,
     REPORTS_PER_DAY,
@@ -40,34 +44,76 @@ def report_step(accepted: list, row) -> str:
     return "ok"
 
 
-def signup_step(state: dict, row) -> str:
-    """Decide one sign-up against the subscriptions of the same address."""
-    subs = state.setdefault("subs", {})
-    where = (row.specialty, row.radius_km, row.lat3, row.lng3)
-    if row.existing:
-        subs.setdefault(where, {"at": row.ts_us, "sends": row.sends, "verified": row.verified})
-        return "existing"
-    same = subs.get(where)
-    if same and same["verified"]:
-        return "already"
-    today = sum(s["at"] > row.ts_us - DAY_US for s in subs.values())
-    if today >= SIGNUPS_PER_EMAIL or len(subs) >= MAX_ACTIVE_PER_EMAIL or not row.mail_left:
-        return "too_many"
+# A sign-up request is decided by three limits, each over rows of another key: its address, its visitor, the mails of all.
+def address_start(entries) -> list:
+    """An address's subscriptions, from the rows and accepted requests before, as (time, kind, id, fields)."""
+    state: list = []
+    for ts, kind, number, fields in sorted(entries):
+        address_step(state, SimpleNamespace(ts_us=ts, kind=kind, id=number, fields=fields, blocked=False))
+    return state
+
+
+def address_step(subs: list, row) -> str:
+    """What the address's own rows say of a request; ``blocked`` are requests that the other limits refuse.
+
+    ``verified``: confirmed before. ``full``: too many for this address. ``ask``: a confirmation is on its way. ``send``
+    and ``held``: a confirmation is due, and sent unless the request is blocked; with the subscription and its visitor.
+    """
+    f = json.loads(row.fields)
+    if row.kind == 0:
+        subs.append({"where": f["where"], "at": row.ts_us, "sends": f["sends"], "verified": f["verified"], "ended": f["ended"], "sub": f"s{row.id}", "owner": f["requester"]})
+        return "given"
+    active = [s for s in subs if s["ended"] < 0 or s["ended"] > row.ts_us]
+    same = next((s for s in active if s["where"] == f["where"]), None)
+    if same and 0 <= same["verified"] <= row.ts_us:
+        return "verified"
+    if sum(s["at"] > row.ts_us - DAY_US for s in subs) >= SIGNUPS_PER_EMAIL or len(active) >= MAX_ACTIVE_PER_EMAIL:
+        return "full"
+    if same and (same["at"] > row.ts_us - SIGNUP_RECENT_MINUTES * 60_000_000 or same["sends"] >= MAX_RESENDS):
+        return "ask"
+    sub, owner = (same["sub"], same["owner"]) if same else (f"r{row.id}", f["requester"])
+    if row.blocked:
+        return f"held|{sub}|{owner}"
     if same:
-        if same["at"] > row.ts_us - SIGNUP_RECENT_MINUTES * 60_000_000 or same["sends"] >= MAX_RESENDS:
-            return "already"
         same.update(at=row.ts_us, sends=same["sends"] + 1)
-        return "send"
-    subs[where] = {"at": row.ts_us, "sends": 1, "verified": False}
-    return "send"
+    else:
+        subs.append({"where": f["where"], "at": row.ts_us, "sends": 1, "verified": -1, "ended": -1, "sub": sub, "owner": owner})
+    return f"send|{sub}|{owner}"
 
 
-def requester_step(sent: list, row) -> str:
-    """Keep an address's "send" only within the visitor's own daily limit."""
-    sent[:] = [t for t in sent if t > row.ts_us - DAY_US]
-    if row.verdict != "send":
-        return row.verdict
-    if len(sent) >= SIGNUPS_PER_REQUESTER:
-        return "too_many"
+def visitor_start(entries) -> dict:
+    return {sub: ts for ts, sub in sorted(entries)}
+
+
+def visitor_step(at: dict, row) -> str:
+    """``full`` when the visitor's subscriptions of the last 24 hours reach the limit, else ``free``, or ``kept`` if this request adds to them."""
+    if row.kind < 2:  # a subscription of the visitor, or one that somebody else renewed
+        at[row.sub] = row.ts_us
+        return "given"
+    for sub in [s for s, ts in at.items() if ts <= row.ts_us - DAY_US]:
+        del at[sub]
+    if len(at) >= SIGNUPS_PER_REQUESTER:
+        return "full"
+    if not row.due or row.no_mail or row.owner != row.requester:
+        return "free"
+    at[row.sub] = row.ts_us
+    return "kept"
+
+
+def mail_start(entries) -> deque:
+    return deque(ts for ts, _ in sorted(entries))
+
+
+def mail_step(sent: deque, row) -> str:
+    """``full`` when the mails of the last 24 hours reach the daily limit, else ``free``, or ``kept`` if this request sends one."""
+    while sent and sent[0] <= row.ts_us - DAY_US:
+        sent.popleft()
+    if row.kind == 0:
+        sent.append(row.ts_us)
+        return "given"
+    if len(sent) >= DAILY_MAILS:
+        return "full"
+    if not row.due:
+        return "free"
     sent.append(row.ts_us)
-    return "send"
+    return "kept"

@@ -603,59 +603,80 @@ def name_tokens(d):
     return d.providers.select("provider_id", F.array_join(F.array_sort(tokens), ",").alias("tokens"))
 
 
-def own_pages(d):
-    """Fetched pages as sites of candidates: every candidate host gets the pages of one given host."""
-    given = cut_lineage(P.readable_pages(d.pages).select("page_id", "url", "site", "text"))
-    cands = DI.site_candidates(d.providers, d.as_of)
-    pick = cands.select("provider_id", "name", "url").withColumn("host", C.host_of(F.col("url")))
-    one = pick.groupBy("host").agg(F.min_by("name", "provider_id").alias("label"), F.min("provider_id").alias("n"))
-    pages = given.join(one, given["page_id"] == one["n"])
-    named = F.when(F.col("n") % 2 == 0, F.concat(F.lit("\n"), F.col("label"), F.lit(" ordinace"))).otherwise(F.lit("\nordinace"))
-    return cands, pages.select("page_id", F.concat(F.lit("http://"), "host", F.lit("/")).alias("url"), F.concat("text", named).alias("text"))
+def seekers(d):
+    """Practices for which a visitor suggested the host of the page of their number; all else as in the domain."""
+    site = d.pages.select(F.col("page_id").alias("provider_id"), C.host_of(F.col("url")).alias("site"))
+    return d.providers.join(site, "provider_id", "left").withColumn("web_suggested", F.coalesce("site", "web_suggested")).drop("site")
 
 
-# Pages carry the words of their first practice's name when its number is even; a doctor's own
-# name is a number here, whose stem never stands alone.
-STEPS["matches"] = """
-    SELECT c.provider_id, c.source, c.url, h.n % 2 = 0 AND NOT starts_with(c.name, 'MUDr') AS matched
-      FROM candidates c JOIN (SELECT url, min(provider_id) AS n FROM candidates GROUP BY 1) h ON h.url = c.url JOIN pages p ON p.page_id = h.n"""
+def sought(d):
+    providers = seekers(d)
+    return providers, DI.site_candidates(providers, d.as_of)
 
 
-@query("I13_site_match", "SELECT provider_id, source, matched, CASE WHEN matched THEN url END AS found_url FROM matches")
+def stem_sql(t):
+    return f"CASE WHEN length({t}) >= 6 THEN left({t}, length({t}) - 2) ELSE {t} END"
+
+
+STEPS.update({
+    "seekers": f"SELECT p.* REPLACE (coalesce(s.site, p.web_suggested) AS web_suggested) FROM providers p LEFT JOIN (SELECT page_id, {HOST} AS site FROM crawl_pages) s ON s.page_id = p.provider_id",
+    "seeker_eligible": re.sub(r"\bproviders\b", "seekers", STEPS["eligible"]),
+    "seeker_rows": re.sub(r"\beligible\b", "seeker_eligible", STEPS["candidate_rows"]),
+    "seeker_candidates": STEPS["candidates"].replace("candidate_rows", "seeker_rows"),
+    "contact_links": f"""
+        SELECT site, page_id, arg_min(dest, pos) AS dest FROM home_links WHERE regexp_matches(lower(strip_accents(href)) || ' ' || label, {q(V.CONTACT_PAGE)}) GROUP BY 1, 2""",
+    "site_texts": f"""
+        SELECT h.site, n.norm FROM site_homes h JOIN page_norm n ON n.page_id = h.page_id
+        UNION ALL SELECT c.site, n.norm FROM contact_links c JOIN fetched f ON f.address = {address_sql('c.dest')} JOIN page_norm n ON n.page_id = f.page_id
+         WHERE {open_sql('c.dest', 'c.site')} AND split_part(split_part(c.dest, '/', 3), '?', 1) = c.site""",
+    "name_words": f"""
+        SELECT provider_id, CASE WHEN starts_with(n, 'mudr') THEN [w[len(w)]] ELSE list_distinct(w) END AS tokens, ltrim(ico, '0') AS number FROM (
+            SELECT provider_id, n, ico, list_filter(regexp_extract_all(n, '[a-z0-9]+'), lambda x: length(x) >= 5 AND NOT list_contains([{", ".join(map(q, dict.fromkeys(V.GENERIC_NAME_WORDS)))}], x)) AS w
+              FROM (SELECT provider_id, ico, lower(strip_accents(name)) AS n FROM providers))""",
+    "matches": f"""
+        SELECT c.provider_id, c.source, c.url, p.url AS home_url, bool_or(regexp_matches(t.norm, {q(V.CARE_WORDS)})) AND bool_or(named) AS matched, bool_or(named) AS named FROM (
+            SELECT c.provider_id, t.site, t.norm, regexp_matches(t.norm, '\\b0*' || w.number || '\\b') OR
+                   len(list_filter(w.tokens, lambda x: regexp_matches(t.norm, '\\b' || {stem_sql('x')} || '[a-z]{{0,3}}\\b'))) > 0 AS named
+              FROM seeker_candidates c JOIN site_texts t ON t.site = {HOST.replace('url', 'c.url')} JOIN name_words w ON w.provider_id = c.provider_id) t
+          JOIN seeker_candidates c ON c.provider_id = t.provider_id JOIN site_homes h ON h.site = t.site JOIN crawl_pages p ON p.page_id = h.page_id GROUP BY 1, 2, 3, 4""",
+})
+ROOT_SQL = "regexp_extract(home_url, '^([^:]+://[^/?#]*)', 1) || '/'"
+
+
+@query("I13_site_match", f"SELECT provider_id, source, matched, CASE WHEN matched THEN {ROOT_SQL} END AS found_url FROM matches")
 def site_match(d):
-    cands, pages = own_pages(d)
-    return DI.match_sites(cands, pages).select("provider_id", "source", "matched", "found_url")
+    return DI.match_sites(sought(d)[1], d.pages, d.robots).select("provider_id", "source", "matched", "found_url")
 
 
-@query("C18_name_in_text", "SELECT provider_id, split_part(url, '/', 3) AS host FROM matches WHERE matched")
+@query("C18_name_in_text", f"SELECT provider_id, {HOST} AS host FROM matches WHERE named")
 def name_in_text(d):
-    cands, pages = own_pages(d)
-    both = cands.withColumn("host", C.host_of(F.col("url"))).drop("url").join(
-        pages.select(C.host_of(F.col("url")).alias("host"), T.normalize_text(F.col("text")).alias("folded")), "host"
-    )
-    named = DI.names_it(F.col("folded"), DI.name_tokens(F.col("name"), F.col("city")), F.col("ico"))
-    return both.filter(named).select("provider_id", "host")
+    """Candidates whose name or number stands on the home or contact page of their host."""
+    _, cands = sought(d)
+    reading = DI.pages_to_read(cands, d.pages, d.robots)
+    opened = d.pages.join(reading.select("page_id").distinct(), "page_id", "left_semi")
+    index = DI.word_index(opened.select("page_id", E.page_text(F.col("html")).alias("text")))
+    named = DI.named_on(cands, reading, index)
+    return cands.join(named, ["provider_id", "source"], "left_semi").select("provider_id", C.host_of(F.col("url")).alias("host"))
 
 
 @query("L7_record_found", f"""
-    SELECT p.provider_id, CASE WHEN m.matched THEN m.url ELSE p.web_found END AS web_found, CASE WHEN m.matched THEN c.source END AS web_found_source,
+    SELECT p.provider_id, CASE WHEN m.matched THEN {ROOT_SQL} ELSE p.web_found END AS web_found, CASE WHEN m.matched THEN c.source END AS web_found_source,
            CASE WHEN c.source = 'user' THEN NULL ELSE p.web_suggested END AS web_suggested, CASE WHEN c.provider_id IS NOT NULL THEN {US} ELSE p.web_search_us END AS web_search_us
-      FROM providers p LEFT JOIN candidates c ON c.provider_id = p.provider_id LEFT JOIN matches m ON m.provider_id = p.provider_id""")
+      FROM seekers p LEFT JOIN seeker_candidates c ON c.provider_id = p.provider_id LEFT JOIN matches m ON m.provider_id = p.provider_id""")
 def record_found(d):
-    cands, pages = own_pages(d)
-    out = DI.record_sites(d.providers, cands, DI.match_sites(cands, pages), d.as_of)
+    providers, cands = sought(d)
+    out = DI.record_sites(providers, cands, DI.match_sites(cands, d.pages, d.robots), d.as_of)
     return out.select("provider_id", "web_found", "web_found_source", "web_suggested", us("web_search_at"))
 
 
-@query("M11_discover", "SELECT provider_id, source, url AS found_url FROM matches WHERE matched")
+@query("M11_discover", f"SELECT provider_id, source, {ROOT_SQL} AS found_url FROM matches WHERE matched")
 def discover(d):
-    cands, pages = own_pages(d)
-    return DI.match_sites(cands, pages).filter("matched").select("provider_id", "source", "found_url")
+    return DI.match_sites(sought(d)[1], d.pages, d.robots).filter("matched").select("provider_id", "source", "found_url")
 
 
 @query("D18_discover_summary", """
     SELECT c.source, CASE WHEN m.matched THEN 'found' WHEN m.matched IS NULL THEN 'unread' ELSE 'not theirs' END AS outcome, count(*) AS n
-      FROM candidates c LEFT JOIN matches m ON m.provider_id = c.provider_id GROUP BY 1, 2""")
+      FROM seeker_candidates c LEFT JOIN matches m ON m.provider_id = c.provider_id GROUP BY 1, 2""")
 def discover_summary(d):
-    cands, pages = own_pages(d)
-    return DI.discover_summary(cands, DI.match_sites(cands, pages))
+    _, cands = sought(d)
+    return DI.discover_summary(cands, DI.match_sites(cands, d.pages, d.robots))

@@ -109,6 +109,53 @@ def report_limit(d):
 
 
 
+WHERE_SQL = "{spec} || '/' || CAST(radius_km AS STRING) || '/' || CAST(round(lat, 3) AS STRING) || '/' || CAST(round(lng, 3) AS STRING)"
+STEPS.update({
+    "asked_signups": f"""
+        SELECT request_id, lower(email) AS email, requester, {WHERE_SQL.format(spec='specialty')} AS place, created_us AS t, row_number() OVER (ORDER BY created_us, request_id) AS i FROM signup_requests""",
+    "old_signups": f"""
+        SELECT 's' || CAST(subscription_id AS STRING) AS sub, subscription_id AS id, lower(email) AS email, requester_hash AS owner, {WHERE_SQL.format(spec='specialty_slug')} AS place,
+               created_us AS t, CAST(confirm_sends AS BIGINT) AS sends, verified_us AS v, unsubscribed_us AS u FROM subscriptions""",
+    # what stood in the tables when each request came: the address's and the visitor's rows, mails of the day
+    "own_rows": """
+        SELECT a.i, list({'sub': o.sub, 'place': o.place, 't': o.t, 'sends': o.sends, 'v': o.v, 'u': o.u, 'owner': o.owner} ORDER BY o.t, o.id) AS own
+          FROM asked_signups a JOIN old_signups o ON o.email = a.email AND o.t <= a.t GROUP BY 1""",
+    "visitor_rows": f"SELECT a.i, list(o.sub) AS subs FROM asked_signups a JOIN old_signups o ON o.owner = a.requester AND o.t <= a.t AND o.t > a.t - {DAY} GROUP BY 1",
+    "mail_rows": f"SELECT a.i, count(*) AS mails FROM asked_signups a JOIN mail_log m ON m.sent_us <= a.t AND m.sent_us > a.t - {DAY} GROUP BY 1",
+    "signup_line": """
+        SELECT a.*, coalesce(o.own, []) AS own, coalesce(v.subs, []) AS subs, coalesce(m.mails, 0) AS mails
+          FROM asked_signups a LEFT JOIN own_rows o ON o.i = a.i LEFT JOIN visitor_rows v ON v.i = a.i LEFT JOIN mail_rows m ON m.i = a.i""",
+})
+SENT = "STRUCT(sub VARCHAR, email VARCHAR, owner VARCHAR, place VARCHAR, t BIGINT, made BIGINT)[]"
+LAST_T = "list_max(list_transform(list_filter(acc, lambda a: a.sub = {s}.sub), lambda a: a.t))"
+# One request after the other; ``acc`` are the confirmations sent so far, ``made`` is when their subscription began.
+SIGNUP_FOLD = f"""
+    WITH RECURSIVE line AS MATERIALIZED (SELECT * FROM signup_line), fold AS (
+        SELECT 0 AS i, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS result, CAST([] AS {SENT}) AS acc
+        UNION ALL
+        SELECT i, request_id, result, CASE WHEN result = 'send' THEN list_append(acc, {{'sub': coalesce(same.sub, 'r' || request_id), 'email': email, 'owner': coalesce(same.owner, requester),
+               'place': place, 't': t, 'made': coalesce(same.made, t)}}) ELSE acc END FROM (
+            SELECT *, CASE WHEN same.v <= t THEN 'already' WHEN by_requester >= 5 OR by_email >= 3 OR active >= 10 OR mails + len(list_filter(acc, lambda a: a.t > t - {DAY})) >= 450 THEN 'too_many'
+                   WHEN same.sub IS NULL THEN 'send' WHEN greatest(same.t, coalesce(same.last_t, same.t)) > t - 600000000 OR same.sends + same.more >= 3 THEN 'already' ELSE 'send' END AS result FROM (
+                SELECT CAST(k.i AS INT) AS i, k.request_id, k.email, k.requester, k.place, k.t, k.mails, f.acc,
+                       len(list_distinct(list_concat(k.subs, list_transform(list_filter(f.acc, lambda a: a.owner = k.requester AND a.t > k.t - {DAY}), lambda a: a.sub)))) AS by_requester,
+                       len(list_distinct(list_concat(list_transform(list_filter(k.own, lambda o: o.t > k.t - {DAY}), lambda o: o.sub),
+                                                     list_transform(list_filter(f.acc, lambda a: a.email = k.email AND a.t > k.t - {DAY}), lambda a: a.sub)))) AS by_email,
+                       len(list_filter(k.own, lambda o: o.u IS NULL OR o.u > k.t)) + len(list_distinct(list_transform(list_filter(f.acc, lambda a: a.email = k.email AND a.sub LIKE 'r%'), lambda a: a.sub))) AS active,
+                       list_sort(list_concat(
+                           list_transform(list_filter(k.own, lambda o: o.place = k.place AND (o.u IS NULL OR o.u > k.t)), lambda o: {{'made': o.t, 'sub': o.sub, 't': o.t, 'sends': o.sends, 'v': o.v, 'owner': o.owner,
+                               'last_t': list_max(list_transform(list_filter(f.acc, lambda a: a.sub = o.sub), lambda a: a.t)), 'more': len(list_filter(f.acc, lambda a: a.sub = o.sub))}}),
+                           list_transform(list_filter(f.acc, lambda a: a.email = k.email AND a.place = k.place AND a.sub LIKE 'r%'), lambda r: {{'made': r.made, 'sub': r.sub, 't': r.t, 'sends': 0::BIGINT, 'v': NULL::BIGINT, 'owner': r.owner,
+                               'last_t': list_max(list_transform(list_filter(f.acc, lambda a: a.sub = r.sub), lambda a: a.t)), 'more': len(list_filter(f.acc, lambda a: a.sub = r.sub))}})))[1] AS same
+                  FROM fold f JOIN line k ON k.i = f.i + 1)))
+    SELECT request_id, result FROM fold WHERE request_id IS NOT NULL"""
+
+
+@query("J2_signup_limit", SIGNUP_FOLD)
+def signup_limit(d):
+    return intake.limit_signups(d.signup_requests, d.subscriptions, d.mail_log)
+
+
 # ------------------------------------------------------------------------------- keyed updates
 @query("L11_flag_upsert_user", """
     SELECT provider_id, flag, source, max(observed_us) AS observed_us FROM (

@@ -27,6 +27,7 @@ STEPS: dict[str, str] = {
     "flags": "SELECT provider_id, flag, source, max(observed_us) AS observed_us FROM flag_events GROUP BY 1, 2, 3",
     "reports": f"SELECT {D.select_list(D.REPORTS)} FROM ev",
     "report_forms": f"SELECT {D.select_list(D.REPORT_FORMS)} FROM ev",
+    "signup_requests": f"SELECT {D.select_list(D.SIGNUP_REQUESTS)} FROM ev",
     "signup_forms": f"SELECT {D.select_list(D.SIGNUP_FORMS)} FROM ev",
     "searches": f"SELECT {D.select_list(D.SEARCHES)} FROM ev",
     "subscriptions": f"SELECT {D.select_list(D.SUBSCRIPTIONS)} FROM orders",

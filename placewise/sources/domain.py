@@ -223,11 +223,13 @@ PAGE_LINKS = [
     ("page_id % 5 = 2", "'<a href=\"/aktuality?strana=1\">Novinky</a>'"),
     ("page_id % 7 <> 6", "'<a href=\"/en/\">English</a>'"),
 ]
+# Some pages name practices, by a word in another case or by the number of the practice with the page's number.
+PAGE_NAMES = "CASE page_id % 4 WHEN 1 THEN 'Praxe Customeru' WHEN 2 THEN 'IČO 00' || CAST(10000000 + page_id * 37 AS STRING) ELSE 'Praxe' END"
 PAGES = {
     "page_id": "page_id",
     "url": f"{ORIGIN} || CASE page_id % 10 WHEN 4 THEN '/kontakt' WHEN 5 THEN '/objednani/' WHEN 6 THEN '/en/' WHEN 7 THEN '/pro-pacienty.html'"
            " WHEN 8 THEN '/aktuality?strana=1#top' WHEN 9 THEN '/lekar/' || CAST(page_id AS STRING) || '/' ELSE '/' END",
-    "html": f"html || '<footer><p>' || {NOTICE} || '</p>' || " + " || ".join(f"CASE WHEN {when} THEN {link} ELSE '' END" for when, link in PAGE_LINKS) + " || '</footer>'",
+    "html": f"html || '<footer><p>' || {NOTICE} || '</p>' || " + " || ".join(f"CASE WHEN {when} THEN {link} ELSE '' END" for when, link in PAGE_LINKS) + f" || '<p>' || {PAGE_NAMES} || '</p></footer>'",
 }
 # Rules of robots files, by the length of a host's name.
 ROBOTS = [
