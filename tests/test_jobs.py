@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewise.functions.geo import distance_km
 from placewise.operators import alerts as A
 from placewise.operators import discover as DI
-from placewise.operators import intake, limits
+from placewise.operators import intake
 from placewise.operators import reconcile as RC
 from placewise.operators import spatial as SP
 from placewise.operators.status import provider_status
@@ -162,10 +162,15 @@ def test_discovery(spark):
     cands = DI.site_candidates(providers, NOW)
     assert {(r.url, r.source, r.provider_id) for r in cands.collect()} == {("http://www.amodent.cz/", "user", 4), ("http://novakova.cz/", "email", 1)}
     pages = spark.createDataFrame(
-        [(1, "http://novakova.cz/", "Ordinace praktického lékaře, MUDr. Janu Novákovou najdete Po–Pá"), (2, "http://www.amodent.cz/", "Vítejte. Zubní péče."),
-         (3, "http://www.amodent.cz/kontakt", "Kontakt, IČO 12345678"), (4, "http://www.amodent.cz/cenik", "Ceník")], "page_id long, url string, text string")
-    found = DI.match_sites(cands, pages)
-    assert {(r.provider_id, r.matched, r.found_url) for r in found.collect()} == {(1, True, "http://novakova.cz/"), (4, True, "http://www.amodent.cz/")}
+        [(1, "http://novakova.cz/", "<p>Léčíme: MUDr. Janu Novákovou najdete v přízemí, ambulance</p>"),
+         (2, "https://www.amodent.cz", "<p>Zubní péče.</p><a href='cenik'>Ceník</a><a href='/kde#x'>O nás</a><a href='/kontakt'>Kontakt</a>"),
+         (3, "http://www.amodent.cz/kde", "<p>Firma 0012345678</p>"), (4, "http://www.amodent.cz/kontakt", "<p>nic</p>")], "page_id long, url string, html string")
+    none = spark.createDataFrame([], "host string, prefix string, allow boolean")
+    found = DI.match_sites(cands, pages, none)
+    assert {(r.provider_id, r.matched, r.found_url) for r in found.collect()} == {(1, True, "http://novakova.cz/"), (4, True, "https://www.amodent.cz/")}
+    closed = spark.createDataFrame([("www.amodent.cz", "/kde", False), ("novakova.cz", "/", False)], none.schema)
+    # the contact page is closed there, but the domain's own name tells as well; a site closed altogether is not read
+    assert {(r.provider_id, r.matched) for r in DI.match_sites(cands, pages, closed).collect()} == {(4, True)}
     after = DI.record_sites(providers, cands, found.filter("provider_id = 1"), NOW)
     got = {r.provider_id: (r.web_found, r.web_found_source, r.web_suggested) for r in after.collect()}
     assert got[1] == ("http://novakova.cz/", "email", None) and got[4] == (None, None, None)
@@ -189,12 +194,23 @@ def test_report_limit_brute_force(spark):
     assert got == want and {"ok", "duplicate", "too_many", "no_provider"} == set(want.values())
 
 
-def test_signup_steps():
-    from types import SimpleNamespace as R
-
-    row = lambda m, spec="zubar", **k: R(specialty=spec, radius_km=5, lat3=49.0, lng3=15.0, ts_us=m * 60_000_000, existing=False, sends=0, verified=False, mail_left=True, **k)
-    state = {}
-    assert [limits.signup_step(state, row(m)) for m in (0, 5, 20, 40, 60)] == ["send", "already", "send", "send", "already"]
-    assert [limits.signup_step(state, row(70, s)) for s in ("a", "b", "c")] == ["send", "send", "too_many"]
-    seen = []
-    assert [limits.requester_step(seen, R(ts_us=i, verdict="send")) for i in range(6)] == ["send"] * 5 + ["too_many"]
+def test_names_in_texts(spark):
+    """Company numbers with leading zeros, changed endings, whole words only, in the text or not; a portal's page serves all its practices."""
+    text = "Ambulance s Trnečkou, dále Roseadentu, IČO 00071234. Firma_Kratka, lipovanské, 5552345678, Holub2"
+    people = [(1, "Trnečka", None), (2, "ROSEADENT s.r.o.", None), (3, "X s.r.o.", "71234"), (4, "X s.r.o.", "0071 2349"), (5, "Kratka spol.", None), (6, "Lipovan", None), (7, "X", "2345678"),
+              (8, "Holub", None), (9, "Roseade", None), (10, "Trnka", None), (11, "X s.r.o.", "5552345678")]
+    cands = spark.createDataFrame([(i, n, c, None, "http://portal.cz/", "user") for i, n, c in people], "provider_id long, name string, ico string, city string, url string, source string")
+    reading = spark.createDataFrame([("http://portal.cz/", 1, "http://portal.cz/")], "url string, page_id long, home_url string")
+    index = DI.word_index(spark.createDataFrame([(1, text)], "page_id long, text string"))
+    import re
+    import unicodedata
+
+    folded = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    want = set()
+    for i, name, ico in people:
+        number = re.sub(r"\D", "", ico or "").lstrip("0")
+        words = re.findall(r"[a-z0-9]+", unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower())
+        cut = [w[:-2] if len(w) >= 6 else w for w in words if len(w) >= 5]
+        if (len(number) >= 6 and re.search(rf"\b0*{number}\b", folded)) or any(re.search(rf"\b{w}[a-z]{{0,3}}\b", folded) for w in cut):
+            want.add(i)
+    assert {r.provider_id for r in DI.named_on(cands, reading, index).collect()} == want and want >= {1, 2, 11}
