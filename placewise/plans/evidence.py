@@ -288,14 +288,13 @@ FIELD_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) TH
     SELECT page_id, provider_id, CASE WHEN len(own) <= 1 OR len(list_filter(own, lambda x: x NOT IN ('zubar', 'hygienistka'))) = 0 OR len(list_filter(own, lambda x: x NOT IN ('praktik', 'pediatr'))) = 0
            THEN len(list_intersect(named, own)) > 0 OR NOT (len(named) > 0 OR regexp_matches(s, {q(V.OTHER_FIELDS)})) ELSE len(list_filter(own, lambda x: NOT list_contains(named, x))) = 0 END AS mine
       FROM (SELECT *, {FIELD_SQL} AS named FROM (
-            SELECT v.page_id, p.provider_id, string_split(p.specialties, ',') AS own, lower(strip_accents({D.NOTICE.replace('page_id', 'v.page_id')})) AS s
-              FROM crawl_pages v JOIN cards p ON p.provider_id = v.page_id))""")
+            SELECT v.page_id, p.provider_id, string_split(p.specialties, ',') AS own, regexp_extract(n.norm, {q('(?s).{0,50}(?:' + '|'.join(V.NEGATIVE + V.WAITLIST + V.POSITIVE) + ').{0,50}')}) AS s
+              FROM page_verdict v JOIN page_norm n ON n.page_id = v.page_id JOIN cards p ON p.provider_id = v.page_id WHERE v.status IS NOT NULL OR v.conflicting))""")
 def attribution(d):
-    """Is a page's notice about the practice of the same number?"""
-    said = d.given("pages").select("page_id", F.expr(D.NOTICE).alias("notice"))
-    own = d.cards.select("provider_id", "specialties")
-    both = said.join(own, F.col("page_id") == F.col("provider_id"))
-    return both.select("page_id", "provider_id", E.attributable(F.col("notice"), F.col("specialties")).alias("mine"))
+    """Is what a page says, in its own words, about the practice of the same number?"""
+    said = verdicts(d).filter("snippet IS NOT NULL").select("page_id", "snippet")
+    both = said.join(d.cards.select("provider_id", "specialties"), F.col("page_id") == F.col("provider_id"))
+    return both.select("page_id", "provider_id", E.attributable(F.col("snippet"), F.col("specialties")).alias("mine"))
 
 
 @query("I14_snippet")
