@@ -65,18 +65,58 @@ def provider_status(
             F.max(F.when(own_word, key)).alias("own"),
         )
     )
+    return _classified(sums)
+
+
+def _classified(sums: DataFrame) -> DataFrame:
+    """Status rows from (provider_id, confidence, score, last_signal_at, newest, own)."""
     # the last two digits of a key say which source and status it stands for
-    code = lambda c: (F.col(c) % 100).cast("int")
-    source = F.get(F.array(*[F.lit(x) for x in V.SOURCE_WEIGHTS]), F.floor(code("newest") / 10).cast("int"))
-    clinic = F.when(F.col("own").isNotNull(), F.get(F.array(*[F.lit(x) for x in V.STATUSES]), F.coalesce(code("own") % 10, F.lit(0))))
+    clinic = F.when(F.col("own").isNotNull(), _said("own")[1])
     return sums.select(
         "provider_id",
         F.round("confidence", 3).alias("confidence"),
         F.round("score", 3).alias("score"),
         "last_signal_at",
         S.classify(F.col("confidence"), F.col("score"), clinic).alias("status"),
-        source.alias("last_source"),
+        _said("newest")[0].alias("last_source"),
+    )
+
+
+# ------------------------------------------------------------------------------- sums by day
+def day_sums(signals: DataFrame, half_life_days: float = V.HALF_LIFE_DAYS) -> DataFrame:
+    """(provider_id, day, w, wv, last_signal_at, newest, own): what a day's signals add to the status at any later time.
+
+    Weights are grown to the start of the day instead of decayed to a moment, so the rows of several batches add up and are
+    brought to the moment of reading by one factor per day.
+    """
+    key = _age_key()
+    day = F.date_trunc("day", F.col("observed_at"))
+    since = (F.unix_micros("observed_at") - F.unix_micros(day)) / F.lit(1e6)
+    grown = S.source_weight(F.col("source")) * F.pow(F.lit(2.0), since / F.lit(86400.0 * half_life_days))
+    return signals.withColumns({"day": day, "g": grown, "v": S.status_value(F.col("status")), "key": key}).groupBy("provider_id", "day").agg(
+        F.sum("g").alias("w"), F.sum(F.col("g") * F.col("v")).alias("wv"), F.max("observed_at").alias("last_signal_at"),
+        F.max("key").alias("newest"), F.max(F.when(F.col("source") == "clinic", F.col("key"))).alias("own"),
+    )
+
+
+def status_of_days(
+    days_: DataFrame, edges: DataFrame, as_of, half_life_days: float = V.HALF_LIFE_DAYS, horizon_days: float = V.HORIZON_DAYS, clinic_days: float = V.CLINIC_DAYS,
+) -> DataFrame:
+    """The status at ``as_of`` from the sums of whole days and the signals of the days that the window cuts (``edges``)."""
+    now = at(as_of)
+    first, last = F.date_trunc("day", now - days(horizon_days)), F.date_trunc("day", now + hours(V.FUTURE_HOURS))
+    whole = days_.filter((F.col("day") > first) & (F.col("day") < last))
+    cut = edges.filter(in_window(F.col("observed_at"), as_of, horizon_days) & F.date_trunc("day", F.col("observed_at")).isin(first, last))
+    rows = whole.select("provider_id", "day", "w", "wv", "last_signal_at", "newest", "own").unionByName(day_sums(cut, half_life_days))
+    factor = S.decay((F.unix_micros(now) - F.unix_micros("day")) / F.lit(1e6), half_life_days)
+    # a key begins with its time: 22 digits of row and code follow
+    said_at = F.floor(F.col("own") / F.lit("1" + "0" * 22).cast("decimal(23,0)"))
+    sums = rows.withColumn("f", factor).groupBy("provider_id").agg(
+        F.sum(F.col("w") * F.col("f")).alias("confidence"), (F.sum(F.col("wv") * F.col("f")) / F.sum(F.col("w") * F.col("f"))).alias("score"),
+        F.max("last_signal_at").alias("last_signal_at"), F.max("newest").alias("newest"), F.max("own").alias("own"),
     )
+    recent = said_at.cast("long") > F.unix_micros(now - days(clinic_days))
+    return _classified(sums.withColumn("own", F.when(recent, F.col("own"))))
 
 
 def _age_key() -> Column:
@@ -86,7 +126,8 @@ def _age_key() -> Column:
     strings would make it sort the whole log first. Digits: time in microseconds, then 20 for the
     id moved above zero, one for the source, one for the status.
     """
-    index = lambda c, names: S.lookup(F.col(c), {n: i for i, n in enumerate(names)})
+    # a name that is not known counts as 9: the row stays, its name reads as null
+    index = lambda c, names: F.coalesce(S.lookup(F.col(c), {n: i for i, n in enumerate(names)}), F.lit(9))
     code = index("source", V.SOURCE_WEIGHTS) * 10 + index("status", V.STATUSES)
     big = lambda c, digits: c.cast(f"decimal({digits},0)")
     row = big(F.col("signal_id"), 20) + big(F.lit("9223372036854775808"), 20)

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import domain as D
 from ..streaming import reports as S
 from .intake import REPORT_FOLD
 from .registry import query
@@ -43,11 +42,8 @@ def report_limit_stream(d):
 @query("J8_status_stream", """
     SELECT provider_id, round(confidence, 3) AS confidence, round(score, 3) AS score, last_signal_us, status, last_source FROM status_full""")
 def status_stream(d):
-    """Signals arriving in three batches; afterwards the status equals the one computed at once."""
+    """Signals arriving in three batches, kept as sums by day; the status read from them equals the one computed at once."""
     folder, arriving = files(d, d.signals, "observed_at")
-    run = S.status_stream(
-        S.incoming_signals(arriving, D.AS_OF), f"{folder}/log", f"{folder}/status", f"{folder}/cp", D.AS_OF, availableNow=True
-    )
-    run.awaitTermination()
-    rows = S.latest_status(d.spark, f"{folder}/status")
+    S.status_stream(arriving, f"{folder}/log", f"{folder}/days", f"{folder}/cp", availableNow=True).awaitTermination()
+    rows = S.status_at(d.spark, f"{folder}/log", f"{folder}/days", d.as_of)
     return rows.select("provider_id", "confidence", "score", us("last_signal_at"), "status", "last_source")

@@ -10,13 +10,13 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import values as V
 from ..operators.limits import DAY_US, report_step
-from ..operators.status import at, hours, provider_status
+from ..operators.status import at, day_sums, days, hours, status_of_days
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the limiter below runs in Python workers
 
@@ -82,35 +82,24 @@ def limit_reports_stream(reports: DataFrame, providers: DataFrame, late: dt.time
     return decided.unionByName(nobody)
 
 
-def incoming_signals(signals: DataFrame, as_of=None) -> DataFrame:
-    """A signal stream with its lateness limits: 90 days back, one hour ahead of its arrival."""
-    limit = F.col("created_at") if as_of is None else at(as_of)
-    return signals.withWatermark("observed_at", f"{V.HORIZON_DAYS} days").filter(
-        F.col("observed_at") <= limit + hours(V.FUTURE_HOURS)
-    )
-
-
-def status_stream(signals: DataFrame, log_path: str, status_path: str, checkpoint: str, as_of=None, **trigger) -> StreamingQuery:
-    """Keep the status of touched providers up to date.
+def status_stream(signals: DataFrame, log_path: str, days_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the signal log by day, and each provider's sums by day.
 
-    Every micro-batch is written to the log under its own batch folder, so a replayed batch
-    replaces itself; then the status of just the providers it touches is computed from the log.
+    Every micro-batch writes only its own rows, under its own folder, so a replayed batch replaces itself; nothing
+    written earlier is read again. ``status_at`` reads the sums.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.parquet(log_path).filter(F.col("batch") <= batch_id)
-        touched = batch.select("provider_id").distinct()
-        now = F.current_timestamp() if as_of is None else as_of
-        fresh = provider_status(log.join(touched, "provider_id", "left_semi"), now)
-        fresh.write.mode("overwrite").parquet(f"{status_path}/batch={batch_id}")
+        rows = batch.withColumn("on", F.to_date("observed_at"))
+        rows.write.mode("overwrite").partitionBy("on").parquet(f"{log_path}/batch={batch_id}")
+        day_sums(batch).write.mode("overwrite").parquet(f"{days_path}/batch={batch_id}")
 
     return signals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def latest_status(spark, status_path: str) -> DataFrame:
-    """The newest row of every provider the stream has touched."""
-    rows = spark.read.parquet(status_path)
-    best = rows.groupBy("provider_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "provider_id"]), "batch").alias("s"))
-    return best.select("provider_id", "s.*").drop("batch")
+def status_at(spark: SparkSession, log_path: str, days_path: str, as_of) -> DataFrame:
+    """The status of all providers at any moment, from the sums by day; of the log only the two days that the window cuts are read."""
+    now = at(as_of)
+    edges = [F.to_date(now - days(V.HORIZON_DAYS)), F.to_date(now + hours(V.FUTURE_HOURS))]
+    log = spark.read.option("basePath", log_path).parquet(log_path).filter(F.col("on").isin(*edges))
+    return status_of_days(spark.read.parquet(days_path), log.drop("on", "batch"), as_of)

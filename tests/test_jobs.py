@@ -214,3 +214,30 @@ def test_names_in_texts(spark):
         if (len(number) >= 6 and re.search(rf"\b0*{number}\b", folded)) or any(re.search(rf"\b{w}[a-z]{{0,3}}\b", folded) for w in cut):
             want.add(i)
     assert {r.provider_id for r in DI.named_on(cands, reading, index).collect()} == want and want >= {1, 2, 11}
+
+
+def test_status_from_sums_by_day(spark, tmp_path):
+    """Kept once, read at several moments: late ones, cut days, the practice's own word running out, an unknown source."""
+    import random
+
+    from placewise.operators.status import latest_crawl_note
+    from placewise.streaming import reports as S
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), rng.choice(["user", "clinic", "web_crawl", "region"]), rng.choice(["accepting", "waitlist", "not_accepting"]), rng.randrange(-4, 130 * 24) / 24) for _ in range(250)]
+    log = signals(spark, rows)
+    for k in (0, 1):
+        log.filter(F.col("signal_id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.status_stream(arriving, str(tmp_path / "log"), str(tmp_path / "days"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    for later in (0, 0.4, 17.3, 45, 100):
+        now = NOW + dt.timedelta(days=later)
+        got = {r.provider_id: r for r in S.status_at(spark, str(tmp_path / "log"), str(tmp_path / "days"), now).collect()}
+        want = {r.provider_id: r for r in provider_status(log, now).collect()}
+        assert set(got) == set(want)
+        for i, w in want.items():
+            g = got[i]
+            assert (g.last_signal_at, g.status, g.last_source) == (w.last_signal_at, w.status, w.last_source)
+            assert abs(g.confidence - w.confidence) <= 0.001 and abs(g.score - w.score) <= 0.001
+    odd = log.filter("false").unionByName(signals(spark, [(1, "web_crawl", "maybe", 1)]).withColumn("note", F.lit("x")))
+    assert [r.note for r in latest_crawl_note(odd).collect()] == ["x"]
