@@ -76,14 +76,21 @@ class Search:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray, most: float, k: int):
         self.ids, self.x, self.table, self.most, self.k = ids, x, table, most, k
-        # float64 products are exact below 2**53; beyond, whole numbers are used
-        self.exact = x if len(x) == 0 or np.abs(x).max() < 2**22 else x.astype(np.int64)
+        self.largest, self.whole = float(np.abs(x).max()) if x.size else 0.0, None
         self.low, self.high = table.min(0), table.max(0)
 
     def bound(self, q2: float, gap: np.ndarray, size: np.ndarray) -> np.ndarray:
         gap = np.maximum(gap - 1e-6 * (1 + size), 0)
         return (q2 + self.most - gap**2) / 2 * (1 + 1e-9) + 1e-6 * (1 + abs(q2))
 
+    def exact(self, q: np.ndarray) -> np.ndarray:
+        """The vectors in numbers whose products with this query are exact: float64 below 2**53, else whole numbers."""
+        if self.largest * float(np.abs(q).max(initial=0)) * self.x.shape[1] < 2.0**53:
+            return self.x
+        if self.whole is None:
+            self.whole = self.x.astype(np.int64)
+        return self.whole
+
     def run(self, q_id: int, q: np.ndarray, to_pivots: np.ndarray, beat: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best candidates that can still be among the query's best; ``beat`` is its k-th best so far."""
         q2 = float(q @ q)
@@ -94,11 +101,12 @@ class Search:
         order = np.argsort(-bounds, kind="stable")
         order = order[self.ids[order] != q_id]
         ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 64
-        query = q.astype(self.exact.dtype)
+        exact = self.exact(q)
+        query = q.astype(exact.dtype)
         while at < len(order) and bounds[order[at]] >= beat:
             part = order[at : at + step]
             ids = np.concatenate([ids, self.ids[part]])
-            scores = np.concatenate([scores, (self.exact[part] @ query).astype(np.int64)])
+            scores = np.concatenate([scores, (exact[part] @ query).astype(np.int64)])
             top = best(scores, ids, self.k)
             ids, scores = ids[top], scores[top]
             if len(ids) == self.k:
