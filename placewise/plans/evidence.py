@@ -297,7 +297,29 @@ def attribution(d):
     return both.select("page_id", "provider_id", E.attributable(F.col("snippet"), F.col("specialties")).alias("mine"))
 
 
-@query("I14_snippet")
+def first_word_sql(seen, patterns):
+    """The first match in the folded text of the first pattern that ``seen`` holds."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({seen}, {q(p)}) THEN regexp_extract(norm, {q(p)})" for p in patterns) + " END"
+
+
+STEPS.update({
+    # the page's text with its accents, sign by sign as long as the folded text
+    "page_hits": f"""
+        SELECT s.page_id, v.status, s.norm, regexp_replace(array_to_string(list_filter(string_split(s.text, ''), lambda c: unicode(strip_accents(c)) < 128), ''), '[ \t\r\f\v]+', ' ', 'g') AS source,
+               CASE WHEN s.neg THEN {first_word_sql('quiet', V.NEGATIVE)} WHEN s.wait THEN {first_word_sql('quiet', V.WAITLIST)} ELSE {first_word_sql('masked', V.POSITIVE)} END AS word
+          FROM page_said s JOIN page_verdict v ON v.page_id = s.page_id WHERE v.status IS NOT NULL OR v.conflicting""",
+    "page_spans": """
+        SELECT *, greatest(pos0 - 50, 1) AS a0, least(pos0 + length(word) + 50, length(norm) + 1) AS b0 FROM (SELECT *, strpos(norm, word) AS pos0 FROM page_hits)""",
+    # words that a border cuts are left out
+    "page_quotes": """
+        SELECT *, a0 + CASE WHEN a0 > 1 AND regexp_matches(substr(norm, a0 - 1, 1), '[a-z0-9]') THEN length(regexp_extract(substr(norm, a0, pos0 - a0), '^[a-z0-9]*')) ELSE 0 END AS a,
+               b0 - CASE WHEN regexp_matches(substr(norm, b0, 1), '[a-z0-9]') THEN length(regexp_extract(substr(norm, pos0 + length(word), b0 - pos0 - length(word)), '[a-z0-9]*$')) ELSE 0 END AS b FROM page_spans""",
+})
+
+
+@query("I14_snippet", """
+    SELECT page_id, status, CASE WHEN a > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(source, CAST(a AS BIGINT), CAST(b - a AS BIGINT)), '\\s+', ' ', 'g')) || CASE WHEN b <= length(norm) THEN '…' ELSE '' END AS snippet
+      FROM page_quotes""")
 def snippet(d):
     return verdicts(d).filter("snippet IS NOT NULL").select("page_id", "status", "snippet")
 
