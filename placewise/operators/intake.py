@@ -107,7 +107,7 @@ def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, sli
     fields = lambda sends, verified, ended: F.to_json(F.struct(
         F.coalesce("requester", F.lit("")).alias("requester"), place.alias("where"), sends.alias("sends"), verified.alias("verified"), ended.alias("ended")))
     own = lambda df, kind, number, *state: df.select(
-        F.lower("email").alias("email"), us("created_at").alias("ts_us"), F.lit(kind).alias("kind"), F.col(number).alias("id"),
+        F.coalesce(F.lower("email"), F.lit("")).alias("email"), us("created_at").alias("ts_us"), F.lit(kind).alias("kind"), F.col(number).alias("id"),
         F.coalesce("requester", F.lit("")).alias("requester"), fields(*state).alias("fields"))
     old = own(
         subs.withColumnsRenamed({"specialty_slug": "specialty", "requester_hash": "requester"}), 0, "subscription_id",

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import model
-from .. import values as V
 from ..functions import contact as C
 from ..operators import areas, intake
 from ..operators import discover as DI

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import values as V
-from ..operators.limits import DAY_US, report_step
+from ..operators.limits import report_step
 from ..operators.status import at, day_sums, days, hours, status_of_days
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the limiter below runs in Python workers
