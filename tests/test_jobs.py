@@ -241,3 +241,30 @@ def test_status_from_sums_by_day(spark, tmp_path):
             assert abs(g.confidence - w.confidence) <= 0.001 and abs(g.score - w.score) <= 0.001
     odd = log.filter("false").unionByName(signals(spark, [(1, "web_crawl", "maybe", 1)]).withColumn("note", F.lit("x")))
     assert [r.note for r in latest_crawl_note(odd).collect()] == ["x"]
+
+
+@pytest.mark.parametrize("km", [0.3, 15.0, 90.0])
+def test_lists_pick_the_nearest(spark, crowd, km):
+    """Grades as in the alerts: those up to ``max_grade`` count for sure, the next one by ``keep``; some partners are left out by id."""
+    from pyspark.sql import Window as W
+
+    q, c = sides(crowd, F.lit(km), 5)
+    q = q.withColumns({"max_grade": (F.col("qid") % 4 - 1).cast("int"), "limit": F.col("qid") % 4 * 10 + 3, "skip": F.array("qid")})
+    c = c.drop("rank").withColumn("news", F.col("c_id") % 50).withColumn("grade", F.floor(F.col("news") / 10).cast("int"))
+    got = SP.nearest_lists(q, c, 4, ["specialty"], lambda p: (p["news"] < F.col("limit")) & ~F.array_contains("skip", p["c_id"]))
+    got = got.select("qid", F.posexplode_outer("near").alias("at", "p")).filter("p IS NOT NULL").select("qid", "p.c_id", (F.col("at") + 1).alias("rn"))
+    order = W.partitionBy("qid").orderBy("km", "c_id")
+    want = brute(q, c).filter("news < limit and qid <> c_id").withColumn("rn", F.row_number().over(order)).filter("rn <= 4").select("qid", "c_id", "rn")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_pending_alerts_shuffle_no_pairs(spark):
+    """What reaches the alerts is picked within a subscription's row: no pair is sorted or joined with what was told."""
+    listing = spark.range(500).select(
+        F.col("id").alias("provider_id"), (49.19 + F.col("id") / 50_000).alias("lat"), F.lit(16.6068).alias("lng"), F.lit("zubar").alias("specialty"), F.lit("accepting").alias("status"))
+    s = signals(spark, [(i, "clinic", "accepting", 0) for i in range(500)])
+    ledger = spark.createDataFrame([(1, 1, NOW)], "subscription_id long, provider_id long, sent_at timestamp")
+    due = A.pending_alerts(subs(spark, [(i, 2, 1) for i in range(1, 40)]), listing, s, ledger, NOW)
+    plan = due._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "WindowGroupLimit" not in plan and "row_number" not in plan
+    assert due.count() == 39 * 10 and 1 not in {r.provider_id for r in due.filter("subscription_id = 1").collect()}
