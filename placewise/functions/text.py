@@ -200,7 +200,7 @@ def quote(folded: Column, source: Column, start: Column, length: Column, pad: in
 
     def trimmed(x: Column) -> Column:
         left, right = F.substring(folded, x["a"], x["s"] - x["a"]), F.substring(folded, x["e"], x["b"] - x["e"])
-        head, tail = F.length(F.regexp_extract(left, "^[a-z0-9]*", 0)), F.length(F.regexp_extract(right, "[a-z0-9]*$", 0))
+        head, tail = F.length(F.regexp_extract(left, "^[a-z0-9]*", 0)), F.length(F.regexp_extract(right, r"[a-z0-9]*\z", 0))
         return F.struct(
             (x["a"] + F.when((x["a"] > 1) & alnum(x["a"] - 1), head).otherwise(F.lit(0))).alias("a"),
             (x["b"] - F.when(alnum(x["b"]), tail).otherwise(F.lit(0))).alias("b"),

@@ -78,3 +78,10 @@ def test_register_files_of_other_headers(spark, tmp_path):
         "První": ("Kadaň", ["zubar"]), "Druhá": ("Louny", ["neurolog"]), "Třetí, s čárkou": ("Most", ["urolog"]), "Čtvrtá": ("Tábor", ["psychiatr"]),
         "Pátá": ("Zlín", ["chirurg"]),
     }
+
+
+def test_quote_keeps_the_line_before_a_cut_word(spark):
+    """The border cuts the word after a line feed; the line before it stays."""
+    df = spark.createDataFrame([("xx yy abc\ndef ghi",)], "t string")
+    got = df.select(T.quote(F.col("t"), F.col("t"), F.lit(1), F.lit(2), 8)).first()[0]
+    assert got == "xx yy abc…"
