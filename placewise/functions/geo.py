@@ -80,3 +80,11 @@ def crosses_left(edge_from: Column, edge_to: Column, x: Column, y: Column) -> Co
     """Does a ray from (x, y) to the right cross this edge? (even-odd test)"""
     x1, y1, x2, y2 = edge_from["x"], edge_from["y"], edge_to["x"], edge_to["y"]
     return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+
+
+def on_edge(edge_from: Column, edge_to: Column, x: Column, y: Column, hair: float) -> Column:
+    """Is (x, y) within a hair of this edge?"""
+    x1, y1, x2, y2 = edge_from["x"], edge_from["y"], edge_to["x"], edge_to["y"]
+    between = lambda v, a, b: (v >= F.least(a, b) - hair) & (v <= F.greatest(a, b) + hair)
+    across = F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
+    return between(x, x1, x2) & between(y, y1, y2) & (across <= hair * F.hypot(x2 - x1, y2 - y1))

@@ -220,8 +220,21 @@ IN_SQL = """
     SELECT provider_id, area FROM providers JOIN areas ON abs(lng - cx) / 0.7e0 + abs(lat - cy) / 0.3e0 < 1 AND NOT abs(lng - cx) / 0.2e0 + abs(lat - cy) / 0.1e0 < 1"""
 
 
+# The diamonds' own rule decides for points on an outline.
+IN_DIAMOND = "abs(lng - cx) / 0.7e0 + abs(lat - cy) / 0.3e0 < 1 AND NOT abs(lng - cx) / 0.2e0 + abs(lat - cy) / 0.1e0 < 1"
+
+
+def centres(d):
+    return d.given("nation").select(F.col("n_name").alias("area"), F.expr(CX).alias("cx"), F.expr(CY).alias("cy"))
+
+
+def located(d, outlines):
+    points = d.providers.select("provider_id", "lat", "lng")
+    return areas.inside(points, outlines.join(centres(d), "area"), outline=F.expr(IN_DIAMOND)).select("provider_id", "area")
+
+
 def diamonds(d):
-    nation = d.given("nation").select(F.col("n_name").alias("area"), F.expr(CX).alias("cx"), F.expr(CY).alias("cy"))
+    nation = centres(d)
     at = lambda dx, dy: F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))
     ring = lambda a, b: F.array(at(-a, 0.0), at(0.0, b), at(a, 0.0), at(0.0, -b), at(-a, 0.0))
     return nation.select("area", F.array(ring(0.7, 0.3), ring(0.2, 0.1)).alias("rings"))
@@ -229,7 +242,7 @@ def diamonds(d):
 
 @query("C13_point_in_polygon", IN_SQL)
 def point_in_polygon(d):
-    return areas.inside(d.providers.select("provider_id", "lat", "lng"), diamonds(d)).select("provider_id", "area")
+    return located(d, diamonds(d))
 
 
 @query("A13_polygons_source", f"SELECT area, count(*) AS practices FROM ({IN_SQL}) GROUP BY 1")
@@ -244,5 +257,4 @@ def polygons_source(d):
     # one document per nation: a small fixed dimension
     diamonds(d).select(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")).write.json(folder)
     outlines = read_polygons(d.spark, folder, "name", multi_line=False)
-    hits = areas.inside(d.providers.select("provider_id", "lat", "lng"), outlines)
-    return hits.groupBy("area").agg(F.count("*").alias("practices"))
+    return located(d, outlines).groupBy("area").agg(F.count("*").alias("practices"))

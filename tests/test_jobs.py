@@ -279,3 +279,14 @@ def test_others_nearby_sort_no_pairs(spark, crowd):
         F.element_at(F.array(F.lit("accepting"), F.lit("waitlist"), F.lit("unknown")), F.col("rank") + 1).alias("status"))
     for found in (serve.alternatives(cards), serve.accepting_nearby(cards)):
         assert "WindowGroupLimit" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+
+
+def test_points_on_an_outline_follow_the_areas_rule(spark):
+    """A corner and a point of a slanted edge, which the even-odd test leaves to rounding."""
+    from placewise.operators import areas
+
+    ring = "array(struct(0.0D x, 0.0D y), struct(1.0D x, 1.0D y), struct(2.0D x, 0.0D y), struct(1.0D x, -1.0D y), struct(0.0D x, 0.0D y))"
+    area = spark.range(1).selectExpr("'a' area", f"array({ring}) rings")
+    points = spark.createDataFrame([(1, 1.0, 1.0 + 1e-15), (2, 1.7, 0.3), (3, 1.0, 0.0), (4, 3.0, 0.0), (5, 0.3, 0.3 + 1e-6)], "pid long, lng double, lat double")
+    ids = lambda rule: sorted(r.pid for r in areas.inside(points, area, outline=F.lit(rule)).collect())
+    assert ids(True) == [1, 2, 3] and ids(False) == [3]
