@@ -117,6 +117,24 @@ def test_alerts_news_radius_once_budget(spark):
     assert {r.subscription_id for r in A.keep_subscriptions(people, NOW).collect()} == {1, 2, 4, 5, 6}
 
 
+def test_news_and_told_decide_in_the_pairs_own_join(spark):
+    """Pairs grow with the square of the tables, so nothing may be joined to them: the last join of the plan is that of the cells."""
+    listing = spark.createDataFrame(
+        [(i, 49.1951 + i / 1000, 16.6068) for i in range(4)], "provider_id long, lat double, lng double"
+    ).withColumns({"specialty": F.lit("zubar"), "status": F.lit("accepting")})
+    s = signals(spark, [(0, "clinic", "accepting", 3), (1, "clinic", "accepting", 0), (1, "clinic", "accepting", 5), (2, "clinic", "accepting", 0)])
+    people = subs(spark, [(1, 2, 1), (2, 9, 4)])
+    ledger = spark.createDataFrame(
+        [(1, 1, NOW), (1, 1, NOW), (1, 2, NOW - dt.timedelta(days=61)), (2, 3, NOW), (7, 0, NOW)], "subscription_id long, provider_id long, sent_at timestamp")
+    news = A.only_news(people, listing, s).select("subscription_id", "provider_id")
+    untold = A.not_told(people, listing, ledger, NOW).select("subscription_id", "provider_id")
+    assert sorted(map(tuple, news.collect())) == [(1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    assert sorted(map(tuple, untold.collect())) == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+    for df in (news, untold):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert "_cy" in next(line for line in plan if "Join " in line)
+
+
 def test_crawl_reconcile(spark):
     specs = spark.createDataFrame([(1, ["zubar"]), (2, ["zubar"])], "provider_id long, specialties array<string>")
     schema = "provider_id long, status string, scope string, snippet string, page_url string, error string"
