@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -10,6 +11,7 @@ from ..functions import text as T
 from ..functions.contact import site_address
 from ..functions.geo import in_box
 from ..session import cut_lineage
+from . import limits
 from .limits import DAY_US, address_start, address_step, mail_start, mail_step, report_start, report_step, visitor_start, visitor_step
 from .serial import decided_in_slices
 from .status import at
@@ -93,6 +95,37 @@ def limit_reports(reports: DataFrame, providers: DataFrame, slices: int | None =
     return decided.select("report_id", "result").unionByName(nobody)
 
 
+HOUR_US = 3_600_000_000
+
+
+def logged_before(requests: DataFrame, mails: DataFrame) -> DataFrame:
+    """(id, logged): how many ``mails`` (ts_us) there were in the 24 hours up to each request (id, ts_us).
+
+    The difference of two running counts, each made of the hours before and the rows of its own hour.
+    """
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("ts_us")), F.struct(F.lit(-1).alias("sign"), (F.col("ts_us") - DAY_US).alias("ts_us"))))
+    asked = requests.select("id", sides.alias("s")).select("id", "s.*")
+    points = mails.select("ts_us", F.lit(1).alias("mail")).unionByName(asked, allowMissingColumns=True)
+    points = points.withColumns({"hour": F.floor(F.col("ts_us") / HOUR_US), "mail": F.coalesce("mail", F.lit(0))})
+    hours = points.groupBy("hour").agg(F.sum("mail").alias("n"))  # as long as the time is, not the log
+    hours = hours.select("hour", F.coalesce(F.sum("n").over(W.orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    own = F.sum("mail").over(W.partitionBy("hour").orderBy("ts_us").rangeBetween(W.unboundedPreceding, W.currentRow))
+    counted = points.withColumn("own", own).filter("sign is not null").join(hours, "hour")
+    return counted.groupBy("id").agg(F.sum(F.col("sign") * (F.col("earlier") + F.col("own"))).alias("logged"))
+
+
+def _without_open(rows: DataFrame) -> DataFrame:
+    """(id, verified): the requests of addresses that send nothing, and whether a confirmed subscription is there already."""
+    given = rows.filter("kind = 0").select("email", "where", F.struct("ts_us", "id").alias("made"), "verified", "ended")
+    mine = rows.filter("kind = 1").select("email", "where", "id", "ts_us")
+    same = (
+        mine.join(given, ["email", "where"])
+        .filter((F.col("made.ts_us") <= F.col("ts_us")) & ((F.col("ended") < 0) | (F.col("ended") > F.col("ts_us"))))
+        .groupBy("id", "ts_us").agg(F.min_by("verified", "made").alias("at"))
+    )
+    return mine.select("id").join(same.select("id", F.col("at").between(F.lit(0), F.col("ts_us")).alias("verified")), "id", "left")
+
+
 def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, slices: int | None = None) -> DataFrame:
     """(request_id, result): send, already or too_many, as if all requests were decided one after the other.
 
@@ -100,44 +133,57 @@ def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, sli
     subscriptions a day for a visitor, and the mails of a day for everyone. Each is decided in order over its own key, given
     the refusals of the other two from the round before, until no refusal changes. The first request in time is
     right in the first round and every next one a round after those before it, so what does not change is the serial result.
+
+    Requests that come when the mail log alone fills the day send nothing, whatever the others do: they are closed from the
+    start, and addresses with closed requests only are decided by one join. Only the others go through the rounds.
     """
     us = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1))
     place = F.concat_ws("/", "specialty", F.col("radius_km").cast("long").cast("string"), *[F.format_string("%.3f", F.round(c, 3)) for c in ("lat", "lng")])
     none = F.lit(-1).cast("long")
-    fields = lambda sends, verified, ended: F.to_json(F.struct(
-        F.coalesce("requester", F.lit("")).alias("requester"), place.alias("where"), sends.alias("sends"), verified.alias("verified"), ended.alias("ended")))
-    own = lambda df, kind, number, *state: df.select(
+    own = lambda df, kind, number, sends, verified, ended: df.select(
         F.coalesce(F.lower("email"), F.lit("")).alias("email"), us("created_at").alias("ts_us"), F.lit(kind).alias("kind"), F.col(number).alias("id"),
-        F.coalesce("requester", F.lit("")).alias("requester"), fields(*state).alias("fields"))
+        F.coalesce("requester", F.lit("")).alias("requester"), place.alias("where"), sends.alias("sends"), verified.alias("verified"), ended.alias("ended"))
     old = own(
         subs.withColumnsRenamed({"specialty_slug": "specialty", "requester_hash": "requester"}), 0, "subscription_id",
         F.col("confirm_sends").cast("long"), us("verified_at"), us("unsubscribed_at"))
-    rows = cut_lineage(old.unionByName(own(requests, 1, "request_id", none, none, none)))
-    signed = rows.filter("kind = 0").select("requester", "ts_us", F.lit(0).alias("kind"), "id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("sub"))
-    logged = mail_log.select(us("sent_at").alias("ts_us"), F.lit(0).alias("kind"), F.col("mail_id").alias("id"), F.lit(False).alias("due"))
+    new = own(requests, 1, "request_id", none, none, none)
+    logged = logged_before(new.select("id", "ts_us"), mail_log.filter(F.col("sent_at").isNotNull()).select(us("sent_at").alias("ts_us")))
+    new = cut_lineage(new.join(logged, "id").withColumn("closed", F.col("logged") >= limits.DAILY_MAILS))
+    live = new.filter("not closed").select("email").distinct()
+    everything = old.unionByName(new, allowMissingColumns=True)
+    quiet = _without_open(everything.join(live, "email", "left_anti"))
+    settled = quiet.select(F.col("id").alias("request_id"), F.when(F.col("verified"), "already").otherwise("too_many").alias("result"))
+    if live.isEmpty():
+        return settled
+    fields = F.to_json(F.struct("requester", "where", "sends", "verified", "ended"))
+    rows = everything.join(live, "email", "left_semi").withColumns({"fields": fields, "closed": F.coalesce("closed", F.lit(False)), "logged": F.coalesce("logged", F.lit(0))})
+    rows = cut_lineage(rows.drop("where", "sends", "verified", "ended"))
+    # subscriptions of the visitors whose requests are open, of whatever address
+    signed = old.select("requester", "ts_us", "kind", "id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("sub"))
+    signed = cut_lineage(signed.join(new.filter("not closed").select("requester").distinct(), "requester", "left_semi"))
     empty = rows.filter("false").select("id", F.lit(True).alias("refused"), F.lit(True).alias("no_mail"))
     refusals = empty
     while True:
         asked = rows.join(refusals.withColumn("kind", F.lit(1)), ["kind", "id"], "left").withColumns(
-            {"blocked": F.coalesce("refused", F.lit(False)), "no_mail": F.coalesce("no_mail", F.lit(False))}).drop("refused")
+            {"blocked": F.col("closed") | F.coalesce("refused", F.lit(False)), "no_mail": F.coalesce("no_mail", F.lit(False))}).drop("refused")
         counts = F.col("result").startswith("send") | (F.col("kind") == 0)
         # an address has ten subscriptions at most, so all its accepted requests go along
         at_address = cut_lineage(decided_in_slices(
             asked, "email", "ts_us", ["kind", "id"], address_step, address_start, ["kind", "id", "fields"], counts, 1 << 62, slices).filter("kind = 1"))
         parts = F.split("result", r"\|")
-        open_ = at_address.filter(~F.col("result").isin("verified", "full")).select(
-            "requester", "ts_us", "id", "no_mail", "blocked", F.get(parts, F.lit(0)).alias("said"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("sub"),
+        open_ = at_address.filter(~F.col("result").isin("verified", "full") & ~F.col("closed")).select(
+            "requester", "ts_us", "id", "no_mail", "blocked", "logged", F.get(parts, F.lit(0)).alias("said"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("sub"),
             F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("owner")).withColumn("due", F.col("said") != "ask")
         renewed = open_.filter("said = 'send' and owner <> requester").select(F.col("owner").alias("requester"), "ts_us", F.lit(1).alias("kind"), "id", "sub")
-        mine = open_.select("requester", "ts_us", F.lit(2).alias("kind"), "id", "sub", "owner", "due", "no_mail")
+        mine = open_.select("requester", "ts_us", F.lit(2).alias("kind"), "id", "sub", "owner", "due", "no_mail", "logged")
         events = mine.unionByName(signed.unionByName(renewed), allowMissingColumns=True).fillna({"due": False, "no_mail": False, "owner": ""})
         of_visitor = cut_lineage(decided_in_slices(
             events, "requester", "ts_us", ["kind", "id"], visitor_step, visitor_start, ["sub"], F.col("result").isin("given", "kept"), DAY_US, slices
-        ).filter("kind = 2").select("id", "ts_us", "due", (F.col("result") == "full").alias("refused")))
-        mails = of_visitor.filter("not refused").select("ts_us", F.lit(1).alias("kind"), "id", "due").unionByName(logged)
+        ).filter("kind = 2").select("id", "ts_us", "due", "logged", (F.col("result") == "full").alias("refused")))
+        mails = of_visitor.filter("not refused").select("ts_us", "id", "due", "logged")
         of_mails = decided_in_slices(
-            mails.withColumn("all", F.lit("")), "all", "ts_us", ["kind", "id"], mail_step, mail_start, ["id"], F.col("result").isin("given", "kept"), DAY_US, slices
-        ).filter("kind = 1").select("id", (F.col("result") == "full").alias("no_mail"))
+            mails.withColumn("all", F.lit("")), "all", "ts_us", ["id"], mail_step, mail_start, ["id"], F.col("result") == "kept", DAY_US, slices
+        ).select("id", (F.col("result") == "full").alias("no_mail"))
         judged = of_visitor.join(of_mails, "id", "left").select("id", (F.col("refused") | F.coalesce("no_mail", F.lit(False))).alias("refused"), F.coalesce("no_mail", F.lit(False)).alias("no_mail"))
         new = cut_lineage(judged.join(open_.select("id", "blocked", F.col("no_mail").alias("was")), "id"))
         if new.filter("refused <> blocked or no_mail <> was").isEmpty():
@@ -147,7 +193,7 @@ def limit_signups(requests: DataFrame, subs: DataFrame, mail_log: DataFrame, sli
     result = (
         F.when(said == "verified", "already").when(said == "full", "too_many").when(blocked, "too_many").when(said == "ask", "already").otherwise("send")
     )
-    return at_address.select(F.col("id").alias("request_id"), result.alias("result"))
+    return at_address.select(F.col("id").alias("request_id"), result.alias("result")).unionByName(settled)
 
 
 # ------------------------------------------------------------------------------- sponsors

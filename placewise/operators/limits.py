@@ -105,13 +105,13 @@ def mail_start(entries) -> deque:
 
 
 def mail_step(sent: deque, row) -> str:
-    """``full`` when the mails of the last 24 hours reach the daily limit, else ``free``, or ``kept`` if this request sends one."""
+    """``full`` when the mails of the last 24 hours reach the daily limit, else ``free``, or ``kept`` if this request sends one.
+
+    ``logged`` of them are in the mail log already.
+    """
     while sent and sent[0] <= row.ts_us - DAY_US:
         sent.popleft()
-    if row.kind == 0:
-        sent.append(row.ts_us)
-        return "given"
-    if len(sent) >= DAILY_MAILS:
+    if row.logged + len(sent) >= DAILY_MAILS:
         return "full"
     if not row.due:
         return "free"

@@ -130,3 +130,28 @@ def test_signups(spark, monkeypatch, seed, most):
         spark.createDataFrame([(k, "alert", m) for k, m in enumerate(mails)], "mail_id long, kind string, sent_at timestamp"), slices=2,
     )
     assert {r.request_id: r.result for r in got.collect()} == serial_signups(requests, subs, mails, most)
+
+
+@pytest.mark.parametrize("until, passes", [(5000, 0), (1500, None)])
+def test_signups_when_the_log_fills_the_day(spark, monkeypatch, until, passes):
+    """A full mail log decides by itself: no request goes through the rounds, or only those that come when it is not full."""
+    from placewise.operators import limits
+
+    monkeypatch.setattr(limits, "DAILY_MAILS", 6)
+    calls, decide = [], intake.decided_in_slices
+    monkeypatch.setattr(intake, "decided_in_slices", lambda *a, **k: calls.append(1) or decide(*a, **k))
+    rng = random.Random(5)
+    place = lambda: (rng.choice(["zubar", "ocni"]), 5, 49.0 + rng.randrange(2) / 1000, 15.0)
+    requests = [(i, f"a{rng.randrange(i // 10 + 1)}@x.cz", f"h{rng.randrange(4)}", *place(), minutes(i * 45)) for i in range(60)]
+    subs = []
+    for i in range(20):
+        t = minutes(rng.randrange(-900, 2700) // 45 * 45)
+        subs.append((i, f"A{rng.randrange(7)}@x.cz", f"h{rng.randrange(4)}", *place(), t, t + dt.timedelta(hours=5) if i % 2 else None, t + dt.timedelta(hours=20) if i % 3 == 1 else None, 1))
+    mails = [minutes(m) for m in range(-1440, until, 180)]
+    got = intake.limit_signups(
+        spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(subs, SUBS),
+        spark.createDataFrame([(k, "alert", m) for k, m in enumerate(mails)], "mail_id long, kind string, sent_at timestamp"), slices=2,
+    )
+    want = serial_signups(requests, subs, mails, 6)
+    assert {r.request_id: r.result for r in got.collect()} == want and len(set(want.values())) == (2 if passes == 0 else 3)
+    assert len(calls) == 0 if passes == 0 else calls
