@@ -67,6 +67,20 @@ def test_radius_pairs(spark, crowd, slice_rows):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize(("finest", "slice_rows", "asked_rows"), [(12, 50_000, 20_000), (3, 7, 5), (3, 50_000, 5), (0, 7, 20_000)])
+def test_circle_pairs(spark, crowd, finest, slice_rows, asked_rows):
+    """With slices of queries and candidates, in coarse and fine cells, beside rows that have no position or no radius."""
+    nan = F.lit(float("nan"))
+    km = F.when(F.col("pid") % 4 == 0, 250.0).when(F.col("pid") % 4 == 1, 20.0).when(F.col("pid") % 40 == 2, None).otherwise(0.2)
+    q, c = sides(crowd, km, None)
+    want = brute(q, c).select("qid", "c_id", "km")
+    odd = lambda df, p: df.limit(20).withColumns({f"{p}_lat": F.when(F.rand(1) < 0.5, nan), f"{p}_lng": nan})
+    q, c = q.unionByName(odd(q, "q")), c.unionByName(odd(c, "c"))
+    got = SP.circle_pairs(q, c, ["specialty"], finest, slice_rows, asked_rows)
+    assert set(got.columns) == {*q.columns, *c.columns, "km"}
+    assert got.count() == want.count() and got.select("qid", "c_id", "km").exceptAll(want).count() == 0
+
+
 @pytest.mark.parametrize("km", [0.3, 15.0, 90.0])
 def test_nearest_in_a_crowd(spark, crowd, km):
     from pyspark.sql import Window as W
@@ -135,6 +149,20 @@ def test_news_and_told_decide_in_the_pairs_own_join(spark):
         assert "_cy" in next(line for line in plan if "Join " in line)
 
 
+def test_subscriptions_are_not_repeated_for_the_cells_they_touch(spark):
+    """What the join of the pairs shuffles is each subscription once, and practices."""
+    listing = spark.range(50).select(
+        F.col("id").alias("provider_id"), (49.19 + F.col("id") / 500).alias("lat"), F.lit(16.6068).alias("lng"), F.lit("zubar").alias("specialty"), F.lit("accepting").alias("status"))
+    people = subs(spark, [(i, 2, 1) for i in range(40)])
+    pairs = A.alert_match(people, listing)
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    asking = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.left())
+    assert asking.count() == 40
+    assert pairs.count() == 40 * sum(i / 500 + 49.19 <= 49.1951 + 5 / 111.32 for i in range(50))
+
+
 def test_crawl_reconcile(spark):
     specs = spark.createDataFrame([(1, ["zubar"]), (2, ["zubar"])], "provider_id long, specialties array<string>")
     schema = "provider_id long, status string, scope string, snippet string, page_url string, error string"
