@@ -163,6 +163,38 @@ def test_subscriptions_are_not_repeated_for_the_cells_they_touch(spark):
     assert pairs.count() == 40 * sum(i / 500 + 49.19 <= 49.1951 + 5 / 111.32 for i in range(50))
 
 
+@pytest.mark.parametrize("name", ["alert_match", "only_news", "not_told"])
+def test_pairs_of_neighbouring_practices_stand_together(spark, name):
+    """Tables too large to broadcast: rows in a row name the same few practices over and over, so the written result stays small where pairs are many."""
+    i = F.col("id")
+    listing = spark.range(1000).select(
+        i.alias("provider_id"), (49.19 + i % 40 / 4000).alias("lat"), (16.6 + i % 25 / 4000).alias("lng"), F.lit("zubar").alias("specialty"), F.lit("accepting").alias("status"))
+    s = spark.range(1000).select(i.alias("provider_id"), F.lit("accepting").alias("status"), F.lit(NOW).cast("timestamp").alias("created_at"))
+    ledger = spark.createDataFrame([(3, 5, NOW)], "subscription_id long, provider_id long, sent_at timestamp")
+    people = subs(spark, [(n, 2, 1) for n in range(100)])
+    more = {"alert_match": (), "only_news": (s,), "not_told": (ledger, NOW)}[name]
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        rows = [(r.subscription_id, r.provider_id) for r in getattr(A, name)(people, listing, *more).collect()]
+    finally:
+        spark.conf.set(size, was)
+    assert len(rows) == len(set(rows)) == 100_000 - (name == "not_told")
+    assert max(len({p for _, p in rows[at:at + 3200]}) for at in range(0, len(rows), 3200)) <= 2 * SP.BLOCK_ROWS + 1
+
+
+@pytest.mark.parametrize("km", [300.0, 9_000.0])
+def test_blocks_that_are_wholly_in_reach(spark, km):
+    """All over the globe, poles among it: a block in reach by its corners is in reach by each of its pairs."""
+    i = F.col("id")
+    place = lambda p: [(F.lit(-90.0) + i * 37 % 181).alias(f"{p}_lat"), (F.lit(-60.0) + i * 53 % 121).alias(f"{p}_lng")]
+    q = spark.range(0, 700, 9).select(F.lit("a").alias("specialty"), i.alias("qid"), *place("q"), F.lit(km).alias("radius_km"))
+    c = spark.range(700).select(F.lit("a").alias("specialty"), i.alias("c_id"), *place("c"))
+    want, got = brute(q, c).select("qid", "c_id", "km"), SP.circle_pairs(q, c, ["specialty"]).select("qid", "c_id", "km")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
 def test_crawl_reconcile(spark):
     specs = spark.createDataFrame([(1, ["zubar"]), (2, ["zubar"])], "provider_id long, specialties array<string>")
     schema = "provider_id long, status string, scope string, snippet string, page_url string, error string"
